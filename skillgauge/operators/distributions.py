@@ -59,8 +59,9 @@ def box_statistics(df: DataFrame, variable: str, by=("lead_hours",), reach: floa
     fenced = counted.join(box, by).withColumns({"_lo": F.col("q1") - reach * iqr, "_hi": F.col("q3") + reach * iqr})
     inside = F.col("_e").between(F.col("_lo"), F.col("_hi"))
     return fenced.groupBy(*by, "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("_e"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("_e"))).alias("whisker_high"),
+        # A whisker never ends inside the box.
+        F.least(F.min(F.when(inside, F.col("_e"))), F.col("q1")).alias("whisker_low"),
+        F.greatest(F.max(F.when(inside, F.col("_e"))), F.col("q3")).alias("whisker_high"),
         F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("outliers"),
         F.sum("_c").alias("n"),
     )

@@ -157,13 +157,17 @@ def _grouping_id(dims: list[str], present: list[str]) -> int:
 
 
 def evaluations(
-    aligned: DataFrame, group_by: str | None = None, min_sample_size: int = 1, keep_undefined: bool | None = None
+    aligned: DataFrame,
+    group_by: str | None = None,
+    min_sample_size: int = 1,
+    keep_undefined: bool | None = None,
+    by=(),
 ) -> DataFrame:
     """Long evaluations of aligned records with coverage, stability and time range.
 
     `group_by` is None or one of lead_time, variable, location, run_time, season,
-    month. Groups without a matched pair are dropped, except by season and month.
-    The variance is the population variance.
+    month; `by` adds plain columns to the key. Groups without a matched pair are
+    dropped, except by season and month. The variance is the population variance.
     """
     keys = {
         None: {},
@@ -176,10 +180,10 @@ def evaluations(
     }
     if group_by not in keys:
         raise ValueError(f"unknown grouping {group_by!r}")
-    dims = keys[group_by]
+    dims = {**{c: F.col(c) for c in by}, **keys[group_by]}
     if keep_undefined is None:
         keep_undefined = group_by in ("season", "month")
-    df = aligned.withColumns(dims) if dims else aligned
+    df = aligned.withColumns({k: c for k, c in dims.items() if k not in aligned.columns})
     if group_by == "run_time":
         df = df.where(F.col("forecast_run_time").isNotNull())
     e = F.col("error")
