@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import error_of
 from ..schemas import CIRCULAR_ERROR_VARIABLES, ISSUE, LAT, LEAD, LOCATION, LON, MODEL, TARGET, forecast_var, observed_var
+from ..session import materialize
 from .agreement import TARGET_KEY, per_target, spread_level, with_confidence
 from .quantiles import nearest_rank_time
 from .weighting import model_weights
@@ -168,8 +169,8 @@ def shared_targets(verification: DataFrame, variable: str) -> DataFrame:
 def with_split(targets: DataFrame, train_fraction: float = 0.5, split: str = "temporal") -> DataFrame:
     """Add `is_train`: whole issue times up to the nearest-rank quantile, or the first rows by position."""
     if split == "temporal" and ISSUE in targets.columns:
-        cutoff = nearest_rank_time(targets, ISSUE, train_fraction).scalar()
-        return targets.withColumn("is_train", F.col(ISSUE) <= cutoff)
+        row = nearest_rank_time(targets, ISSUE, train_fraction).first()
+        return targets.withColumn("is_train", F.col(ISSUE) <= F.lit(row[0] if row else None).cast("timestamp"))
     return _positional(targets, train_fraction)
 
 
@@ -211,10 +212,12 @@ def train_entries(split: DataFrame, variable: str) -> DataFrame:
 
 
 def train_weights(split: DataFrame, variable: str, min_weight: float = 0.0) -> DataFrame:
+    """Model weights from the training errors; as many rows as there are models."""
     entries = train_entries(split, variable)
-    # One context for the variable; it comes from the entries, so it is there only if training data is.
-    context = entries.select("variable", "lead_hours", "season", "region").distinct()
-    return model_weights(entries, context, min_weight=min_weight)
+    context = "variable string, lead_hours int, season string, region string"
+    everywhere = split.sparkSession.createDataFrame([(variable, None, "", "")], context)
+    weights = model_weights(entries, everywhere, min_weight=min_weight).select("model", "weight")
+    return materialize(weights, "train-weights")
 
 
 def blended_test_rows(split: DataFrame, weights: DataFrame, variable: str) -> DataFrame:
@@ -234,7 +237,9 @@ def blend_holdout(
     The row is empty of scores when no target is shared or one side of the split
     has none.
     """
-    parts = with_split(shared_targets(verification, variable), train_fraction, split)
+    # The targets feed the cutoff, the training errors and the scores, so they are stored once.
+    targets = materialize(shared_targets(verification, variable), "shared-targets")
+    parts = with_split(targets, train_fraction, split)
     weights = train_weights(parts, variable, min_weight)
     result = evaluate_blend(blended_test_rows(parts, weights, variable), ["variable"])
     train_rows = parts.where("is_train").agg(F.count(F.lit(1))).scalar()
