@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import error_of
 from ..schemas import CIRCULAR_ERROR_VARIABLES, ISSUE, LAT, LEAD, LOCATION, LON, MODEL, TARGET, forecast_var, observed_var
-from ..session import materialize
+from ..session import literal_table, materialize
 from .agreement import TARGET_KEY, per_target, spread_level, with_confidence
 from .quantiles import nearest_rank_time
 from .weighting import model_weights
@@ -215,7 +215,7 @@ def train_weights(split: DataFrame, variable: str, min_weight: float = 0.0) -> D
     """Model weights from the training errors; as many rows as there are models."""
     entries = train_entries(split, variable)
     context = "variable string, lead_hours int, season string, region string"
-    everywhere = split.sparkSession.createDataFrame([(variable, None, "", "")], context)
+    everywhere = literal_table(split.sparkSession, [(variable, None, "", "")], context)
     weights = model_weights(entries, everywhere, min_weight=min_weight).select("model", "weight")
     return materialize(weights, "train-weights")
 

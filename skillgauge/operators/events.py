@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.scores import SCORES, score
 from ..functions.thresholds import OPERATORS, meets
 from ..schemas import DIMENSIONS, EVENTS, MODEL, TARGET, forecast_var, observed_var
+from ..session import literal_table
 from .metrics import with_dimensions
 
 EventCatalog = dict[str, tuple[str, float, str]]
@@ -63,7 +64,7 @@ def event_flags(
 def event_catalog(df: DataFrame, catalog: EventCatalog = EVENTS) -> DataFrame:
     """The event definitions as a table (name, variable, threshold, operator)."""
     schema = "event_name string, variable string, threshold double, operator string"
-    return df.sparkSession.createDataFrame([(n, *d) for n, d in catalog.items()], schema)
+    return literal_table(df.sparkSession, [(n, *d) for n, d in catalog.items()], schema)
 
 
 def contingency(df: DataFrame, names, dims=(), catalog: EventCatalog = EVENTS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import literal_table
 from .skillstore import best_model, skill_by_context
 
 # Only these condition types can match; others may be declared and never apply.
@@ -19,7 +20,7 @@ def rule(condition_type: str, value: str, variable: str, recommended=(), exclude
 
 
 def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rules, RULE_SCHEMA)
+    return literal_table(spark, rules, RULE_SCHEMA)
 
 
 def without_rules(rules: DataFrame, condition_type: str | None = None) -> DataFrame:
