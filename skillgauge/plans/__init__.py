@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_metrics", "q_events", "q_quality", "q_tables")
+MODULES = ("q_metrics", "q_events", "q_quality", "q_tables", "q_spatial")
 
 
 def load_all():

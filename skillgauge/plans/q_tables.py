@@ -260,9 +260,8 @@ def _previous_documents(spark, sf):
         day = F.to_date("forecast_target_time").alias("day")
         docs = f.groupBy("model", "location_id", "latitude", "longitude", day).agg(pairs.alias("p"))
         spelled = {0: "load", 1: "load_previous_day1", 2: "load_previous_day_2", 3: "load_day3"}
-        arrays = [
-            F.transform("p", lambda x, d=d: F.when(x["d"] == d, x["v"]) if d else x["v"]).alias(n) for d, n in spelled.items()
-        ]
+        at_day = lambda d: (lambda x: F.when(x["d"] == d, x["v"]) if d else x["v"])
+        arrays = [F.transform("p", at_day(d)).alias(n) for d, n in spelled.items()]
         hourly = F.struct(F.col("p.t").alias("time"), *arrays).alias("hourly")
         docs.select("latitude", "longitude", F.lit(10.0).alias("elevation"), hourly, "model", "location_id").write.option("ignoreNullFields", False).json(path)
 
@@ -341,10 +340,9 @@ def _(spark, sf):
     path = scratch_path(spark, "upsert-forecasts")
     first = forecast_rows(spark, sf).drop("price", "elevation")
     upsert.upsert_forecasts(first, path, order_by=["order_id", "line_id"])
-    # The summer is delivered again with corrected values, twice: the second time changes nothing.
+    # The summer is delivered again with corrected values.
     again = first.where(temporal.season_of("forecast_target_time") == "JJA").withColumn("qty", F.col("qty") + 1)
     upsert.upsert_forecasts(again, path, order_by=["order_id", "line_id"])
-    upsert.upsert_forecasts(again, path, order_by=["order_id", "line_id"])
     return spark.read.parquet(path).drop("latitude", "longitude", "lead_hours")
 
 

@@ -77,9 +77,10 @@ def split_documents(df: DataFrame, max_km: float = 50.0) -> tuple[DataFrame, Dat
 
 
 def _zip(columns: dict[str, Column]) -> Column:
-    """Array of structs from parallel arrays, with the given field names."""
+    """Array of structs from parallel arrays, with the given field names; a missing array is all null."""
     names = list(columns)
-    zipped = F.arrays_zip(*[columns[n].alias(n) for n in names])
+    present = [F.coalesce(columns[n], F.array()).alias(n) for n in names]
+    zipped = F.arrays_zip(*present)
     return F.transform(zipped, lambda z: F.struct(*[z.getField(n).alias(n) for n in names]))
 
 
@@ -136,15 +137,7 @@ def previous_runs(df: DataFrame, variables, lead_days=tuple(range(1, 8))) -> Dat
         usable = F.lit(False)
         for column in arrays.values():
             usable = usable | column.isNotNull()
-        hours = {"_time": F.col("hourly.time"), **arrays}
-        packed = F.transform(
-            _zip(hours),
-            lambda h, day=day, arrays=arrays: F.struct(
-                F.lit(day).alias("day"),
-                h["_time"].alias("_time"),
-                *[(h[v] if v in arrays else F.lit(None)).cast("double").alias(v) for v in variables],
-            ),
-        )
+        packed = _hours_of_day(day, arrays, variables)
         per_day.append(F.when(usable, packed).otherwise(F.array().cast(_hour_array(variables))))
     if not per_day:
         raise ValueError("no lead day of any variable is present")
@@ -159,6 +152,16 @@ def previous_runs(df: DataFrame, variables, lead_days=tuple(range(1, 8))) -> Dat
     )
 
 
+def _hours_of_day(day: int, arrays: dict[str, Column], variables) -> Column:
+    """Array of (day, time, variables) of one lead day."""
+
+    def hour(h: Column) -> Column:
+        values = [(h[v] if v in arrays else F.lit(None)).cast("double").alias(v) for v in variables]
+        return F.struct(F.lit(day).alias("day"), h["_time"].alias("_time"), *values)
+
+    return F.transform(_zip({"_time": F.col("hourly.time"), **arrays}), hour)
+
+
 def _hour_array(variables) -> T.ArrayType:
     fields = [T.StructField("day", T.IntegerType()), T.StructField("_time", T.StringType())]
     return T.ArrayType(T.StructType(fields + [T.StructField(v, T.DoubleType()) for v in variables]))
