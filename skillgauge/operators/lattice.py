@@ -83,7 +83,10 @@ def enclosing_corners(targets: DataFrame, cells: DataFrame, by=()) -> DataFrame:
         F.array_sort(F.collect_set(LAT)).alias("_lats"), F.array_sort(F.collect_set(LON)).alias("_lons")
     )
     sites = targets.select(*by, F.col(LAT).alias("target_latitude"), F.col(LON).alias("target_longitude")).distinct()
-    joined = sites.join(lines, by) if by else sites.withColumn("_k", F.lit(0)).join(lines.withColumn("_k", F.lit(0)), "_k")
+    if by:
+        joined = sites.join(lines, by)
+    else:
+        joined = sites.withColumns({c: lines.select(c).scalar() for c in ("_lats", "_lons")})
 
     def bracket(lines_col: str, target: str) -> Column:
         below = F.array_max(F.filter(lines_col, lambda v: v <= F.col(target)))
