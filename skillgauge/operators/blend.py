@@ -216,8 +216,7 @@ def train_weights(split: DataFrame, variable: str, min_weight: float = 0.0) -> D
     entries = train_entries(split, variable)
     context = "variable string, lead_hours int, season string, region string"
     everywhere = literal_table(split.sparkSession, [(variable, None, "", "")], context)
-    weights = model_weights(entries, everywhere, min_weight=min_weight).select("model", "weight")
-    return materialize(weights, "train-weights")
+    return model_weights(entries, everywhere, min_weight=min_weight).select("model", "weight")
 
 
 def blended_test_rows(split: DataFrame, weights: DataFrame, variable: str) -> DataFrame:

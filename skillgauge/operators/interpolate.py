@@ -15,6 +15,7 @@ from ..functions.angles import resultant_angle, weighted_mean, weighted_mean_agg
 from ..functions.geo import GRID_RADIUS_KM, haversine_km
 from ..functions.names import site_of_corner
 from ..schemas import CIRCULAR_GRID_VARIABLES, ISSUE, LAT, LEAD, LOCATION, LON, MODEL, TARGET
+from ..session import materialize
 from .lattice import grid_lines, grid_spacing, line_index
 from .nearest import k_nearest
 
@@ -36,8 +37,14 @@ def sites_of(observations: DataFrame, by=(LOCATION,)) -> DataFrame:
     return one.where(F.col("_n") == 1).drop("_n")
 
 
+def grid_points(forecasts: DataFrame, by=(LOCATION,)) -> DataFrame:
+    """Distinct (by, model, latitude, longitude), stored once: all geometry derives from it."""
+    points = forecasts.select(*by, MODEL, LAT, LON).dropna(subset=[LAT, LON]).distinct()
+    return materialize(points, "grid-points")
+
+
 def corner_weights(forecasts: DataFrame, sites: DataFrame, method: str = "bilinear", by=(LOCATION,)) -> DataFrame:
-    """Weight of every usable grid point per site and model.
+    """Weight of every usable grid point per site and model, from forecast rows or just their points.
 
     Columns: by, the remaining site columns, model, latitude, longitude (as found
     in the forecasts), corner (0..3), weight. Rows exist only for points that
@@ -46,7 +53,7 @@ def corner_weights(forecasts: DataFrame, sites: DataFrame, method: str = "biline
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")
     by = list(by)
-    points = forecasts.select(*by, MODEL, LAT, LON).dropna(subset=[LAT, LON]).distinct()
+    points = forecasts if set(forecasts.columns) == {*by, MODEL, LAT, LON} else grid_points(forecasts, by)
     lines = grid_lines(points, [*by, MODEL])
     snapped = points.join(lines, [*by, MODEL]).select(
         *by,
@@ -154,11 +161,12 @@ def interpolate_to_sites(
     with fewer than four grid points, keep their native rows (`keep_native`).
     """
     by = list(by)
+    points = grid_points(forecasts, by)
     eligible = sites
     if method == "bilinear":
-        counts = forecasts.select(*by, LAT, LON).dropna(subset=[LAT, LON]).distinct().groupBy(*by).count()
+        counts = points.select(*by, LAT, LON).distinct().groupBy(*by).count()
         eligible = sites.join(counts.where(F.col("count") >= 4), by, "left_semi")
-    weights = corner_weights(forecasts, eligible, method, by)
+    weights = corner_weights(points, eligible, method, by)
     site_cols = [c for c in sites.columns if c not in by]
     needed = [*by, MODEL, ISSUE, TARGET, LEAD, LAT, LON, *variables]
     rows = forecasts.select(*needed).join(weights, [*by, MODEL, LAT, LON])
@@ -228,12 +236,13 @@ def interpolate_points(
     by = list(by)
     known = grid.select(*by, LAT, LON, F.col(value).alias("_value")).where(F.col("_value").isNotNull())
     # Several values at one point: the smallest counts, whatever the read order.
-    known = known.groupBy(*by, LAT, LON).agg(F.min("_value").alias("_value"))
+    known = materialize(known.groupBy(*by, LAT, LON).agg(F.min("_value").alias("_value")), "grid-values")
+    targets = materialize(targets.select(*by, LAT, LON).distinct(), "targets")
     key = [*by, LAT, LON]
     if method == "nearest":
-        hits = k_nearest(targets, known, 1, by, ["_value"])
+        hits = k_nearest(targets, known, 1, by, ["_value"], stored=True)
         return hits.select(*key, F.col("_value").alias("value"))
-    neighbours = k_nearest(targets, known, max(1, k), by, ["_value"])
+    neighbours = k_nearest(targets, known, max(1, k), by, ["_value"], stored=True)
     inverse = F.lit(1.0) / F.pow("distance_km", F.lit(float(power)))
     exact = F.max(F.when((F.col("rank") == 1) & (F.col("distance_km") < 1e-9), F.col("_value")))
     mean = weighted_mean_agg(F.when(F.col("distance_km") >= 1e-9, inverse), F.col("_value"), circular, null_balanced=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import AUDIT_RADIUS_KM, degree_half_widths, haversine_km
 from ..schemas import LAT, LON
+from ..session import materialize
 
 SNAP_TOLERANCE_DEG = 0.02
 # The regular lattice and the models that share it.
@@ -78,7 +79,7 @@ def enclosing_corners(targets: DataFrame, cells: DataFrame, by=()) -> DataFrame:
     Per axis the greatest line <= target and the least line >= target are taken.
     """
     by = list(by)
-    known = cells.select(*by, LAT, LON).distinct()
+    known = materialize(cells.select(*by, LAT, LON).distinct(), "cells")
     lines = known.groupBy(*by).agg(
         F.array_sort(F.collect_set(LAT)).alias("_lats"), F.array_sort(F.collect_set(LON)).alias("_lons")
     )

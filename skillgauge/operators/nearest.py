@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import GRID_RADIUS_KM, haversine_km, meridian_distance_km
 from ..schemas import LAT, LON
+from ..session import materialize
 
 # Cell sizes in degrees; each divides 360 so that cells close around the globe.
 LEVELS = (1.0, 15.0, 180.0)
@@ -40,21 +41,25 @@ def _reach_km(size: float, lat: Column, lon: Column, radius: float) -> Column:
     return F.least(along, meridian_distance_km(lat, F.least(west, east), radius))
 
 
-def k_nearest(targets: DataFrame, points: DataFrame, k: int = 1, by=(), payload=(), radius: float = GRID_RADIUS_KM) -> DataFrame:
+def k_nearest(targets: DataFrame, points: DataFrame, k: int = 1, by=(), payload=(), radius: float = GRID_RADIUS_KM, stored: bool = False) -> DataFrame:
     """The k nearest points of every distinct target, within equal `by` keys.
 
     `targets` has `by`, latitude, longitude; `points` the same plus `payload`.
     Result: by, latitude, longitude of the target, rank (1 = nearest),
     point_latitude, point_longitude, payload, distance_km. Ties go to the lower
     latitude, then longitude, then payload. A target with fewer than k points in
-    its group gets all of them; one without any gets no row.
+    its group gets all of them; one without any gets no row. With `stored` both
+    inputs are tables already, otherwise they are stored first.
     """
     by, payload = list(by), list(payload)
     key = [*by, LAT, LON]
-    pending = targets.select(*key).dropna(subset=[LAT, LON]).distinct()
+    # Both sides serve every level, so they are stored once instead of derived per level.
+    keep = (lambda df, name: df) if stored else materialize
+    pending = keep(targets.select(*key).dropna(subset=[LAT, LON]).distinct(), "targets")
     points = points.dropna(subset=[LAT, LON]).select(
         *by, F.col(LAT).alias("point_latitude"), F.col(LON).alias("point_longitude"), *payload
     )
+    points = keep(points, "points")
     order = Window.partitionBy(*key).orderBy("distance_km", "point_latitude", "point_longitude", *payload)
     done = []
     for level, size in enumerate(LEVELS):

@@ -98,20 +98,31 @@ def require_provenance(df: DataFrame, key=None) -> DataFrame:
 
 
 def check_missing_observations(df: DataFrame) -> DataFrame:
-    row = df.agg(F.count_if(F.col(OBS_TIME).isNull()).alias("n"), F.count(F.lit(1)).alias("total"))
-    n, share = F.col("n"), F.coalesce(F.try_divide(F.col("n") * 100.0, F.col("total").cast("double")), F.lit(0.0))
+    return _issues(df.agg(*_missing_counts()), _missing_issue())
+
+
+def _missing_counts() -> list[Column]:
+    return [F.count_if(F.col(OBS_TIME).isNull()).alias("missing"), F.count(F.lit(1)).alias("total")]
+
+
+def _missing_issue() -> Column:
+    n = F.col("missing")
+    share = F.coalesce(F.try_divide(n * 100.0, F.col("total").cast("double")), F.lit(0.0))
     severity = F.when(share > 50, "error").when(share > 10, "warning").otherwise("info")
     bad = F.format_string("%d of %d forecasts (%.1f%%) have no observation", n, F.col("total"), share)
-    return _issues(row, _issue("missing_observations", n, severity, bad, "every forecast has an observation"))
+    return _issue("missing_observations", n, severity, bad, "every forecast has an observation")
 
 
 def check_duplicate_observations(df: DataFrame) -> DataFrame:
     """Fully repeated matched rows are errors; otherwise more than 100 rows per observation time warns."""
-    columns = df.columns
-    copies = df.where(F.col(OBS_TIME).isNotNull()).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    per_time = copies.groupBy(OBS_TIME).agg(F.sum(F.when(F.col("_n") > 1, F.col("_n"))).alias("_d"))
-    row = per_time.agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("times"))
-    row = row.withColumn("total", df.agg(F.count(F.lit(1))).scalar())
+    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    per_time = copies.groupBy(OBS_TIME).agg(F.sum("_n").alias("_rows"), F.sum(F.when(F.col("_n") > 1, F.col("_n"))).alias("_d"))
+    timed = F.col(OBS_TIME).isNotNull()
+    row = per_time.agg(
+        F.coalesce(F.sum(F.when(timed, F.col("_d"))), F.lit(0)).alias("n"),
+        F.count_if(timed).alias("times"),
+        F.sum("_rows").alias("total"),
+    )
     n, ratio = F.col("n"), F.try_divide(F.col("total").cast("double"), F.col("times").cast("double"))
     severity = F.when(n > 0, "error").when(ratio > 100, "warning").otherwise("info")
     message = (
@@ -123,13 +134,17 @@ def check_duplicate_observations(df: DataFrame) -> DataFrame:
 
 
 def check_lead_times(df: DataFrame) -> DataFrame:
-    row = df.agg(
-        F.count_if(F.col(LEAD) < MIN_LEAD).alias("low"),
-        F.count_if(F.col(LEAD) > MAX_LEAD).alias("high"),
-    )
+    return _issues(df.agg(*_lead_counts()), _lead_issue())
+
+
+def _lead_counts() -> list[Column]:
+    return [F.count_if(F.col(LEAD) < MIN_LEAD).alias("low"), F.count_if(F.col(LEAD) > MAX_LEAD).alias("high")]
+
+
+def _lead_issue() -> Column:
     n = F.col("low") + F.col("high")
     bad = F.format_string(f"%d lead_hours below {MIN_LEAD}, %d above {MAX_LEAD}", F.col("low"), F.col("high"))
-    return _issues(row, _issue("lead_times", n, _level(n, "error"), bad, "all lead_hours are in range"))
+    return _issue("lead_times", n, _level(n, "error"), bad, "all lead_hours are in range")
 
 
 def check_timestamp_gaps(df: DataFrame) -> DataFrame:
@@ -139,60 +154,71 @@ def check_timestamp_gaps(df: DataFrame) -> DataFrame:
     return _issues(row, _issue("timestamp_gaps", n, _level(n, "warning"), bad, "no observation gaps"))
 
 
-def range_violations(df: DataFrame, variables, ranges=PLAUSIBLE_RANGES) -> DataFrame:
-    """Values outside their physical range per column, from one aggregate."""
-    columns = [
+def _ranged_columns(df: DataFrame, variables, ranges) -> list[tuple[str, float, float]]:
+    return [
         (side(v), *ranges[v])
         for v in variables
         if v in ranges
         for side in (forecast_var, observed_var)
         if side(v) in df.columns
     ]
+
+
+def _range_counts(columns) -> list[Column]:
+    return [F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"_range{i}") for i, (c, lo, hi) in enumerate(columns)]
+
+
+def _range_issue(columns) -> Column:
+    counts = [F.col(f"_range{i}") for i in range(len(columns))]
+    n = sum(counts, F.lit(0))
+    named = [
+        F.when(k > 0, F.concat(k.cast("string"), F.lit(f" in {c} outside [{lo}, {hi}]")))
+        for k, (c, lo, hi) in zip(counts, columns, strict=True)
+    ]
+    bad = F.concat(F.lit("implausible values: "), F.concat_ws("; ", *named))
+    return _issue("value_ranges", n, _level(n, "error"), bad, "all values are physically plausible")
+
+
+def range_violations(df: DataFrame, variables, ranges=PLAUSIBLE_RANGES) -> DataFrame:
+    """Values outside their physical range per column, from one aggregate."""
+    columns = _ranged_columns(df, variables, ranges)
     if not columns:
         raise ValueError("no variable with a known range")
-    row = df.agg(
-        *[F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"_{i}") for i, (c, lo, hi) in enumerate(columns)]
-    )
     packed = [
         F.struct(
             F.lit(c).alias("column_name"),
             F.lit(float(lo)).alias("low"),
             F.lit(float(hi)).alias("high"),
-            F.col(f"_{i}").alias("violations"),
+            F.col(f"_range{i}").alias("violations"),
         )
         for i, (c, lo, hi) in enumerate(columns)
     ]
-    return row.select(F.inline(F.array(*packed)))
+    return df.agg(*_range_counts(columns)).select(F.inline(F.array(*packed)))
 
 
 def check_value_ranges(df: DataFrame, variables, ranges=PLAUSIBLE_RANGES) -> DataFrame:
-    row = range_violations(df, variables, ranges).agg(
-        F.sum("violations").alias("n"),
-        F.array_sort(
-            F.collect_list(
-                F.when(
-                    F.col("violations") > 0,
-                    F.concat(F.col("violations").cast("string"), F.lit(" in "), F.col("column_name")),
-                )
-            )
-        ).alias("_parts"),
-    )
-    n = F.col("n")
-    bad = F.concat(F.lit("implausible values: "), F.concat_ws("; ", "_parts"))
-    return _issues(row, _issue("value_ranges", n, _level(n, "error"), bad, "all values are physically plausible"))
+    columns = _ranged_columns(df, variables, ranges)
+    if not columns:
+        raise ValueError("no variable with a known range")
+    return _issues(df.agg(*_range_counts(columns)), _range_issue(columns))
 
 
 def validate_verification(df: DataFrame, variables, ranges=PLAUSIBLE_RANGES, key=None) -> DataFrame:
-    """All checks of the verification table as one issue table."""
+    """All checks of the verification table as one issue table.
+
+    The three row-wise checks share one aggregate over the table.
+    """
+    columns = _ranged_columns(df, variables, ranges)
+    row = df.agg(*_missing_counts(), *_lead_counts(), *_range_counts(columns))
+    row_wise = [_missing_issue(), _lead_issue()]
+    if columns:
+        row_wise.append(_range_issue(columns))
     parts = [
         check_provenance(df, key),
-        check_missing_observations(df),
+        _issues(row, *row_wise),
         check_duplicate_observations(df),
-        check_lead_times(df),
         check_timestamp_gaps(df),
     ]
-    if any(v in ranges for v in variables):
-        parts.append(check_value_ranges(df, variables, ranges))
     return all_issues(parts)
 
 

@@ -24,7 +24,8 @@ def value_bucket(value: Column) -> Column:
     """Monotone bucket number of a value; at most some 10^5 buckets in total."""
     magnitude = F.abs(value)
     steps = F.floor(F.log(magnitude / F.lit(BUCKET_FLOOR)) / F.lit(math.log(BUCKET_RATIO))) + 1
-    return F.when(magnitude < BUCKET_FLOOR, F.lit(0)).otherwise(F.signum(value).cast("bigint") * steps).cast("bigint")
+    signed = F.signum(value).cast("bigint") * steps
+    return F.when(magnitude < BUCKET_FLOOR, F.lit(0)).otherwise(signed).cast("bigint")
 
 
 def _ranked(df: DataFrame, value: str, by: list[str], bucket) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +33,10 @@ def _ranked(df: DataFrame, value: str, by: list[str], bucket) -> tuple[DataFrame
     for b in by:
         rows = rows.where(F.col(b).isNotNull())
     rows = rows.select(*by, F.col(value).alias("_v"))
-    counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_bucket", bucket(F.col("_v")))
+    counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # Null keys are gone and the bucket is never null, so no later join adds a filter
+    # of its own below the counts: both uses share one shuffle.
+    counts = counts.withColumn("_bucket", F.coalesce(bucket(F.col("_v")).cast("bigint"), F.lit(0)))
     totals = counts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_c"))
     group = Window.partitionBy(*(by or [F.lit(0)]))
     offsets = totals.select(

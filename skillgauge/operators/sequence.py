@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.nulls import where_present
 from ..functions.temporal import hours_between
 from ..schemas import LAT, LON, OBS_TIME, TARGET
 
@@ -14,27 +15,28 @@ def with_previous(df: DataFrame, keys, time: str, values: dict[str, str]) -> Dat
 
     A key is ordered month by month, each month in its own task; a small table
     of each month's last row supplies the first row of the next month. Times
-    must be distinct within a key.
+    must be distinct within a key. Rows with a null key or time have no order
+    and are left out.
     """
     keys = list(keys)
-    month = F.year(time) * 12 + F.month(time)
-    rows = df.withColumn("_bucket", month)
-    last = F.max_by(F.struct(*[F.col(c).alias(n) for n, c in values.items()]), F.col(time)).alias("_last")
-    months = rows.groupBy(*keys, "_bucket").agg(last)
+    month = F.coalesce(F.year(time) * 12 + F.month(time), F.lit(0))
+    rows = where_present(df, [*keys, time]).withColumn("_bucket", month)
+    last = [F.max_by(c, time).alias(f"_last_{n}") for n, c in values.items()]
+    months = rows.groupBy(*keys, "_bucket").agg(*last)
     along_months = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = months.select(*keys, "_bucket", F.lag("_last").over(along_months).alias("_carried"))
+    carried = months.select(
+        *keys, "_bucket", *[F.lag(f"_last_{n}").over(along_months).alias(f"_carried_{n}") for n in values]
+    )
     within = Window.partitionBy(*keys, "_bucket").orderBy(time)
-    packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    local = rows.withColumn("_local", F.lag(packed).over(within))
+    local = rows.withColumns({"_first": F.lag(time).over(within).isNull(), **{n: F.lag(c).over(within) for n, c in values.items()}})
     joined = local.join(carried, [*keys, "_bucket"], "left")
-    previous = F.coalesce("_local", "_carried")
-    out = joined.withColumns({n: previous[n] for n in values})
-    return out.drop("_bucket", "_local", "_carried")
+    out = joined.withColumns({n: F.when(F.col("_first"), F.col(f"_carried_{n}")).otherwise(F.col(n)) for n in values})
+    return out.drop("_bucket", "_first", *[f"_carried_{n}" for n in values])
 
 
 def time_gaps(df: DataFrame, keys=(LAT, LON), time: str = OBS_TIME, max_hours: float = 1.5) -> DataFrame:
     """Consecutive distinct times of a key that lie more than `max_hours` apart."""
-    points = df.where(F.col(time).isNotNull()).select(*keys, time).distinct()
+    points = where_present(df, [*keys, time]).select(*keys, time).distinct()
     paired = with_previous(points, keys, time, {"previous_time": time})
     gaps = paired.withColumn("gap_hours", hours_between("previous_time", time))
     return gaps.where(F.col("gap_hours") > max_hours)
@@ -54,7 +56,7 @@ def gap_summary(df: DataFrame, keys=(LAT, LON), time: str = OBS_TIME, max_hours:
 
 def persistence(observations: DataFrame, keys, value: str, time: str = OBS_TIME) -> DataFrame:
     """Baseline forecast: the previous observed value of the same key."""
-    known = observations.where(F.col(time).isNotNull() & F.col(value).isNotNull())
+    known = where_present(observations, [*keys, time, value])
     states = known.groupBy(*keys, time).agg(F.avg(value).alias("observed_value"))
     paired = with_previous(states, keys, time, {"persistence_forecast": "observed_value", "previous_time": time})
     error = F.col("persistence_forecast") - F.col("observed_value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_metrics", "q_events", "q_quality", "q_tables", "q_spatial", "q_blend")
+MODULES = ("q_metrics", "q_events", "q_quality", "q_tables", "q_spatial", "q_blend", "q_stream")
 
 
 def load_all():
