@@ -20,13 +20,14 @@ def variation_flag(df: DataFrame, value: str, by=(), tiny: float = 1e-9) -> Data
 def histogram(df: DataFrame, value: str, bins: int = 50, low: float | None = None, high: float | None = None) -> DataFrame:
     """Equal-width counts (bin 1..bins); the last bin includes its right edge.
 
-    Without given edges the data's own minimum and maximum are used, fetched as
-    one-row subqueries. Values outside given edges do not count.
+    Without given edges the data's own minimum and maximum are used, fetched by
+    one one-row subquery. Values outside given edges do not count.
     """
     v = F.col(value)
     rows = df.where(v.isNotNull()).select(v.alias("_v"))
     if low is None or high is None:
-        lo, hi = rows.agg(F.min("_v")).scalar(), rows.agg(F.max("_v")).scalar()
+        edges = rows.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
+        lo, hi = edges["lo"], edges["hi"]
     else:
         lo, hi = F.lit(float(low)), F.lit(float(high))
         rows = rows.where(F.col("_v").between(low, high))

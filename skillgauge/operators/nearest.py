@@ -1,13 +1,15 @@
-"""Exact nearest-point search by blocks of cells, never by a cross product.
+"""Exact nearest-point search by descent through cells, never by a cross product.
 
-Targets look into their own and the eight surrounding cells. A target is done
-when its k-th neighbour is closer than anything outside those cells can be; the
-others go on to coarser cells, the last of which cover the globe.
+Points are counted per 15-degree and per 1-degree cell. A target compares itself
+with the at most 288 coarse cells, then with the at most 225 fine cells of those
+that can still hold a neighbour, and finally with the points of the few fine
+cells left. A cell is dropped when its closest possible point is farther than
+the distance within which k points are certain.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,32 +18,65 @@ from ..functions.geo import GRID_RADIUS_KM, haversine_km, meridian_distance_km
 from ..schemas import LAT, LON
 from ..session import materialize
 
-# Cell sizes in degrees; each divides 360 so that cells close around the globe.
-LEVELS = (1.0, 15.0, 180.0)
+# Cell sizes in degrees; the fine size divides the coarse one, both divide 180.
+COARSE, FINE = 15.0, 1.0
+# Slack in kilometres for rounding in the bounds.
+SLACK_KM = 1e-6
 
 
 def _row(lat: Column, size: float) -> Column:
-    return F.floor((lat + 90.0) / size).cast("int")
+    """Cell row; the pole belongs to the last one."""
+    return F.least(F.floor((lat + 90.0) / size), F.lit(int(180 / size) - 1)).cast("int")
 
 
 def _column(lon: Column, size: float) -> Column:
     return F.pmod(F.floor((lon + 180.0) / size), F.lit(int(360 / size))).cast("int")
 
 
-def _reach_km(size: float, lat: Column, lon: Column, radius: float) -> Column:
-    """Distance below which every point lies inside the 3 x 3 block around (lat, lon)."""
-    if size >= 180.0:
-        return F.lit(float("inf"))
-    south = (lat + 90.0) - (_row(lat, size) - 1) * size
-    north = (_row(lat, size) + 2) * size - (lat + 90.0)
-    shifted = F.pmod(lon + 180.0, F.lit(360.0))
-    west = shifted - (_column(lon, size) - 1) * size
-    east = (_column(lon, size) + 2) * size - shifted
-    along = F.radians(F.least(south, north)) * radius
-    return F.least(along, meridian_distance_km(lat, F.least(west, east), radius))
+def _bounds(row: Column, column: Column, size: float, radius: float) -> tuple[Column, Column]:
+    """Least and greatest possible distance from the target to any point of a cell."""
+    lat, lon = F.col(LAT), F.col(LON)
+    south, west = row * size - 90.0, column * size - 180.0
+    mid_lat, mid_lon = south + size / 2, west + size / 2
+    past_lat = F.greatest(F.lit(0.0), F.abs(lat - mid_lat) - size / 2)
+    apart = F.abs(F.pmod(lon - mid_lon + 180.0, F.lit(360.0)) - 180.0)
+    past_lon = F.greatest(F.lit(0.0), apart - size / 2)
+    nearest = F.greatest(F.radians(past_lat) * radius, meridian_distance_km(lat, past_lon, radius)) - SLACK_KM
+    reach = radius * math.radians(size) * math.sqrt(0.5)
+    farthest = haversine_km(lat, lon, mid_lat, mid_lon, radius) + reach + SLACK_KM
+    return nearest, farthest
 
 
-def k_nearest(targets: DataFrame, points: DataFrame, k: int = 1, by=(), payload=(), radius: float = GRID_RADIUS_KM, stored: bool = False) -> DataFrame:
+def _bounded(cells: str, size: float, radius: float) -> Column:
+    """Cells (r, c, n) with their distance bounds."""
+
+    def bound(cell: Column) -> Column:
+        near, far = _bounds(cell["r"], cell["c"], size, radius)
+        return F.struct(far.alias("far"), near.alias("near"), cell["n"].alias("n"), cell["r"].alias("r"), cell["c"].alias("c"))
+
+    return F.transform(cells, bound)
+
+
+def _certain(bounded: str, k: int) -> Column:
+    """Distance within which the cells certainly hold k points; infinite if they hold fewer."""
+
+    def step(acc: Column, cell: Column) -> Column:
+        reached = (acc["seen"] < k) & (acc["seen"] + cell["n"] >= k)
+        return F.struct(
+            (acc["seen"] + cell["n"]).alias("seen"), F.when(reached, cell["far"]).otherwise(acc["limit"]).alias("limit")
+        )
+
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(float("inf")).alias("limit"))
+    return F.aggregate(F.array_sort(bounded), start, step)["limit"]
+
+
+def _possible(bounded: str) -> Column:
+    return F.filter(bounded, lambda cell: cell["near"] <= F.col("_limit"))
+
+
+def k_nearest(
+    targets: DataFrame, points: DataFrame, k: int = 1, by=(), payload=(), radius: float = GRID_RADIUS_KM, stored: bool = False
+) -> DataFrame:
     """The k nearest points of every distinct target, within equal `by` keys.
 
     `targets` has `by`, latitude, longitude; `points` the same plus `payload`.
@@ -53,39 +88,46 @@ def k_nearest(targets: DataFrame, points: DataFrame, k: int = 1, by=(), payload=
     """
     by, payload = list(by), list(payload)
     key = [*by, LAT, LON]
-    # Both sides serve every level, so they are stored once instead of derived per level.
+    # The points serve the cell counts and the last join, so they are stored, not derived twice.
     keep = (lambda df, name: df) if stored else materialize
-    pending = keep(targets.select(*key).dropna(subset=[LAT, LON]).distinct(), "targets")
-    points = points.dropna(subset=[LAT, LON]).select(
+    wanted = keep(targets.select(*key).dropna(subset=[LAT, LON]).distinct(), "targets")
+    placed = points.dropna(subset=[LAT, LON]).select(
         *by, F.col(LAT).alias("point_latitude"), F.col(LON).alias("point_longitude"), *payload
     )
-    points = keep(points, "points")
+    placed = keep(placed, "points")
+    lat, lon = F.col("point_latitude"), F.col("point_longitude")
+    placed = placed.withColumns(
+        {
+            "_block_row": _row(lat, COARSE),
+            "_block_col": _column(lon, COARSE),
+            "_cell_row": _row(lat, FINE),
+            "_cell_col": _column(lon, FINE),
+        }
+    )
+    fine = placed.groupBy(*by, "_block_row", "_block_col", "_cell_row", "_cell_col").agg(F.count(F.lit(1)).alias("_n"))
+    nested = fine.groupBy(*by, "_block_row", "_block_col").agg(
+        F.collect_list(F.struct(F.col("_cell_row").alias("r"), F.col("_cell_col").alias("c"), F.col("_n").alias("n"))).alias("_fine"),
+        F.sum("_n").alias("_n"),
+    )
+    cells = F.collect_list(F.struct(F.col("_block_row").alias("r"), F.col("_block_col").alias("c"), F.col("_n").alias("n"))).alias("_cells")
+    coarse = nested.groupBy(*by).agg(cells)
+    framed = wanted.join(coarse, by) if by else wanted.withColumn("_cells", coarse.scalar())
+    framed = framed.withColumn("_b", _bounded("_cells", COARSE, radius)).withColumn("_limit", _certain("_b", k))
+    first = framed.select(*key, "_limit", F.explode(_possible("_b")).alias("_k"))
+    first = first.select(*key, "_limit", F.col("_k.r").alias("_block_row"), F.col("_k.c").alias("_block_col"))
+    inner = first.join(nested.select(*by, "_block_row", "_block_col", "_fine"), [*by, "_block_row", "_block_col"])
+    inner = inner.withColumn("_b", _bounded("_fine", FINE, radius))
+    # A target has at most 288 coarse cells here, which bounds its window.
+    tightest = F.min(_certain("_b", k)).over(Window.partitionBy(*key))
+    inner = inner.withColumn("_limit", F.least("_limit", tightest))
+    second = inner.select(*key, F.explode(_possible("_b")).alias("_k"))
+    second = second.select(*key, F.col("_k.r").alias("_cell_row"), F.col("_k.c").alias("_cell_col"))
+    pairs = second.join(placed.drop("_block_row", "_block_col"), [*by, "_cell_row", "_cell_col"]).withColumn(
+        "distance_km", haversine_km(LAT, LON, "point_latitude", "point_longitude", radius)
+    )
     order = Window.partitionBy(*key).orderBy("distance_km", "point_latitude", "point_longitude", *payload)
-    done = []
-    for level, size in enumerate(LEVELS):
-        last = level == len(LEVELS) - 1
-        around = pending.select(
-            *key,
-            F.explode(F.array(*[_row(F.col(LAT), size) + d for d in (-1, 0, 1)])).alias("_r"),
-            F.array_distinct(F.array(*[F.pmod(_column(F.col(LON), size) + d, F.lit(int(360 / size))) for d in (-1, 0, 1)])).alias("_cs"),
-        )
-        around = around.select(*key, "_r", F.explode("_cs").alias("_c"))
-        celled = points.withColumns(
-            {"_r": _row(F.col("point_latitude"), size), "_c": _column(F.col("point_longitude"), size)}
-        )
-        pairs = around.join(celled, [*by, "_r", "_c"]).withColumn(
-            "distance_km", haversine_km(LAT, LON, "point_latitude", "point_longitude", radius)
-        )
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        best = best.select(*key, "rank", "point_latitude", "point_longitude", *payload, "distance_km")
-        if last:
-            done.append(best)
-            break
-        reach = _reach_km(size, F.col(LAT), F.col(LON), radius)
-        settled = best.where((F.col("rank") == k) & (F.col("distance_km") <= reach)).select(*key)
-        done.append(best.join(settled, key, "left_semi"))
-        pending = pending.join(settled, key, "left_anti")
-    return reduce(lambda a, b: a.unionByName(b), done)
+    best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select(*key, "rank", "point_latitude", "point_longitude", *payload, "distance_km")
 
 
 def nearest_point(targets: DataFrame, points: DataFrame, by=(), radius: float = GRID_RADIUS_KM) -> DataFrame:
