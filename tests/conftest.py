@@ -15,7 +15,7 @@ def spark():
     session = get_spark(
         "tests",
         "local[8]",
-        spark_sql_shuffle_partitions="8",
+        spark_sql_shuffle_partitions="4",
         spark_ui_enabled="false",
         spark_driver_memory="8g",
         spark_ui_showConsoleProgress="false",
