@@ -18,16 +18,22 @@ LATTICE_MODELS = ("ifs", "era5")
 def coordinate_clusters(df: DataFrame, coordinate: str, by=(), tolerance: float = SNAP_TOLERANCE_DEG) -> DataFrame:
     """Chains of distinct coordinates with steps <= tolerance, as (by, centre, members).
 
-    Windows run over distinct coordinates of one axis, so their size is bounded
-    by the grid's resolution and not by the number of rows.
+    Coordinates are first summed up per small cell, inside which every step is
+    below the tolerance. The window then runs over cells, whose number is
+    bounded by the axis however many jittered coordinates there are.
     """
     by = list(by)
-    distinct = df.select(*by, F.col(coordinate).alias("_c")).where(F.col("_c").isNotNull()).distinct()
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_c")
-    step = F.col("_c") - F.lag("_c").over(order)
-    starts = distinct.withColumn("_new", F.when(step <= tolerance, 0).otherwise(1))
+    distinct = df.select(*by, F.col(coordinate).alias("_x")).where(F.col("_x").isNotNull()).distinct()
+    cells = distinct.groupBy(*by, F.floor(F.col("_x") / (tolerance / 8)).alias("_cell")).agg(
+        F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.sum("_x").alias("_sum"), F.count("_x").alias("_n")
+    )
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_cell")
+    step = F.col("_low") - F.lag("_high").over(order)
+    starts = cells.withColumn("_new", F.when(step <= tolerance, 0).otherwise(1))
     islands = starts.withColumn("_island", F.sum("_new").over(order))
-    grouped = islands.groupBy(*by, "_island").agg(F.avg("_c").alias("centre"), F.count(F.lit(1)).alias("members"))
+    grouped = islands.groupBy(*by, "_island").agg(
+        (F.sum("_sum") / F.sum("_n")).alias("centre"), F.sum("_n").alias("members")
+    )
     return grouped.drop("_island")
 
 
