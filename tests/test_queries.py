@@ -7,6 +7,7 @@ import re
 import duckdb
 import pytest
 
+from conftest import generated_code
 from skillgauge.plans import load_all
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +30,13 @@ SAMPLE = (
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    generated_code(spark, True)
+    yield
+    generated_code(spark, False)
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
