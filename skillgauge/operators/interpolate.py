@@ -152,6 +152,7 @@ def interpolate_to_sites(
     by=(LOCATION,),
     circular=CIRCULAR_GRID_VARIABLES,
     keep_native: bool = True,
+    beside: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (site, model, issue, target) with every variable at the site.
 
@@ -159,6 +160,10 @@ def interpolate_to_sites(
     null when no corner has one. Of several values on one node the smallest
     counts, whatever the read order. Groups without a site, and bilinear groups
     with fewer than four grid points, keep their native rows (`keep_native`).
+
+    `beside` names one grid point per site (the columns of `sites` plus latitude
+    and longitude). Its values come along as `{variable}_native`, from the same
+    pass, and only targets that have both kinds are kept.
     """
     by = list(by)
     points = grid_points(forecasts, by)
@@ -168,14 +173,24 @@ def interpolate_to_sites(
         eligible = sites.join(counts.where(F.col("count") >= 4), by, "left_semi")
     weights = corner_weights(points, eligible, method, by)
     site_cols = [c for c in sites.columns if c not in by]
+    slots = NEIGHBOURS
+    if beside is not None:
+        extra_point = beside.join(points, [*by, LAT, LON])
+        marked = extra_point.withColumns({"corner": F.lit(NEIGHBOURS), "weight": F.lit(0.0)})
+        weights = weights.unionByName(marked.select(weights.columns))
+        slots += 1
     needed = [*by, MODEL, ISSUE, TARGET, LEAD, LAT, LON, *variables]
     rows = forecasts.select(*needed).join(weights, [*by, MODEL, LAT, LON])
-    picks = []
-    for k in range(NEIGHBOURS):
+    picks = [F.count_if(F.col("corner") < NEIGHBOURS).alias("_sampled"), F.count_if(F.col("corner") == NEIGHBOURS).alias("_beside")]
+    for k in range(slots):
         at = F.col("corner") == k
         picks.append(F.max(F.when(at, F.col("weight"))).alias(f"_w{k}"))
         picks += [F.min(F.when(at, F.col(v))).alias(f"_{v}_{k}") for v in variables]
     nodes = rows.groupBy(*by, *site_cols, MODEL, ISSUE, TARGET, LEAD).agg(*picks)
+    native_values = []
+    if beside is not None:
+        nodes = nodes.where((F.col("_sampled") > 0) & (F.col("_beside") > 0))
+        native_values = [F.col(f"_{v}_{NEIGHBOURS}").alias(f"{v}_native") for v in variables]
     values = [
         weighted_mean(
             [(F.coalesce(F.col(f"_w{k}"), F.lit(0.0)), F.col(f"_{v}_{k}")) for k in range(NEIGHBOURS)], v in circular
@@ -193,6 +208,7 @@ def interpolate_to_sites(
         F.col("site_latitude").alias(LAT),
         F.col("site_longitude").alias(LON),
         *values,
+        *native_values,
     )
     if not keep_native:
         return out

@@ -23,34 +23,21 @@ def site_error_table(forecasts: DataFrame, observations: DataFrame, variables, b
         grid_key = ["_grid"]
         forecasts, observations = forecasts.withColumn("_grid", F.lit(0)), observations.withColumn("_grid", F.lit(0))
     sites = observations.select(*grid_key, LAT, LON).dropna().distinct()
-    nearest = nearest_point(sites, forecasts, grid_key, GRID_RADIUS_KM).withColumnsRenamed(
-        {LAT: "site_lat", LON: "site_lon", "point_latitude": LAT, "point_longitude": LON}
-    )
-    named = sites.select(
-        *grid_key,
-        F.col(LAT).alias("site_latitude"),
-        F.col(LON).alias("site_longitude"),
-        F.col(LAT).alias("site_lat"),
-        F.col(LON).alias("site_lon"),
-    )
-    interpolated = interpolate_to_sites(forecasts, named, variables, "bilinear", grid_key, keep_native=False)
-    interp = interpolated.select(
-        *grid_key, "site_lat", "site_lon", MODEL, ISSUE, TARGET, *[F.col(v).alias(f"_{v}_interp") for v in variables]
-    )
-    # One native value per (site, issue, target): of copies the smallest counts.
-    native = (
-        forecasts.join(nearest, [*grid_key, LAT, LON])
-        .groupBy(*grid_key, "site_lat", "site_lon", "distance_km", MODEL, ISSUE, TARGET, LEAD)
-        .agg(*[F.min(v).alias(f"_{v}_native") for v in variables])
-    )
+    nearest = nearest_point(sites, forecasts, grid_key, GRID_RADIUS_KM)
+    place = [F.col(c).alias(n) for n, c in (("site_latitude", LAT), ("site_longitude", LON), ("site_lat", LAT), ("site_lon", LON))]
+    named = nearest.select(*grid_key, *place, "distance_km", "point_latitude", "point_longitude")
+    point = named.withColumnsRenamed({"point_latitude": LAT, "point_longitude": LON})
+    # Native and interpolated values come from one pass over the forecasts.
+    sampled = interpolate_to_sites(
+        forecasts, named.drop("point_latitude", "point_longitude"), variables, "bilinear", grid_key, keep_native=False, beside=point
+    ).drop(LAT, LON)
+    sampled = sampled.withColumnsRenamed({v: f"{v}_interp" for v in variables})
     observed = observations.groupBy(
         *grid_key, F.col(LAT).alias("site_lat"), F.col(LON).alias("site_lon"), F.col(OBS_TIME).alias(TARGET)
     ).agg(*[F.avg(v).alias(f"_{v}_obs") for v in variables])
-    joined = native.join(observed, [*grid_key, "site_lat", "site_lon", TARGET]).join(
-        interp, [*grid_key, "site_lat", "site_lon", MODEL, ISSUE, TARGET]
-    )
+    joined = sampled.join(observed, [*grid_key, "site_lat", "site_lon", TARGET])
     errors = [
-        error_of(F.col(f"_{v}_{kind}"), F.col(f"_{v}_obs"), v in CIRCULAR_ERROR_VARIABLES).alias(f"{v}_{kind}_error")
+        error_of(F.col(f"{v}_{kind}"), F.col(f"_{v}_obs"), v in CIRCULAR_ERROR_VARIABLES).alias(f"{v}_{kind}_error")
         for v in variables
         for kind in ("native", "interp")
     ]

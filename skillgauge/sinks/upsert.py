@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..schemas import ISSUE, LAT, LOCATION, LON, MODEL, OBS_TIME, TARGET
 from ..session import materialize
@@ -35,8 +35,11 @@ def keep_last(df: DataFrame, key: list[Column | str], order: list[Column | str])
 def _existing(spark: SparkSession, root: str) -> DataFrame | None:
     try:
         return spark.read.option("mergeSchema", True).parquet(root)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        # Only a table that is not there yet is fine; anything else is a real problem.
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def _upsert(new: DataFrame, root: str, key: list[str], partitions, order_by, keep_old_columns: bool) -> int:
