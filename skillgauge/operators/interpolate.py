@@ -153,6 +153,7 @@ def interpolate_to_sites(
     circular=CIRCULAR_GRID_VARIABLES,
     keep_native: bool = True,
     beside: DataFrame | None = None,
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (site, model, issue, target) with every variable at the site.
 
@@ -163,10 +164,11 @@ def interpolate_to_sites(
 
     `beside` names one grid point per site (the columns of `sites` plus latitude
     and longitude). Its values come along as `{variable}_native`, from the same
-    pass, and only targets that have both kinds are kept.
+    pass, and only targets that have both kinds are kept. `points` are the
+    stored `grid_points` of the forecasts, if the caller has them already.
     """
     by = list(by)
-    points = grid_points(forecasts, by)
+    points = grid_points(forecasts, by) if points is None else points
     eligible = sites
     if method == "bilinear":
         counts = points.select(*by, LAT, LON).distinct().groupBy(*by).count()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.angles import error_of
 from ..functions.geo import GRID_RADIUS_KM
 from ..schemas import CIRCULAR_ERROR_VARIABLES, ISSUE, LAT, LEAD, LON, MODEL, OBS_TIME, TARGET
-from .interpolate import interpolate_to_sites
+from .interpolate import grid_points, interpolate_to_sites
 from .nearest import nearest_point
 
 
@@ -23,13 +23,14 @@ def site_error_table(forecasts: DataFrame, observations: DataFrame, variables, b
         grid_key = ["_grid"]
         forecasts, observations = forecasts.withColumn("_grid", F.lit(0)), observations.withColumn("_grid", F.lit(0))
     sites = observations.select(*grid_key, LAT, LON).dropna().distinct()
-    nearest = nearest_point(sites, forecasts, grid_key, GRID_RADIUS_KM)
+    points = grid_points(forecasts, grid_key)
+    nearest = nearest_point(sites, points, grid_key, GRID_RADIUS_KM)
     place = [F.col(c).alias(n) for n, c in (("site_latitude", LAT), ("site_longitude", LON), ("site_lat", LAT), ("site_lon", LON))]
     named = nearest.select(*grid_key, *place, "distance_km", "point_latitude", "point_longitude")
     point = named.withColumnsRenamed({"point_latitude": LAT, "point_longitude": LON})
     # Native and interpolated values come from one pass over the forecasts.
     sampled = interpolate_to_sites(
-        forecasts, named.drop("point_latitude", "point_longitude"), variables, "bilinear", grid_key, keep_native=False, beside=point
+        forecasts, named.drop("point_latitude", "point_longitude"), variables, "bilinear", grid_key, keep_native=False, beside=point, points=points
     ).drop(LAT, LON)
     sampled = sampled.withColumnsRenamed({v: f"{v}_interp" for v in variables})
     observed = observations.groupBy(
