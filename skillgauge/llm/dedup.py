@@ -31,13 +31,12 @@ from .common import Words, arrow_map, mixed, slices, stored
 BANDS = 64
 ROWS = 8
 PLACES = BANDS * ROWS
+BITS = PLACES.bit_length() - 1  # PLACES is a power of two
 # Least similarity, in hundredths: intersection * 100 >= PERCENT * union.
 PERCENT = 80
 SHINGLE = 4
 
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-EDGES = (np.arange(PLACES, dtype=np.float64) * (2.0**64 / PLACES)).astype(np.uint64)
-
 SIGNED = "doc_id bigint, n_shingles bigint, class binary, buckets array<bigint>"
 
 
@@ -63,43 +62,50 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def detours(places: int = PLACES) -> np.ndarray:
-    """For each bin the order of bins it asks when empty: a hash of bin and attempt, the same for every document."""
-    bins = np.arange(places, dtype=np.uint64)
-    tries = [mixed(bins * FACTORS[0] + np.uint64(t) * FACTORS[1]) % np.uint64(places) for t in range(1, 65)]
-    return np.array(tries).T.astype(np.int64)
+def detours(places: int = PLACES, tries: int = 64) -> np.ndarray:
+    """For each attempt and bin the bin that an empty one asks: the same for every document."""
+    bin_, attempt = np.arange(places, dtype=np.uint64), np.arange(1, tries + 1, dtype=np.uint64)
+    return (mixed((attempt[:, None] << np.uint64(32)) + bin_) % np.uint64(places)).astype(np.int64)
 
 
 DETOURS = detours()
 BAND_SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least hash of each bin of a sorted, non-empty set, with empty bins filled by densification."""
-    first = np.searchsorted(hashes, EDGES)
-    after = np.append(first[1:], len(hashes))
-    full = first < after
-    source = np.where(full, np.arange(PLACES), -1)
-    for t in range(DETOURS.shape[1]):
-        missing = np.flatnonzero(source < 0)
-        if not len(missing):
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of `PLACES` values for each sorted, non-empty set: the least hash of each bin, empty bins filled by densification."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    # Bins are the top bits, so the first hash of a bin in order is its least.
+    bins = owner * PLACES + (flat >> np.uint64(64 - BITS)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+    out = np.zeros(len(sets) * PLACES, np.uint64)
+    full = np.zeros(len(sets) * PLACES, bool)
+    out[bins[first]] = flat[first]
+    full[bins[first]] = True
+    empty = np.flatnonzero(~full)
+    for ask in DETOURS:
+        at = empty - empty % PLACES + ask[empty % PLACES]
+        found = full[at]
+        out[empty[found]] = out[at[found]]
+        empty = empty[~found]
+        if not len(empty):
             break
-        ask = DETOURS[missing, t]
-        source[missing] = np.where(full[ask], ask, -1)
-    # Sets so small that all tries failed: the next full bin.
-    missing = np.flatnonzero(source < 0)
-    if len(missing):
-        there = np.flatnonzero(full)
-        source[missing] = there[np.searchsorted(there, missing) % len(there)]
-    return hashes[first[source]]
-
-
-def band_keys(sign: np.ndarray) -> np.ndarray:
-    key = BAND_SEEDS.copy()
+    for at in empty.tolist():  # a set so small that all attempts failed: its next full bin
+        row = at - at % PLACES
+        there = np.flatnonzero(full[row : row + PLACES])
+        out[at] = out[row + there[np.searchsorted(there, at - row) % len(there)]]
+    return out.reshape(len(sets), PLACES)
+
+
+def bucket_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """The keys of all bands, a row for each set."""
+    signs = signatures(sets).reshape(len(sets), BANDS, ROWS)
+    keys = np.broadcast_to(BAND_SEEDS, signs.shape[:2])
     with np.errstate(over="ignore"):
-        for column in sign.reshape(BANDS, ROWS).T:
-            key = mixed(key * FACTORS[2] + column)
-    return key.view(np.int64)
+        for row in range(ROWS):
+            keys = mixed(keys * FACTORS[2] + signs[:, :, row])
+    return keys.view(np.int64)
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
@@ -109,11 +115,13 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
         ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
         for a, b in slices(texts):
             sets = shingle_sets(texts[a:b], width)
+            some = [s for s in sets if len(s)]
+            keys = iter(bucket_keys(some).tolist() if some else [])
             yield {
                 "doc_id": ids.slice(a, b - a),
                 "n_shingles": [len(s) for s in sets],
                 "class": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "buckets": [band_keys(signature(s)).tolist() if len(s) else None for s in sets],
+                "buckets": [next(keys) if len(s) else None for s in sets],
             }
 
     return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SIGNED)

@@ -39,9 +39,8 @@ THRESHOLD = 0.3
 REPEAT = 3
 MATCH = 4
 LOW, HIGH = -4, 24
-WORD = re.compile(rb"[a-z\x80-\xff]+")
 # A longer run of letters is cut: no word has so many.
-LONGEST = 64
+WORD = re.compile(rb"[a-z\x80-\xff]{1,64}")
 CACHE = 1_000_000
 
 SCORED = "doc_id bigint, score double, predicted int"
@@ -61,10 +60,7 @@ class ToxicModel:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    found = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
-    if any(len(w) > LONGEST for w in found):
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    return WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
 
 
 def window(word: bytes) -> bytes:
@@ -88,20 +84,21 @@ class Distances:
         self.plain, self.both = compressor(ordinary), compressor(toxic + ordinary)
 
     def of(self, word: bytes) -> int:
-        value = self.known.get(word)
-        if value is None:
-            text = window(word)
-            value = 0
-            if not self.grams.isdisjoint(grams(text[: 2 * len(word) + 2])):
-                value = min(max(len(self.plain.compress(text)) - len(self.both.compress(text)), LOW), HIGH)
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[word] = value
-        return value
+        text = window(word)
+        if self.grams.isdisjoint(grams(text[: 2 * len(word) + 2])):
+            return 0
+        return min(max(len(self.plain.compress(text)) - len(self.both.compress(text)), LOW), HIGH)
 
     def histogram(self, text: str | None) -> np.ndarray:
-        found = np.fromiter(map(self.of, words_of(text)), np.int64)
-        return np.bincount(found - LOW, minlength=HIGH - LOW + 1)
+        found = words_of(text)
+        fresh = set(found).difference(self.known)
+        if len(self.known) + len(fresh) > CACHE:
+            self.known.clear()
+            fresh = set(found)
+        for word in fresh:
+            self.known[word] = self.of(word)
+        values = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        return np.bincount(values - LOW, minlength=HIGH - LOW + 1)
 
 
 def compressor(data: bytes) -> zstandard.ZstdCompressor:
