@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import dedup, licenses, packing, quality, secrets, toxicity
+from . import dedup, langid, licenses, lm, packing, pieces, quality, secrets, topk, toxicity
 from .common import remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,24 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.fit(docs, remainder("doc_id", 3) != 1))
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "languages")
+
+
+def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and hash of each text's ids, and the hash of the text that they decode to."""
+    ids = pieces.encoded(table(spark, sf_dir, "documents"))
+    return pieces.with_decoded(ids).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, remainder("doc_id", 4) != 2)
@@ -50,6 +68,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,8 +83,12 @@ QUERIES: dict[str, Query] = {
     "op2_minhash_dedup": Query(op2_minhash_dedup),
     "op3_best_fit_packing": Query(op3_best_fit_packing),
     "op4_secret_scan": Query(op4_secret_scan),
+    "op5_exact_top_k": Query(op5_exact_top_k),
+    "op6_language_mixture": Query(op6_language_mixture),
+    "op7_piece_encoding": Query(op7_piece_encoding),
     "op8_toxicity": Query(op8_toxicity),
     "op9_quality_rules": Query(op9_quality_rules),
+    "op10_lm_score": Query(op10_lm_score),
     "pipeline": Query(pipeline),
 }
 

@@ -48,6 +48,9 @@ RANDOM_SAMPLES = 2000
 # Working columns, named so that no column of a caller clashes.
 BASE, ALL = "_secret_spans_base", "_secret_spans_all"
 
+# Steps by which single characters smooth a row of a model.
+PRIOR = 5.0
+
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
 NO_SPANS = f"CAST(array() AS {SPANS})"
 
@@ -114,17 +117,24 @@ def labelled(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> list[float]:
     """Log-likelihood ratio of each step, as a flat table of SIZE * SIZE values; the driver gets no more rows than twice that.
 
-    Both models are smoothed by one for each step.
+    Steps of both models are smoothed by their frequencies of single characters.
     """
-    counts = {0: [1.0] * (SIZE * SIZE), 1: [1.0] * (SIZE * SIZE)}
+    counts = {0: [0] * (SIZE * SIZE), 1: [0] * (SIZE * SIZE)}
     for row in pair_counts(labelled(docs)).collect():
         counts[row["label"]][row["code"]] += row["n"]
+    ordinary, random = (log_model(counts[label]) for label in (0, 1))
+    return [r - o for o, r in zip(ordinary, random, strict=True)]
+
+
+def log_model(counts: list[int]) -> list[float]:
+    """Log probability of each step: its count, and PRIOR further steps that follow the frequency of the character reached."""
+    total = sum(counts)
+    single = [(sum(counts[at::SIZE]) + 0.5) / (total + 0.5 * SIZE) for at in range(SIZE)]
     out = []
     for before in range(SIZE):
-        at = slice(before * SIZE, (before + 1) * SIZE)
-        ordinary, random = counts[0][at], counts[1][at]
-        a, b = sum(ordinary), sum(random)
-        out += [math.log(r / b) - math.log(o / a) for o, r in zip(ordinary, random, strict=True)]
+        row = counts[before * SIZE : (before + 1) * SIZE]
+        whole = sum(row) + PRIOR
+        out += [math.log((n + PRIOR * p) / whole) for n, p in zip(row, single, strict=True)]
     return out
 
 

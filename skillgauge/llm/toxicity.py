@@ -56,6 +56,7 @@ class ToxicModel:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    prior: float
     key: str
 
 
@@ -123,13 +124,13 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def logit(features: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    """Weights of a logistic curve by Newton's method, with a small penalty that keeps the system regular."""
+def logit(features: np.ndarray, y: np.ndarray, counts: np.ndarray, penalty: float = 1e-2, rounds: int = 60) -> np.ndarray:
+    """Weights of a logistic curve by Newton's method, with a small penalty that keeps the system regular; row i counts counts[i] times."""
     w = np.zeros(features.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        slope = features.T @ (y - p) - penalty * w
-        curve = (features * (p * (1 - p))[:, None]).T @ features + penalty * np.eye(len(w))
+        slope = features.T @ (counts * (y - p)) - penalty * w
+        curve = (features * (counts * p * (1 - p))[:, None]).T @ features + penalty * np.eye(len(w))
         w += np.linalg.solve(curve, slope)
     return w
 
@@ -142,10 +143,13 @@ def features(histograms: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(n)), histograms @ ratios, np.log1p(up), np.log1p(n), up / np.sqrt(n + 1), np.log1p(strong)])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """doc_id, label, family and distinct words of at most MAX_TOXIC + MAX_ORDINARY labelled documents."""
+def known_labels(labels: DataFrame, learn: Column) -> DataFrame:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learn)
-    one = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def labelled_sample(docs: DataFrame, one: DataFrame) -> DataFrame:
+    """doc_id, label, family, distinct words and text of at most MAX_TOXIC + MAX_ORDINARY labelled documents."""
     order = (F.xxhash64("doc_id"), "doc_id")
     ids = one.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(one.where("toxic = 0").orderBy(*order).limit(MAX_ORDINARY))
 
@@ -175,11 +179,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Toxi
 
     Without labels of both kinds nothing is found toxic.
     """
-    sample = labelled_sample(docs, labels, F.lit(True) if learn is None else learn)
+    one = known_labels(labels, F.lit(True) if learn is None else learn)
+    all_sizes = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sample = labelled_sample(docs, one)
     single = sample.groupBy("toxic", "family").agg(F.min_by("words", "doc_id").alias("words"))
     sizes = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    empty = ToxicModel(b"", b"", np.zeros(HIGH - LOW + 1), np.zeros(6), np.ones(6), np.zeros(6), "")
+    empty = ToxicModel(b"", b"", np.zeros(HIGH - LOW + 1), np.zeros(6), np.ones(6), np.zeros(6), 0.0, "")
     if not n1 or not n0:
         return empty
     counts = single.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
@@ -207,7 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Toxi
     mean, scale = x.mean(0), x.std(0)
     mean[0], scale[0] = 0, 1
     scale[scale == 0] = 1
-    return ToxicModel(toxic, ordinary, ratios, mean, scale, logit((x - mean) / scale, y), uuid.uuid4().hex)
+    # The two bounds change the proportion of the labels; the curve is fitted to the true one.
+    often = np.where(y == 1, all_sizes[1] / max(1, (y == 1).sum()), all_sizes[0] / max(1, (y == 0).sum()))
+    weights = logit((x - mean) / scale, y, often / often.mean())
+    return ToxicModel(toxic, ordinary, ratios, mean, scale, weights, all_sizes[1] / (all_sizes[0] + all_sizes[1]), uuid.uuid4().hex)
 
 
 def judge(texts: list[str | None], model: ToxicModel) -> np.ndarray:
@@ -216,13 +225,13 @@ def judge(texts: list[str | None], model: ToxicModel) -> np.ndarray:
     of = distances(model.toxic, model.ordinary)
     histograms = np.array([of.histogram(t) for t in texts], float).reshape(len(texts), -1)
     x = (features(histograms, model.ratios) - model.mean) / model.scale
-    return 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
+    return np.where(histograms.sum(1) > 0, 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))), model.prior)
 
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: score (higher: label 1 is likelier) and verdict.
 
-    Null and empty texts have no windows and get the score of an empty histogram.
+    Null and empty texts have no windows; their score is the share of toxic labels.
     Repeated rows are scored each for itself. Other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few ten kilobytes
