@@ -37,7 +37,7 @@ def _has_many_points(df: DataFrame) -> bool:
 def align(forecasts: DataFrame, observations: DataFrame, variables, point_keys: bool | None = None) -> DataFrame:
     """Left join on target = observation time and location: every forecast survives.
 
-    Forecast-side coordinates win; location ids that are null on both sides match.
+    Forecast-side coordinates win; ids, coordinates and elevations that are null on both sides match.
     """
     keys = join_keys(forecasts, observations, point_keys)
     f_cols = [c for c in forecasts.columns if c not in variables]
@@ -49,8 +49,7 @@ def align(forecasts: DataFrame, observations: DataFrame, variables, point_keys:
     )
     on = F.col(TARGET) == F.col(OBS_TIME)
     for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_o_{k}")) if k == LOCATION else F.col(k) == F.col(f"_o_{k}")
-        on = on & same
+        on = on & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
     return f.join(o, on, "left").drop(*[f"_o_{k}" for k in keys])
 
 

@@ -125,10 +125,11 @@ def metrics_by_grouping_sets(df: DataFrame, sets, variables, metrics=METRICS) ->
             F.sum(f"_a{i}").alias(f"_a{i}"),
             F.sum(f"_q{i}").alias(f"_q{i}"),
             F.sum(n * m).alias(f"_t{i}"),
-            F.sum(n * m * m).alias(f"_b{i}"),
             F.sum(f"_s{i}").alias(f"_s{i}"),
         ]
-    rolled = moments.groupingSets([[F.col(d) for d in s] for s in sets], *[F.col(d) for d in dims]).agg(*merged)
+    expanded = moments.groupingSets([[F.col(d) for d in s] for s in sets], *[F.col(d) for d in dims])
+    rolled = expanded.agg(*merged)
+    rolled = _with_between(moments, rolled, sets, dims, len(variables))
     names = {_grouping_id(dims, s): s for s in sets}
     label, keep = F.lit(None).cast("string"), F.lit(False)
     for gid, s in names.items():
@@ -141,7 +142,7 @@ def metrics_by_grouping_sets(df: DataFrame, sets, variables, metrics=METRICS) ->
     for i, v in enumerate(variables):
         n = F.col(f"_n{i}")
         mean = F.try_divide(F.col(f"_t{i}"), n)
-        spread = F.greatest(F.col(f"_s{i}") + F.col(f"_b{i}") - mean * F.col(f"_t{i}"), F.lit(0.0))
+        spread = F.col(f"_s{i}") + F.col(f"_b{i}")
         values = {
             "mae": F.try_divide(F.col(f"_a{i}"), n),
             "rmse": F.sqrt(F.try_divide(F.col(f"_q{i}"), n)),
@@ -152,6 +153,34 @@ def metrics_by_grouping_sets(df: DataFrame, sets, variables, metrics=METRICS) ->
     return rolled.where(keep).select(label.alias("grouping"), *dims, F.inline(F.array(*rows)))
 
 
+def _with_between(moments: DataFrame, rolled: DataFrame, sets, dims: list[str], variables: int) -> DataFrame:
+    """`rolled` with the spread of the merged groups' means around the mean of each merged group.
+
+    Squares of the deviations themselves are summed, so a large common mean costs
+    no digits. Both tables have a row per combination of dimensions.
+    """
+    masks = [
+        F.struct(F.lit(_grouping_id(dims, s)).alias("_gid"), *[(F.col(d) if d in s else F.lit(None).cast(moments.schema[d].dataType)).alias(f"_g_{d}") for d in dims])
+        for s in sets
+    ]
+    parts = moments.select(*[c for c in moments.columns if c not in dims], F.inline(F.array(*masks)))
+    means = rolled.select(
+        F.col("_gid").alias("_mid"),
+        *[F.col(d).alias(f"_m_{d}") for d in dims],
+        *[F.try_divide(F.col(f"_t{i}"), F.col(f"_n{i}")).alias(f"_mean{i}") for i in range(variables)],
+    )
+    same = F.col("_gid") == F.col("_mid")
+    for d in dims:
+        same = same & F.col(f"_g_{d}").eqNullSafe(F.col(f"_m_{d}"))
+    off = [F.col(f"_m{i}") - F.col(f"_mean{i}") for i in range(variables)]
+    between = parts.join(means, same).groupBy("_mid", *[f"_m_{d}" for d in dims])
+    between = between.agg(*[F.sum(F.col(f"_n{i}") * o * o).alias(f"_b{i}") for i, o in enumerate(off)])
+    back = F.col("_gid") == F.col("_mid")
+    for d in dims:
+        back = back & F.col(d).eqNullSafe(F.col(f"_m_{d}"))
+    return rolled.join(between, back).drop("_mid", *[f"_m_{d}" for d in dims])
+
+
 def _grouping_id(dims: list[str], present: list[str]) -> int:
     return sum(1 << (len(dims) - 1 - k) for k, d in enumerate(dims) if d not in present)
 

@@ -80,9 +80,14 @@ def remaining_tasks(plan: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def uncovered(plan: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Forecast tasks whose (location, model, month) has no stored row.
+    """Tasks with a month that has no stored row, and those months (their first days) in `missing_months`.
 
-    `inventory` has location_id, model, year, month.
+    `inventory` has location_id, model, year, month; stored observations have a
+    null model there, like the tasks that ask for them.
     """
-    keyed = plan.where(F.col(MODEL).isNotNull()).withColumns({"year": F.year("chunk_start"), "month": F.month("chunk_start")})
-    return keyed.join(inventory.select("location_id", MODEL, "year", "month").distinct(), ["location_id", MODEL, "year", "month"], "left_anti")
+    first = F.trunc("chunk_start", "month")
+    months = plan.select("task_id", "location_id", MODEL, F.explode(F.sequence(first, F.col("chunk_end"), F.expr("INTERVAL 1 MONTH"))).alias("_month"))
+    have = inventory.select(F.col("location_id").alias("_l"), F.col(MODEL).alias("_m"), F.make_date("year", "month", F.lit(1)).alias("_d")).distinct()
+    on = (F.col("location_id") == F.col("_l")) & F.col(MODEL).eqNullSafe(F.col("_m")) & (F.col("_month") == F.col("_d"))
+    missing = months.join(have, on, "left_anti").groupBy("task_id").agg(F.array_sort(F.collect_set("_month")).alias("missing_months"))
+    return plan.join(missing, "task_id")

@@ -29,9 +29,12 @@ def value_bucket(width: float) -> Bucket:
 
     def bucket(value: Column) -> Column:
         magnitude = F.abs(value)
+        # Infinities, and NaN above them, have end buckets of their own.
+        endless = F.when(F.isnan(value), F.lit(1 << 41)).when(magnitude == float("inf"), F.signum(value).cast("bigint") * (1 << 40))
+        magnitude = F.when(endless.isNull(), magnitude)
         steps = F.floor((F.log(magnitude) - F.lit(math.log(SMALLEST))) / F.lit(math.log1p(width))) + 1
-        signed = F.signum(value).cast("bigint") * steps
-        return F.coalesce(F.when(magnitude < SMALLEST, F.lit(0)).otherwise(signed).cast("bigint"), F.lit(0))
+        signed = F.when(endless.isNull(), F.signum(value).cast("bigint")) * steps
+        return F.coalesce(endless, F.when(magnitude < SMALLEST, F.lit(0)).otherwise(signed).cast("bigint"), F.lit(0))
 
     return bucket
 
@@ -118,7 +121,9 @@ def exact_quantiles(df: DataFrame, value: str, percentiles, by=()) -> DataFrame:
     wanted = F.array(*[target(p) for p in percentiles])
     picked = _pick(counts, by, wanted)
     gap = F.col("_want.position") - F.col("_want.lo")
-    estimate = F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * gap
+    # Equal neighbours, also infinite ones, are the value itself.
+    between = F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * gap
+    estimate = F.when(F.col("_lo_v") == F.col("_hi_v"), F.col("_lo_v")).when(gap == 0, F.col("_lo_v")).otherwise(between)
     return picked.select(*by, F.col("_want.percentile").alias("percentile"), estimate.alias("value"))
 
 

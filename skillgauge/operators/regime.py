@@ -58,11 +58,11 @@ def select_models(contexts: DataFrame, rules: DataFrame, models: list[str], entr
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_exc")))).alias("_excluded"),
         F.count(F.lit(1)).alias("_rules"),
     )
-    joined = contexts.select(*own).join(per_context, own, "left")
+    joined = _left_null_safe(contexts.select(*own), per_context, own)
     asks = contexts.select(*own, F.lit(None).cast("int").alias("lead_hours"))
     skill = skill_by_context(entries, asks).where(F.col("model").isin(*models))
     top = best_model(skill, own).select(*own, F.col("model").alias("_top"))
-    joined = joined.join(top, own, "left")
+    joined = _left_null_safe(joined, top, own)
     by_rule = F.coalesce("_chosen", F.array().cast("array<struct<o:int,model:string,reason:string>>"))
     fallback = F.when(
         F.col("_top").isNotNull(),
@@ -75,3 +75,12 @@ def select_models(contexts: DataFrame, rules: DataFrame, models: list[str], entr
         F.coalesce("_excluded", F.array().cast("array<string>")).alias("excluded_models"),
         F.coalesce("_rules", F.lit(0)).cast("int").alias("rules_applied"),
     )
+
+
+def _left_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on `keys`, where a null season or region, which means any, matches itself."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, on, "left").drop(*[f"_r_{k}" for k in keys])

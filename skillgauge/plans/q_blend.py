@@ -59,7 +59,7 @@ def contexts(spark, sf):
     leads = entries(spark, sf).select("variable", "lead_hours").distinct()
     asked = F.array(F.col("lead_hours"), F.col("lead_hours") + 1000, F.lit(None).cast("int"))
     rows = leads.select("variable", F.explode(asked).alias("lead_hours"))
-    return rows.select("variable", "lead_hours", F.explode(F.array(F.lit("DJF"), F.lit("JJA"))).alias("season"), F.lit("").alias("region")).distinct()
+    return rows.select("variable", "lead_hours", F.explode(F.array(F.lit("DJF"), F.lit("JJA"), F.lit(None))).alias("season"), F.lit("").alias("region")).distinct()
 
 
 _LEVELS = "lv(level, l, s, r) AS (VALUES (1,1,1,1), (2,1,1,0), (3,1,0,1), (4,1,0,0), (5,0,1,1), (6,0,1,0), (7,0,0,1), (8,0,0,0))"
@@ -166,7 +166,7 @@ _WEIGHT_DOUBLES = "weight historical_skill_contribution recent_skill_contributio
     sql=on_ensemble(f"SELECT {_WEIGHT_COLUMNS} FROM wt", _WEIGHT_DOUBLES, SKILL + _weights_ctes()),
 )
 def _(spark, sf):
-    return weighting.model_weights(entries(spark, sf), contexts(spark, sf)).drop("rationale")
+    return weighting.model_weights(entries(spark, sf), contexts(spark, sf)).drop("grades")
 
 
 _RECENT = (
@@ -184,7 +184,7 @@ _RECENT = (
 def _(spark, sf):
     recent = entries(spark, sf).where("lead_hours <= 72").select("model", "metric_type", "value")
     everywhere = literal_table(spark, [("load", None, "", "")], CONTEXT_SCHEMA)
-    return weighting.model_weights(entries(spark, sf), everywhere, recent=recent).drop("rationale")
+    return weighting.model_weights(entries(spark, sf), everywhere, recent=recent).drop("grades")
 
 
 def weights(spark, sf):
@@ -412,8 +412,8 @@ RULES = [
         "SELECT location_id AS context_id, season, region, CASE WHEN season = 'DJF' AND region = 'north' THEN 'click,view,signup' WHEN season = 'DJF' THEN 'click,view' WHEN region = 'north' THEN 'signup' "
         "ELSE (SELECT arg_min(model, (value, model)) FROM en WHERE metric_type = 'mae') END AS selected, "
         "CASE WHEN season = 'DJF' AND region = 'north' THEN 'error,view' WHEN season = 'DJF' THEN 'error' WHEN region = 'north' THEN 'view' ELSE '' END AS excluded, "
-        "CAST((season = 'DJF')::INT + (region = 'north')::INT AS INT) AS rules_applied FROM (SELECT DISTINCT location_id, CASE WHEN latitude >= 52.5 THEN 'north' ELSE 'south' END AS region FROM ens_forecasts) AS l, "
-        "(VALUES ('DJF'), ('JJA')) AS s(season)",
+        "CAST(coalesce(season = 'DJF', FALSE)::INT + coalesce(region = 'north', FALSE)::INT AS INT) AS rules_applied FROM (SELECT DISTINCT location_id, CASE WHEN latitude >= 52.5 THEN 'north' WHEN latitude >= 51 THEN 'south' END AS region FROM ens_forecasts) AS l, "
+        "(VALUES ('DJF'), ('JJA'), (NULL)) AS s(season)",
         "",
         ENTRIES,
     ),
@@ -423,8 +423,8 @@ def _(spark, sf):
     asked = places.select(
         F.col("location_id").alias("context_id"),
         F.lit("load").alias("variable"),
-        F.explode(F.array(F.lit("DJF"), F.lit("JJA"))).alias("season"),
-        F.when(F.col("latitude") >= 52.5, "north").otherwise("south").alias("region"),
+        F.explode(F.array(F.lit("DJF"), F.lit("JJA"), F.lit(None))).alias("season"),
+        F.when(F.col("latitude") >= 52.5, "north").when(F.col("latitude") >= 51, "south").alias("region"),
     )
     pool = ["click", "error", "purchase", "signup", "view"]
     out = regime.select_models(asked, regime.rule_table(spark, RULES), pool, entries(spark, sf))

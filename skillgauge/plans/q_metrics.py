@@ -332,6 +332,24 @@ def _(spark, sf):
     return out.select("forecast_target_time", "model", "latitude", "longitude", "forecast_load", "observed_load")
 
 
+@query(
+    "jn02_null_elevation",
+    "JN-02",
+    sql=on_ensemble(
+        "SELECT f.forecast_target_time, f.model, f.latitude, f.longitude, CASE WHEN f.latitude >= 52 THEN CAST(10.0 AS DOUBLE) END AS elevation, "
+        "f.value AS forecast_load, o.value AS observed_load FROM ens_forecasts f LEFT JOIN ens_observations o "
+        "ON f.forecast_target_time = o.observation_time AND f.latitude = o.latitude AND f.longitude = o.longitude",
+        "latitude longitude elevation forecast_load observed_load",
+    ),
+)
+def _(spark, sf):
+    # Elevations are known in the north only; elsewhere they are null on both sides.
+    height = F.when(F.col("latitude") >= 52, F.lit(10.0))
+    level = lambda df: df.withColumnRenamed("value", "load").drop("variable", "location_id").withColumn("elevation", height)
+    out = align.align(level(ensemble_forecasts(spark, sf)), level(ensemble_observations(spark, sf)), ["load"], point_keys=True)
+    return out.select("forecast_target_time", "model", "latitude", "longitude", "elevation", "forecast_load", "observed_load")
+
+
 def aligned_long(spark, sf):
     return align.align_long(ensemble_forecasts(spark, sf), ensemble_observations(spark, sf))
 

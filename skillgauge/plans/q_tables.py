@@ -642,6 +642,43 @@ def _(spark, sf):
     return planning.uncovered(_plan(spark, sf), inventory).select("location_id", "model", "chunk_start", "chunk_end")
 
 
+_TWO_MONTHS = (
+    "plan2 AS (SELECT l.location_id, k.kind, k.model, CAST(s AS DATE) AS chunk_start, "
+    "least(CAST(s + INTERVAL 2 MONTH - INTERVAL 1 DAY AS DATE), DATE '1998-12-31') AS chunk_end FROM (SELECT DISTINCT location_id FROM verification) AS l, "
+    "(VALUES ('historical_forecast', 'AF'), ('historical_forecast', 'RO'), ('observations', NULL)) AS k(kind, model), "
+    "generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-12-31', INTERVAL 2 MONTH) AS months(s)), "
+    "stock AS (SELECT DISTINCT location_id, model, CAST(date_trunc('month', forecast_target_time) AS DATE) AS month FROM verification "
+    "UNION SELECT DISTINCT location_id, NULL, CAST(date_trunc('month', observation_time) AS DATE) FROM verification "
+    "WHERE observation_time IS NOT NULL AND month(observation_time) <> 2)"
+)
+
+
+@query(
+    "dq19_two_month_chunks",
+    "DQ-19",
+    sql=on_verification(
+        "SELECT location_id, kind, model, chunk_start, chunk_end, count(*) AS missing FROM (SELECT *, unnest([chunk_start, CAST(chunk_start + INTERVAL 1 MONTH AS DATE)]) AS m FROM plan2) AS p "
+        "WHERE m <= chunk_end AND NOT EXISTS (SELECT 1 FROM stock WHERE stock.location_id = p.location_id AND stock.model IS NOT DISTINCT FROM p.model AND stock.month = p.m) "
+        "GROUP BY ALL",
+        "",
+        _TWO_MONTHS,
+    ),
+)
+def _(spark, sf):
+    # The stock of observations lacks every February, the second month of a chunk.
+    rows = verification(spark, sf)
+    keys = ("location_id", "model", "year", "month")
+    forecasts = tables.partition_inventory(rows.withColumn("year", F.year("forecast_target_time")), keys)
+    seen = rows.where("observation_time IS NOT NULL AND month(observation_time) <> 2").withColumns(
+        {"year": F.year("observation_time"), "month": F.month("observation_time"), "model": F.lit(None).cast("string")}
+    )
+    stock = forecasts.select(*keys).unionByName(seen.select(*keys).distinct())
+    places = rows.select(F.col("location_id").alias("name"), "latitude", "longitude").distinct()
+    plan = planning.coverage_plan(places, ["AF", "RO"], "1998-01-01", "1998-12-31", kinds=["historical_forecast", "observations"], months=2)
+    gaps = planning.uncovered(plan, stock)
+    return gaps.select("location_id", "kind", "model", "chunk_start", "chunk_end", F.size("missing_months").cast("bigint").alias("missing"))
+
+
 @query(
     "jn15_remaining_tasks",
     "JN-15",

@@ -15,7 +15,6 @@ from ..sources import driver_views
 from ..sources.driver_views import ENSEMBLE_CTE, SHIPMENTS_CTE, VERIFICATION_CTE
 
 Run = Callable[[SparkSession, str], DataFrame]
-DIGITS = 9
 
 
 @dataclass(frozen=True)
@@ -30,7 +29,7 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(name: str, *ids: str, sql: str | None = None):
-    """Register a query; floating results are rounded on both sides because sums differ in order."""
+    """Register a query; the last bits of doubles are cut on both sides, because sums differ in order."""
 
     def register(run: Run) -> Run:
         if name in REGISTRY:
@@ -46,24 +45,37 @@ def query(name: str, *ids: str, sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Every double column at single precision, tiny residues and negative zero made zero.
+def rounded(df: DataFrame) -> DataFrame:
+    """Every double column at 31 significant bits (over nine digits), and below 1 at multiples of 2**-30.
 
-    Decimal rounding alone would split values that end in a 5, such as prices
-    divided by 32, depending on the last bit of a sum.
+    Sums differ between engines in their last bits. Both steps are sums and
+    products that every engine rounds alike, and no decimal or dyadic result lies
+    half way between two steps.
     """
-    new = {
-        f.name: F.round(f.name, digits).cast("float").cast("double") + F.lit(0.0)
-        for f in df.schema.fields
-        if isinstance(f.dataType, T.DoubleType)
-    }
+    new = {f.name: _steps(F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
     return df.withColumns(new) if new else df
 
 
+# Factor and summand whose rounding cuts a double to 31 bits, and to multiples of 2**-30.
+FACTOR, SUMMAND = 4194305.0, 6291456.0
+
+
+def _steps(x):
+    long = x * F.lit(FACTOR)
+    significant = long - (long - x)
+    small = (x + F.lit(SUMMAND)) - F.lit(SUMMAND)
+    return F.when(F.abs(x) < 1, small + F.lit(0.0)).when(F.abs(x) < 1e300, significant).otherwise(x)
+
+
 def _rounding(body: str, doubles: str) -> str:
     if not doubles:
         return body
-    replaced = ", ".join(f"CAST(CAST(round({c}, {DIGITS}) AS FLOAT) AS DOUBLE) + 0.0 AS {c}" for c in doubles.split())
+    f, s = (f"CAST({v} AS DOUBLE)" for v in (FACTOR, SUMMAND))
+    replaced = ", ".join(
+        f"CASE WHEN abs({c}) < 1 THEN ((CAST({c} AS DOUBLE) + {s}) - {s}) + 0.0 WHEN abs({c}) < 1e300 "
+        f"THEN {c} * {f} - ({c} * {f} - {c}) ELSE {c} END AS {c}"
+        for c in doubles.split()
+    )
     return f"SELECT * REPLACE ({replaced}) FROM ({body}) AS t"
 
 

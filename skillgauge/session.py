@@ -42,12 +42,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
-    Where that is unset (a test on one machine) a local folder is chosen once
-    per session and remembered in the same setting's place.
+    Where that is unset, a session on one machine gets a local folder, chosen once;
+    on a cluster, whose executors would not see each other's files, it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = spark.conf.get("skillgauge.scratch.dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="skillgauge-")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import ISSUE, LAT, LOCATION, LON, MODEL, OBS_TIME, TARGET
 from ..session import materialize
@@ -32,25 +35,69 @@ def keep_last(df: DataFrame, key: list[Column | str], order: list[Column | str])
     return df.groupBy(*named).agg(last).select("_last.*")
 
 
-def _existing(spark: SparkSession, root: str) -> DataFrame | None:
+# More partitions than this in one batch are joined instead of listed.
+MAX_LISTED = 2000
+
+
+def _stored_schema(spark: SparkSession, root: str) -> T.StructType | None:
+    """The schema that the last upsert left beside the data; null where there is no table yet."""
     try:
-        return spark.read.option("mergeSchema", True).parquet(root)
+        rows = spark.read.text(f"{root}/_schema", wholetext=True).collect()
     except AnalysisException as error:
         # Only a table that is not there yet is fine; anything else is a real problem.
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
+    return T.StructType.fromJson(json.loads("".join(r[0] for r in rows)))
+
+
+def _inferred_schema(spark: SparkSession, root: str, partitions: T.StructType) -> T.StructType | None:
+    """The schema of a table that another writer left there, with the batch's types of partition columns; null without a table."""
+    try:
+        found = spark.read.option("mergeSchema", True).parquet(root).schema
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return T.StructType([partitions[f.name] if f.name in partitions.names else f for f in found])
+
+
+def _store_schema(spark: SparkSession, root: str, schema: T.StructType) -> None:
+    spark.range(1).select(F.lit(schema.json()).alias("value")).coalesce(1).write.mode("overwrite").text(f"{root}/_schema")
+
+
+def existing(spark: SparkSession, root: str, touched: DataFrame, partitions) -> DataFrame | None:
+    """Rows of the partitions in `touched`, or null where there is no table.
+
+    The partition values of a batch are few; as literals in the filter they prune
+    the folders that are listed and read. The schema is the stored one, so no
+    footer is opened for it.
+    """
+    schema = _stored_schema(spark, root) or _inferred_schema(spark, root, touched.schema)
+    if schema is None:
+        return None
+    old = spark.read.schema(schema).parquet(root)
+    values = touched.limit(MAX_LISTED + 1).collect()
+    if len(values) > MAX_LISTED:
+        return old.join(touched, list(partitions), "left_semi")
+    wanted = F.lit(False)
+    for row in values:
+        same = F.lit(True)
+        for p in partitions:
+            same = same & (F.col(p).isNull() if row[p] is None else F.col(p) == F.lit(row[p]))
+        wanted = wanted | same
+    return old.where(wanted)
 
 
 def _upsert(new: DataFrame, root: str, key: list[str], partitions, order_by, keep_old_columns: bool) -> int:
     spark = new.sparkSession
     touched = new.select(*partitions).distinct()
     batch = new.withColumn("_seq", F.lit(1))
-    old = _existing(spark, root)
+    old = existing(spark, root, touched, partitions)
+    union = new.schema
     if old is not None:
-        old = old.withColumns({p: F.col(p).cast(new.schema[p].dataType) for p in partitions})
-        # Only partitions the batch touches are read; the partition keys prune the rest at run time.
-        old = old.join(touched, list(partitions), "left_semi").withColumn("_seq", F.lit(0))
+        union = T.StructType([*new.schema, *[f for f in old.schema if f.name not in new.columns]])
+        old = old.withColumn("_seq", F.lit(0))
         if not keep_old_columns:
             old = old.select(*[c for c in batch.columns if c in old.columns])
         batch = old.unionByName(batch, allowMissingColumns=True)
@@ -61,6 +108,7 @@ def _upsert(new: DataFrame, root: str, key: list[str], partitions, order_by, kee
     # One hot partition is split over several writers, small ones share one.
     out = staged.hint("rebalance", *partitions)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(root)
+    _store_schema(spark, root, union)
     return staged.count()
 
 

@@ -94,7 +94,7 @@ def test_models_without_entries_and_recent_skill(spark):
     recent = spark.createDataFrame([("new", "mae", 1.0), ("a", "mae", 4.0), ("a", "mae", 2.0)], "model string, metric_type string, value double")
     rows = {r.model: r for r in weighting.model_weights(store, ask(spark), models=["a", "new"], recent=recent).collect()}
     assert rows["new"].recent_skill_contribution == pytest.approx(0.25) and rows["a"].recent_skill_contribution == pytest.approx(0.25 / 3)
-    assert "no historical skill data" in rows["new"].rationale and "consistent recent performance" in rows["new"].rationale
+    assert rows["new"].grades.historical_skill is None and rows["new"].grades.recent_skill == "high"
 
 
 def members(spark, rows):
