@@ -78,9 +78,12 @@ def select_models(contexts: DataFrame, rules: DataFrame, models: list[str], entr
 
 
 def _left_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on `keys`, where a null season or region, which means any, matches itself."""
+    """Left join on `keys`, where a season or region that is null or empty, which means any, matches itself."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = F.lit(True)
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        mine, other = F.col(k), F.col(f"_r_{k}")
+        if k in MATCHING:
+            mine, other = F.coalesce(mine, F.lit("")), F.coalesce(other, F.lit(""))
+        on = on & mine.eqNullSafe(other)
     return left.join(renamed, on, "left").drop(*[f"_r_{k}" for k in keys])

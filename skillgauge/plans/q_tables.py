@@ -461,7 +461,7 @@ def _(spark, sf):
     sql="WITH "
     + ENSEMBLE_CTE
     + ", v AS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey "
-    "WHERE datediff('day', o_orderdate, l_shipdate) BETWEEN 0 AND 365) SELECT (SELECT count(*) FROM ens_forecasts) AS forecast_rows, "
+    "WHERE datediff('day', o_orderdate, l_shipdate) >= 0) SELECT (SELECT count(*) FROM ens_forecasts) AS forecast_rows, "
     "(SELECT count(*) FROM ens_observations) AS observation_rows, count(*) AS verification_rows, 'cheap,high,low' AS event_datasets, "
     "'model' AS metric_groups FROM v",
 )
