@@ -19,6 +19,8 @@ IDS = CLASSES * PER_CLASS
 END = IDS - 1
 # Windows worked on at once: their attention weights fit a processor's cache.
 CHUNK = 256
+# So many chunks' states are turned into probabilities at once, so that each class has enough of them.
+OUTPUT_CHUNKS = 12
 
 CAUSAL = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
@@ -151,10 +153,11 @@ def score(w: Weights, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -
     if not len(counts):
         return total
     x, y, scored, owner = windows(ids, starts, counts)
-    for a in range(0, len(x), CHUNK):
-        part = slice(a, a + CHUNK)
+    for a in range(0, len(x), CHUNK * OUTPUT_CHUNKS):
+        part = slice(a, a + CHUNK * OUTPUT_CHUNKS)
+        parts = [slice(b, min(b + CHUNK, part.stop)) for b in range(a, min(part.stop, len(x)), CHUNK)]
+        r = np.concatenate([final_states(w, x[p], scored[p]) for p in parts])
         mask = scored[part]
-        r = final_states(w, x[part], mask)
         logs = log_probabilities(w, r, y[part][mask])
         total += np.bincount(np.repeat(owner[part], mask.sum(1)), weights=logs, minlength=len(counts))
     return total / np.log(10)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -226,7 +227,7 @@ def score_texts(texts: list[str | None], model: Model) -> dict:
     )
     ids = [*subwords(words.vocabulary, model.ranks), [attention.END]]
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for one in ids for i in one), np.int64, int(sizes.sum()))
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum()))
     first = np.cumsum(sizes) - sizes
     each = sizes[codes]
     at = np.cumsum(each) - each
