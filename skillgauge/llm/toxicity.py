@@ -163,7 +163,7 @@ def labelled_sample(docs: DataFrame, one: DataFrame) -> DataFrame:
         yield {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "family": families, "words": lists, "text": batch.column("text")}
 
     # The ids of the sample are few by the two bounds: they are broadcast.
-    joined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    joined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     described = arrow_map(joined.select("doc_id", "toxic", "text"), describe, "doc_id bigint, toxic int, family bigint, words array<string>, text string")
     return stored(described, "toxic-sample")
 
