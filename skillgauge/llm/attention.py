@@ -13,6 +13,8 @@ WINDOW = 32
 OVERLAP = 8
 WIDTH = 16
 HIDDEN = 32
+# Windows of one training step.
+BATCH = 32
 CLASSES = 64
 PER_CLASS = 64
 IDS = CLASSES * PER_CLASS
@@ -211,7 +213,7 @@ def gradients(w: Weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tup
     return g, loss / m
 
 
-def train(w: Weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray, rate: float = 0.01, batch: int = 32) -> Weights:
+def train(w: Weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray, rate: float = 0.01, batch: int = BATCH) -> Weights:
     """Adam over the windows in the order given, once."""
     w = {k: v.copy() for k, v in w.items()}
     one, two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))

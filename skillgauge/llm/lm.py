@@ -39,6 +39,8 @@ ROUNDS = 3
 SLOT = 4096
 # Windows in a training shard at least.
 SHARD_WINDOWS = 4096
+# A shard goes over its windows again until it has made so many steps.
+MIN_STEPS = 256
 END = b""
 
 SCORED = (
@@ -173,7 +175,8 @@ def train(windows: DataFrame, rounds: int = ROUNDS) -> attention.Weights:
 
         def learn(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("key", kind="stable")
-            trained = attention.flat(attention.train(attention.unflat(held.value), *window_arrays(frame["ids"].tolist())))  # noqa: B023
+            arrays = [np.concatenate([a] * (1 + MIN_STEPS * attention.BATCH // len(frame))) for a in window_arrays(frame["ids"].tolist())]
+            trained = attention.flat(attention.train(attention.unflat(held.value), *arrays))  # noqa: B023
             slots = range(0, len(trained), SLOT)
             return pd.DataFrame({"slot": [a // SLOT for a in slots], "n": len(frame), "v": [trained[a : a + SLOT].tolist() for a in slots]})
 
