@@ -61,16 +61,22 @@ def provenance_key(df: DataFrame) -> list[str]:
 
 def duplicate_rows(df: DataFrame, key, keep_first: bool = True) -> DataFrame:
     """One row `count`: rows beyond the first of their key, or all rows of repeated keys."""
-    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    return _repeats(df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), keep_first)
+
+
+def _repeats(sizes: DataFrame, keep_first: bool = True) -> DataFrame:
     extra = F.col("_n") - 1 if keep_first else F.col("_n")
-    return sizes.agg(F.coalesce(F.sum(extra), F.lit(0)).alias("count"))
+    return sizes.where(F.col("_n") > 1).agg(F.coalesce(F.sum(extra), F.lit(0)).alias("count"))
 
 
 def check_provenance(df: DataFrame, key=None) -> DataFrame:
+    return _issues(duplicate_rows(df, key or provenance_key(df)), _provenance_issue())
+
+
+def _provenance_issue() -> Column:
     n = F.col("count")
     bad = F.concat(n.cast("string"), F.lit(" rows share the provenance key of an earlier row"))
-    issue = _issue("provenance_uniqueness", n, _level(n, "error"), bad, "every forecast row has its own provenance key")
-    return _issues(duplicate_rows(df, key or provenance_key(df)), issue)
+    return _issue("provenance_uniqueness", n, _level(n, "error"), bad, "every forecast row has its own provenance key")
 
 
 def provenance_violations(df: DataFrame, key=None) -> DataFrame:
@@ -113,9 +119,23 @@ def _missing_issue() -> Column:
     return _issue("missing_observations", n, severity, bad, "every forecast has an observation")
 
 
+def _row_hash(df: DataFrame) -> list[Column]:
+    """128 bits of a whole row in two columns; which columns are null is hashed too, as the hash itself skips nulls."""
+    parts = [F.col(c) for c in df.columns] + [F.isnull(c) for c in df.columns]
+    return [F.xxhash64(*parts).alias("_h1"), F.xxhash64(F.lit(1), *parts).alias("_h2")]
+
+
 def check_duplicate_observations(df: DataFrame) -> DataFrame:
-    """Fully repeated matched rows are errors; otherwise more than 100 rows per observation time warns."""
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    """Fully repeated matched rows are errors; otherwise more than 100 rows per observation time warns.
+
+    Copies are known by 128-bit hashes of their rows, so no other column is shuffled.
+    """
+    return _copies(df.select(OBS_TIME, *_row_hash(df)).groupBy(OBS_TIME, "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """The issue of `check_duplicate_observations` from counted rows: observation time, hashes, `_n`."""
+    copies = rows.groupBy(OBS_TIME, "_h1", "_h2").agg(F.sum("_n").alias("_n"))
     per_time = copies.groupBy(OBS_TIME).agg(F.sum("_n").alias("_rows"), F.sum(F.when(F.col("_n") > 1, F.col("_n"))).alias("_d"))
     timed = F.col(OBS_TIME).isNotNull()
     row = per_time.agg(
@@ -206,18 +226,23 @@ def check_value_ranges(df: DataFrame, variables, ranges=PLAUSIBLE_RANGES) -> Dat
 def validate_verification(df: DataFrame, variables, ranges=PLAUSIBLE_RANGES, key=None) -> DataFrame:
     """All checks of the verification table as one issue table.
 
-    The three row-wise checks share one aggregate over the table.
+    The three row-wise checks share one aggregate over the table. The others start
+    from one grouping of keys, times, places and row hashes, so the table is read
+    twice and only those narrow columns are shuffled.
     """
     columns = _ranged_columns(df, variables, ranges)
     row = df.agg(*_missing_counts(), *_lead_counts(), *_range_counts(columns))
     row_wise = [_missing_issue(), _lead_issue()]
     if columns:
         row_wise.append(_range_issue(columns))
+    key = key or provenance_key(df)
+    narrow = list(dict.fromkeys([*key, OBS_TIME, *[c for c in (LAT, LON, LOCATION) if c in df.columns]]))
+    rows = df.select(*narrow, *_row_hash(df)).groupBy(*narrow, "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     parts = [
-        check_provenance(df, key),
+        _issues(_repeats(rows.groupBy(*key).agg(F.sum("_n").alias("_n"))), _provenance_issue()),
         _issues(row, *row_wise),
-        check_duplicate_observations(df),
-        check_timestamp_gaps(df),
+        _copies(rows),
+        check_timestamp_gaps(rows),
     ]
     return all_issues(parts)
 

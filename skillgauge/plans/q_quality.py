@@ -83,12 +83,14 @@ def _(spark, sf):
            UNION ALL SELECT 'value_ranges', CASE WHEN n > 0 THEN 'error' ELSE 'info' END, n FROM (SELECT
              count(*) FILTER (WHERE forecast_qty < 2 OR forecast_qty > 49) + count(*) FILTER (WHERE observed_qty < 2 OR observed_qty > 49)
              + count(*) FILTER (WHERE forecast_price < 0 OR forecast_price > 50000) + count(*) FILTER (WHERE observed_price < 0 OR observed_price > 50000) AS n
-             FROM verification) AS h"""
+             FROM verification) AS h
+           UNION ALL SELECT 'duplicate_observations', CASE WHEN n > 0 THEN 'error' WHEN t / CAST(d AS DOUBLE) > 100 THEN 'warning' ELSE 'info' END, n FROM (
+             SELECT CAST(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS BIGINT) AS n, count(DISTINCT observation_time) AS d, (SELECT count(*) FROM verification) AS t
+             FROM (SELECT *, count(*) AS c FROM verification WHERE observation_time IS NOT NULL GROUP BY ALL) AS g) AS h"""
     ),
 )
 def _(spark, sf):
-    issues = quality.validate_verification(verification(spark, sf), VARIABLES, RANGES)
-    return issues.where("check <> 'duplicate_observations'").drop("message")
+    return quality.validate_verification(verification(spark, sf), VARIABLES, RANGES).drop("message")
 
 
 @query(
