@@ -781,14 +781,13 @@ def _(spark, sf):
         "SELECT variable, metric_name, model, count(*) FILTER (WHERE falls) = 0 AS is_monotonic, "
         "coalesce(string_agg(CAST(lead_hours AS VARCHAR), ',' ORDER BY lead_hours) FILTER (WHERE falls), '') AS instability_points, count(*) AS n_points FROM "
         "(SELECT *, metric_value < lag(metric_value) OVER (PARTITION BY variable, metric_name, model ORDER BY lead_hours) AS falls "
-        "FROM m WHERE metric_value IS NOT NULL AND metric_name IN ('mae', 'bias')) AS x GROUP BY variable, metric_name, model",
+        "FROM m WHERE metric_value IS NOT NULL) AS x GROUP BY variable, metric_name, model",
         "",
         ML,
     ),
 )
 def _(spark, sf):
-    rows = by_model_lead_stored(spark, sf).where(F.col("metric_name").isin("mae", "bias"))
-    out = degradation.degradation_profile(rows)
+    out = degradation.degradation_profile(by_model_lead_stored(spark, sf))
     return out.withColumn("instability_points", F.array_join(F.col("instability_points").cast("array<string>"), ","))
 
 
@@ -797,13 +796,13 @@ def _(spark, sf):
     "WIN-04",
     sql=on_verification(
         "SELECT variable, metric_name, model, lead_hours, metric_value, coalesce(metric_value >= lag(metric_value) OVER "
-        "(PARTITION BY variable, metric_name, model ORDER BY lead_hours), FALSE) AS is_monotonic_with_prev FROM m WHERE metric_name = 'bias'",
+        "(PARTITION BY variable, metric_name, model ORDER BY lead_hours), FALSE) AS is_monotonic_with_prev FROM m",
         M,
         ML,
     ),
 )
 def _(spark, sf):
-    return degradation.degradation_points(by_model_lead_stored(spark, sf).where("metric_name = 'bias'"))
+    return degradation.degradation_points(by_model_lead_stored(spark, sf))
 
 
 # --- seasons and months --------------------------------------------------------------

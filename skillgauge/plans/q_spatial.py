@@ -132,13 +132,17 @@ def _(spark, sf):
     "int03_grid_lines",
     "INT-03",
     sql=on_verification(
-        "SELECT model, string_agg(CAST(round(centre, 4) AS VARCHAR), ',' ORDER BY centre) AS lat_lines FROM cl GROUP BY model", "", _CLUSTERS
+        "SELECT * FROM (SELECT model, string_agg(CAST(round(centre, 4) AS VARCHAR), ',' ORDER BY centre) AS lat_lines FROM cl GROUP BY model) AS a "
+        "JOIN (SELECT model, string_agg(CAST(round(l, 4) AS VARCHAR), ',' ORDER BY l) AS lon_lines FROM (SELECT DISTINCT model, longitude AS l FROM verification) AS d "
+        "GROUP BY model) AS b USING (model)",
+        "",
+        _CLUSTERS,
     ),
 )
 def _(spark, sf):
     lines = lattice.grid_lines(_jittered(spark, sf), ["model"])
-    text = F.transform("lat_lines", lambda v: F.round(v, 4).cast("string"))
-    return lines.select("model", F.array_join(text, ",").alias("lat_lines"))
+    text = lambda c: F.array_join(F.transform(c, lambda v: F.round(v, 4).cast("string")), ",").alias(c)
+    return lines.select("model", text("lat_lines"), text("lon_lines"))
 
 
 # --- lattice and corners -------------------------------------------------------------

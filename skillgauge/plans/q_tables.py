@@ -15,6 +15,7 @@ from .q_metrics import by_model_lead_stored
 from .registry import (
     CATALOG,
     ENSEMBLE_CTE,
+    SQL_OPERATORS,
     VARIABLES,
     contingency_sql,
     ensemble_forecasts,
@@ -445,13 +446,18 @@ def _(spark, sf):
     "snk10_build_events",
     "SNK-10",
     sql=on_verification(
-        "SELECT 'high' AS event_name, 'observed' AS source, model, CAST(forecast_target_time AS DATE) AS event_date, observed_qty AS value FROM verification WHERE observed_qty >= 40 "
-        "UNION ALL SELECT 'high', 'forecast', model, CAST(forecast_target_time AS DATE), forecast_qty FROM verification WHERE forecast_qty >= 40"
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS event_name, '{source}' AS source, model, CAST(forecast_target_time AS DATE) AS event_date, {source}_{v} AS value "
+            f"FROM verification WHERE {source}_{v} {SQL_OPERATORS[op]} {t}"
+            for name, (v, t, op) in CATALOG.items()
+            for source in ("observed", "forecast")
+        ),
+        "value",
     ),
 )
 def _(spark, sf):
     path = scratch_path(spark, "event-rows")
-    datasets.build_events(verification(spark, sf), path, {"high": CATALOG["high"]}, only_events=True)
+    datasets.build_events(verification(spark, sf), path, CATALOG, only_events=True)
     return spark.read.parquet(path).select("event_name", "source", "model", "event_date", "value")
 
 
