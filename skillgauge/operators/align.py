@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.temporal import with_calendar
 from ..schemas import ELEV, LAT, LOCATION, LON, OBS_TIME, TARGET, forecast_var, observed_var
 from .errors import add_errors, canonical, record_errors
+from .interpolate import collapse_corners, interpolate_to_sites, sites_of
+from .locations import require_compatible
 
 POINT = (LAT, LON, ELEV)
 
@@ -53,8 +55,26 @@ def align(forecasts: DataFrame, observations: DataFrame, variables, point_keys:
     return f.join(o, on, "left").drop(*[f"_o_{k}" for k in keys])
 
 
-def build_verification(forecasts: DataFrame, observations: DataFrame, variables, point_keys: bool | None = None) -> DataFrame:
-    """Aligned, with errors, month and season, in canonical order."""
+def build_verification(
+    forecasts: DataFrame,
+    observations: DataFrame,
+    variables,
+    point_keys: bool | None = None,
+    interpolate: str | None = None,
+    max_km: float | None = None,
+) -> DataFrame:
+    """Aligned, with errors, month and season, in canonical order.
+
+    `interpolate` ("bilinear", "idw", "nearest") first brings gridded forecasts to
+    the sites of the observations, by location id; groups without a single site, and
+    bilinear groups with fewer than four grid points, keep their native values. With
+    `max_km` places that do not fit together are refused (see
+    `locations.require_compatible`), after the interpolation.
+    """
+    if interpolate is not None:
+        forecasts = interpolate_to_sites(collapse_corners(forecasts), sites_of(observations), variables, interpolate)
+    if max_km is not None:
+        require_compatible(forecasts, observations, max_km)
     joined = align(forecasts, observations, variables, point_keys)
     return with_calendar(canonical(add_errors(joined, variables), variables))
 
@@ -125,12 +145,15 @@ def alignment_summary(aligned: DataFrame) -> DataFrame:
 RECORD_KEY = (LAT, LON, "valid_time", "variable")
 
 
-def align_records(forecasts: DataFrame, observations: DataFrame) -> DataFrame:
+def align_records(forecasts: DataFrame, observations: DataFrame, strict: bool = False) -> DataFrame:
     """Full outer join of long records on (lat, lon, valid_time, variable).
 
     Every forecast of a key pairs with every observation of it; the rest is
-    `forecast_only` or `observation_only`. Errors are circular aware.
+    `forecast_only` or `observation_only`. Errors are circular aware. If `strict`,
+    two inputs without a row are an error.
     """
+    if strict and forecasts.isEmpty() and observations.isEmpty():
+        raise ValueError("nothing to align: neither forecasts nor observations have a row")
     f = forecasts.select(
         *RECORD_KEY,
         F.col("lead_hours").alias("_f_lead"),

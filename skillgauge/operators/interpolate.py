@@ -260,15 +260,19 @@ def interpolate_points(
     if method == "nearest":
         hits = k_nearest(targets, known, 1, by, ["_value"], stored=True)
         return hits.select(*key, F.col("_value").alias("value"))
+    cell = None
+    if method == "bilinear":
+        # Only targets without a complete cell, in a regular grid next to none, need their neighbours.
+        found = _regular_cell(known, targets, by, circular).where("_complete").select(*key, F.col("_cell").alias("value"))
+        cell = materialize(found, "cells")
+        targets = materialize(targets.join(cell, key, "left_anti"), "targets")
     neighbours = k_nearest(targets, known, max(1, k), by, ["_value"], stored=True)
     inverse = F.lit(1.0) / F.pow("distance_km", F.lit(float(power)))
     exact = F.max(F.when((F.col("rank") == 1) & (F.col("distance_km") < 1e-9), F.col("_value")))
     mean = weighted_mean_agg(F.when(F.col("distance_km") >= 1e-9, inverse), F.col("_value"), circular, null_balanced=True)
     idw = neighbours.groupBy(*key).agg(F.coalesce(exact, mean).alias("_idw"))
-    if method == "idw":
-        return idw.withColumnRenamed("_idw", "value")
-    cell = _regular_cell(known, targets, by, circular)
-    return idw.join(cell, key, "left").select(*key, F.when(F.col("_complete"), F.col("_cell")).otherwise(F.col("_idw")).alias("value"))
+    rest = idw.withColumnRenamed("_idw", "value")
+    return rest if cell is None else rest.unionByName(cell)
 
 
 def _regular_cell(known: DataFrame, targets: DataFrame, by: list[str], circular: bool) -> DataFrame:

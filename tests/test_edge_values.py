@@ -79,3 +79,35 @@ def test_upsert_reads_touched_partitions_only(spark, tmp_path):
     assert "PartitionFilters" in plan and "month#" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert [r.x for r in old.collect()] == [2.0] and len(old.inputFiles()) >= 1
     assert upsert.upsert_observations(rows(2), root) == 1 and spark.read.parquet(root).count() == 3
+
+
+def grid_and_site(spark):
+    t = F.lit("2024-01-01").cast("timestamp")
+    corners = [("s__m__c0", 0.0, 0.0, 1.0), ("s__m__c1", 0.0, 1.0, 3.0), ("s__m__c2", 1.0, 0.0, 5.0), ("s__m__c3", 1.0, 1.0, 7.0), ("far", 9.0, 9.0, 4.0)]
+    grid = spark.createDataFrame(corners, "location_id string, latitude double, longitude double, x double")
+    forecasts = grid.select("*", t.alias("forecast_issue_time"), t.alias("forecast_target_time"), F.lit(0).alias("lead_hours"), F.lit("m").alias("model"))
+    sites = spark.createDataFrame([("s", 0.5, 0.5, 4.5), ("far", 9.0, 9.0, 4.0)], "location_id string, latitude double, longitude double, x double")
+    return forecasts, sites.withColumn("observation_time", t)
+
+
+def test_builder_interpolates_and_refuses_distant_places(spark):
+    forecasts, observations = grid_and_site(spark)
+    ids = [r.location_id for r in forecasts.select(F.col("location_id")).collect()]
+    assert len(ids) == 5
+    out = {r.location_id: r for r in align.build_verification(forecasts, observations, ["x"], interpolate="bilinear", max_km=50).collect()}
+    assert (out["s"].forecast_x, out["s"].observed_x, out["s"].x_error) == (4.0, 4.5, -0.5)
+    assert out["far"].forecast_x == 4.0  # one grid point: native value
+    moved = observations.withColumn("latitude", F.col("latitude") + F.when(F.col("location_id") == "far", 20).otherwise(0))
+    with pytest.raises(ValueError, match="km from any observation"):
+        align.build_verification(forecasts, moved, ["x"], interpolate="bilinear", max_km=50)
+    with pytest.raises(ValueError, match="location_id"):
+        align.build_verification(forecasts, observations.drop("location_id"), ["x"], max_km=50)
+    with pytest.raises(ValueError, match="without observations"):
+        align.build_verification(forecasts, observations, ["x"], max_km=50)
+
+
+def test_strict_alignment_refuses_empty_inputs(spark):
+    f = spark.createDataFrame([], "latitude double, longitude double, valid_time timestamp, variable string, lead_hours int, run_time timestamp, model string, value double")
+    assert align.align_records(f, f).count() == 0
+    with pytest.raises(ValueError, match="nothing to align"):
+        align.align_records(f, f, strict=True)
