@@ -9,10 +9,13 @@
    and all others are paired with it, so a bucket of n members has n - 1 pairs.
 4. Pairs are confirmed on full sets and joined to components.
 5. A bucket whose members are not all in one component yet may hide a link between
-   two others. Such buckets get further centres, twice as many each round, which
+   two others. Such buckets get further centres, first the member with the least of its
+   own, then more and more others (eight times as many each round), which
    are compared with members of other components only, until every pair of a
-   bucket is either compared or joined anyway. So no link between two classes of a
-   bucket is lost, and pairs within a group of copies are not spelled out.
+   bucket is compared, joined anyway, or proved too different: sets of which too much
+   is in no other set of these buckets cannot be similar to any. So no link between
+   two classes of a bucket is lost, and pairs within a group of copies are not
+   spelled out.
 
 With 64 bands of 8 places, two sets of similarity 0.8 meet in no bucket with a
 probability of about 1 in 100,000; above that it falls fast.
@@ -35,6 +38,8 @@ BITS = PLACES.bit_length() - 1  # PLACES is a power of two
 # Least similarity, in hundredths: intersection * 100 >= PERCENT * union.
 PERCENT = 80
 SHINGLE = 4
+# By how much the number of centres of a bucket grows from round to round.
+GROWTH = 8
 
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 SIGNED = "doc_id bigint, n_shingles bigint, class binary, buckets array<bigint>"
@@ -164,17 +169,19 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Component of every class that has an edge: class, component (its least class).
+    """Component of every node that has an edge (a, b): class, component (its least node).
 
     Labels fall to the least label among neighbours and then to their label's own
     label (pointer jumping), so rounds grow with the logarithm of a chain. Each
     round is written to the shared folder.
     """
-    both = stored(edges.union(edges.select("b", "a")).distinct(), "edges")
+    both = edges.union(edges.select("b", "a"))
     labels = stored(both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.col("class")).alias("component")), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("class").alias("b"), "component"), "b").groupBy(F.col("a").alias("class")).agg(F.min("component").alias("near"))
-        fallen = labels.join(near, "class").select("class", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        told = both.join(labels.select(F.col("class").alias("b"), "component"), "b").select(F.col("a").alias("class"), "component", F.lit(None).alias("was"))
+        fallen = told.union(labels.select("class", "component", F.col("component").alias("was"))).groupBy("class").agg(
+            F.min("component").alias("component"), F.max("was").alias("was")
+        )
         jump = labels.select(F.col("class").alias("component"), F.col("component").alias("further"))
         new = fallen.join(jump, "component", "left").select("class", "was", F.least("component", F.coalesce("further", "component")).alias("component"))
         new = stored(new, "labels")
@@ -184,18 +191,49 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def joined_components(found: DataFrame, fresh: DataFrame) -> DataFrame:
+    """`found` after further edges: these join components (or single nodes), which are far fewer than nodes."""
+    of = lambda node: found.select(F.col("class").alias(node), F.col("component").alias(f"c{node}"))
+    raised = fresh.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    raised = raised.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct()
+    merged = components(stored(raised, "component-links")).select(F.col("class").alias("component"), F.col("component").alias("whole"))
+    old = found.join(merged, "component", "left").select("class", F.coalesce("whole", "component").alias("component"))
+    single = merged.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("class"), F.col("whole").alias("component"))
+    return stored(old.union(single), "components")
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """class, own: how many shingles of a set are in no other set of `sets`."""
+
+    def spread(batch):
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]
+        if sets:
+            yield {"class": batch.column("class").take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))), "shingle": np.concatenate(sets)}
+
+    each = arrow_map(sets.select("class", "set"), spread, "class binary, shingle bigint")
+    # Frequent shingles shrink to a row per task before the shuffle.
+    single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
+    return single.groupBy("class").agg(F.count("*").alias("own"))
+
+
+def shared_sizes(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """class, size of its set, and how much of it at most another of `members` can have."""
+    own = own_shingles(sets.join(members, "class", "left_semi"))
+    sized = members.join(classes.select("class", "size"), "class").join(own, "class", "left")
+    return stored(sized.select("class", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")), "sizes")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept, class_size.
 
     Null and empty texts have empty sets, are linked with nothing and kept. Equal
-    sets are one class whose size counts rows. A document with a null id takes part
-    in links; where a component has no id at all, component_id is null and the
-    rows are not kept. Rows with the same id and the same set are judged alike.
+    sets are one class whose size counts rows. A set that occurs with
+    null ids only is linked with nothing, has a null component_id and is not kept. Rows with the same id and the same set are judged alike.
     """
     table = stored(signed(docs, width), "signed")
     classes = stored(
         table.where("class IS NOT NULL").groupBy("class").agg(
-            F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("buckets").alias("buckets")
+            F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("size"), F.first("buckets").alias("buckets")
         ),
         "classes",
     )
@@ -207,28 +245,36 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     sets = stored(full_sets(docs, named, width), "sets")
 
     pairs = buckets.where("class != centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
-    edges = stored(similar(pairs, sets, percent), "links")
-    found = components(edges)
-    lowest = 1
+    found = components(stored(similar(pairs, sets, percent), "links"))
+    wide = buckets.where("n > 2").select("bucket", "class", F.pmod(F.xxhash64("class", "bucket"), F.col("n")).alias("place"), "n")
+    sizes, lowest = None, 0
     while True:
-        labelled = buckets.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        labelled = wide.where(F.col("n") >= lowest).join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
         torn = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-        # Members in a fixed order per bucket; those of places [lowest, 2 * lowest) are this round's centres.
-        place = F.pmod(F.xxhash64("class", "bucket"), F.col("n"))
-        active = labelled.join(torn, "bucket").withColumn("place", place).where(F.col("n") > 2)
-        active = stored(active.select("bucket", "class", "component", "place", "n"), "active")
-        if active.where(F.col("place") + 1 >= lowest).isEmpty():
+        active = stored(labelled.join(torn, "bucket"), "active")
+        if active.isEmpty():
             break
-        centres = active.where((F.col("place") + 1 >= lowest) & (F.col("place") + 1 < 2 * lowest))
-        more = centres.select("bucket", F.col("class").alias("x"), F.col("component").alias("cx")).join(
-            active.select("bucket", F.col("class").alias("y"), F.col("component").alias("cy")), "bucket"
-        )
-        more = more.where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        if sizes is None:
+            sizes = shared_sizes(active.select("class").distinct(), classes, sets)
+        active = active.join(sizes, "class")
+        named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("class", "component", "size", "shared")]
+        if lowest:
+            # Members stand in a fixed order; those of places [lowest, GROWTH * lowest) are this round's centres.
+            centres = active.where((F.col("place") + 1 >= lowest) & (F.col("place") + 1 < GROWTH * lowest)).select("bucket", *named("x"))
+        else:
+            # Before that, the member that has least of its own: most copies of one text are near it.
+            own = F.struct(1 - F.col("shared") / F.col("size"), "class")
+            whole = F.min_by(F.struct("class", "component", "size", "shared"), own).alias("m")
+            centres = active.groupBy("bucket").agg(whole).select("bucket", "m.*").select("bucket", *named("x"))
+        more = centres.join(active.select("bucket", *named("y")), "bucket").where("component_x != component_y")
+        # No more can be common than either shares with any set.
+        common = F.least("shared_x", "shared_y")
+        more = more.where(100 * common >= percent * (F.col("size_x") + F.col("size_y") - common))
+        more = more.select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b")).distinct()
         fresh = stored(similar(more, sets, percent), "links")
-        lowest *= 2
+        lowest = max(1, lowest * GROWTH)
         if not fresh.isEmpty():
-            edges = stored(edges.union(fresh), "links")
-            found = components(edges)
+            found = joined_components(found, fresh)
 
     joined = classes.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     heads = joined.groupBy("component").agg(F.min("least").alias("component_id"))
