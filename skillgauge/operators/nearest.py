@@ -1,10 +1,11 @@
 """Exact nearest-point search by descent through cells, never by a cross product.
 
-Points are counted per 15-degree and per 1-degree cell. A target compares itself
-with the at most 288 coarse cells, then with the at most 225 fine cells of those
-that can still hold a neighbour, and finally with the points of the few fine
-cells left. A cell is dropped when its closest possible point is farther than
-the distance within which k points are certain.
+Points are counted in cells of three sizes, 15 degrees, 1 degree and a fifteenth
+of a degree (about 7 km). A target compares itself with the at most 288 largest
+cells, then with the at most 225 cells inside each of those that can still hold a
+neighbour, and so on, and finally with the points of the few smallest cells left.
+A cell is dropped when its closest possible point is farther than the distance
+within which k points are certain.
 """
 
 from __future__ import annotations
@@ -18,19 +19,19 @@ from ..functions.geo import GRID_RADIUS_KM, haversine_km, meridian_distance_km
 from ..schemas import LAT, LON
 from ..session import materialize
 
-# Cell sizes in degrees; the fine size divides the coarse one, both divide 180.
-COARSE, FINE = 15.0, 1.0
+# Cell sizes in degrees; each divides the one before, and all divide 180.
+LEVELS = (15.0, 1.0, 1.0 / 15.0)
 # Slack in kilometres for rounding in the bounds.
 SLACK_KM = 1e-6
 
 
 def _row(lat: Column, size: float) -> Column:
     """Cell row; the pole belongs to the last one."""
-    return F.least(F.floor((lat + 90.0) / size), F.lit(int(180 / size) - 1)).cast("int")
+    return F.least(F.floor((lat + 90.0) / size), F.lit(round(180 / size) - 1)).cast("int")
 
 
 def _column(lon: Column, size: float) -> Column:
-    return F.pmod(F.floor((lon + 180.0) / size), F.lit(int(360 / size))).cast("int")
+    return F.pmod(F.floor((lon + 180.0) / size), F.lit(round(360 / size))).cast("int")
 
 
 def _bounds(row: Column, column: Column, size: float, radius: float) -> tuple[Column, Column]:
@@ -96,33 +97,34 @@ def k_nearest(
     )
     placed = keep(placed, "points")
     lat, lon = F.col("point_latitude"), F.col("point_longitude")
-    placed = placed.withColumns(
-        {
-            "_block_row": _row(lat, COARSE),
-            "_block_col": _column(lon, COARSE),
-            "_cell_row": _row(lat, FINE),
-            "_cell_col": _column(lon, FINE),
-        }
-    )
-    fine = placed.groupBy(*by, "_block_row", "_block_col", "_cell_row", "_cell_col").agg(F.count(F.lit(1)).alias("_n"))
-    nested = fine.groupBy(*by, "_block_row", "_block_col").agg(
-        F.collect_list(F.struct(F.col("_cell_row").alias("r"), F.col("_cell_col").alias("c"), F.col("_n").alias("n"))).alias("_fine"),
-        F.sum("_n").alias("_n"),
-    )
-    cells = F.collect_list(F.struct(F.col("_block_row").alias("r"), F.col("_block_col").alias("c"), F.col("_n").alias("n"))).alias("_cells")
-    coarse = nested.groupBy(*by).agg(cells)
-    framed = wanted.join(coarse, by) if by else wanted.withColumn("_cells", coarse.scalar())
-    framed = framed.withColumn("_b", _bounded("_cells", COARSE, radius)).withColumn("_limit", _certain("_b", k))
-    first = framed.select(*key, "_limit", F.explode(_possible("_b")).alias("_k"))
-    first = first.select(*key, "_limit", F.col("_k.r").alias("_block_row"), F.col("_k.c").alias("_block_col"))
-    inner = first.join(nested.select(*by, "_block_row", "_block_col", "_fine"), [*by, "_block_row", "_block_col"])
-    inner = inner.withColumn("_b", _bounded("_fine", FINE, radius))
-    # A target has at most 288 coarse cells here, which bounds its window.
-    tightest = F.min(_certain("_b", k)).over(Window.partitionBy(*key))
-    inner = inner.withColumn("_limit", F.least("_limit", tightest))
-    second = inner.select(*key, F.explode(_possible("_b")).alias("_k"))
-    second = second.select(*key, F.col("_k.r").alias("_cell_row"), F.col("_k.c").alias("_cell_col"))
-    pairs = second.join(placed.drop("_block_row", "_block_col"), [*by, "_cell_row", "_cell_col"]).withColumn(
+    cell = lambda level: [f"_row{level}", f"_col{level}"]
+    placed = placed.withColumns({n: e for level, size in enumerate(LEVELS) for n, e in zip(cell(level), (_row(lat, size), _column(lon, size)), strict=True)})
+    last = len(LEVELS) - 1
+    counts = placed.groupBy(*by, *[c for level in range(last + 1) for c in cell(level)]).agg(F.count(F.lit(1)).alias("_n"))
+
+    def inside(level: int, parent: list[str]) -> DataFrame:
+        """Cells of a level as one list per cell of the level above (225 at most)."""
+        sums = counts.groupBy(*by, *parent, *cell(level)).agg(F.sum("_n").alias("_n"))
+        row, column = cell(level)
+        return sums.groupBy(*by, *parent).agg(F.collect_list(F.struct(F.col(row).alias("r"), F.col(column).alias("c"), F.col("_n").alias("n"))).alias("_cells"))
+
+    top = inside(0, [])
+    frontier = wanted.join(top, by) if by else wanted.withColumn("_cells", top.scalar())
+    frontier = frontier.withColumn("_limit", F.lit(float("inf")))
+    for level, size in enumerate(LEVELS):
+        if level:
+            frontier = frontier.join(inside(level, cell(level - 1)), [*by, *cell(level - 1)])
+        frontier = frontier.withColumn("_b", _bounded("_cells", size, radius))
+        certain = _certain("_b", k)
+        if level:
+            # The cells of a target that are left, at most 225 of each cell before, bound its window.
+            certain = F.min(certain).over(Window.partitionBy(*key))
+        frontier = frontier.withColumn("_limit", F.least("_limit", certain))
+        frontier = frontier.select(*key, "_limit", F.explode(_possible("_b")).alias("_k"))
+        row, column = cell(level)
+        frontier = frontier.select(*key, "_limit", F.col("_k.r").alias(row), F.col("_k.c").alias(column))
+    upper = [c for level in range(last) for c in cell(level)]
+    pairs = frontier.join(placed.drop(*upper), [*by, *cell(last)]).withColumn(
         "distance_km", haversine_km(LAT, LON, "point_latitude", "point_longitude", radius)
     )
     order = Window.partitionBy(*key).orderBy("distance_km", "point_latitude", "point_longitude", *payload)
