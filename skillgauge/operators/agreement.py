@@ -51,10 +51,12 @@ def spread_level(n: Column, mean: Column, std: Column) -> Column:
 
 # Largest std of the high and medium agreement levels.
 HIGH_STD, MEDIUM_STD = 1.0, 3.0
+# Hours beyond which less agreement is to be expected.
+LONG_LEAD = 72
 
 
 def ensemble_agreement(forecasts: DataFrame, total_models: int | None = None, key=TARGET_KEY) -> DataFrame:
-    """Std, range, disagreement, consensus, level and text per target; one value alone is insufficient."""
+    """Std, range, disagreement, consensus and level per target; one value alone is insufficient."""
     targets = per_target(forecasts, key)
     total = F.lit(total_models) if total_models else forecasts.agg(F.count_distinct("model")).scalar()
     n, std, mean = F.col("records"), F.col("std"), F.col("mean")
@@ -63,13 +65,6 @@ def ensemble_agreement(forecasts: DataFrame, total_models: int | None = None, ke
     spread = F.when(mean == 0, F.least(F.col("value_range") / 10.0, F.lit(1.0))).otherwise(cv)
     level = F.when(~enough, "insufficient").when(std <= HIGH_STD, "high").when(std <= MEDIUM_STD, "medium").otherwise("low")
     lead = F.col("lead_hours")
-    text = (
-        F.when(~enough, F.lit("One value only, agreement cannot be judged."))
-        .when(std <= HIGH_STD, F.format_string("All %d values lie within ±%.1f: a consistent signal, not a guarantee.", n, std))
-        .when(std <= MEDIUM_STD, F.format_string("Moderate spread (±%.1f) across %d values: partial consensus.", std, n))
-        .otherwise(F.format_string("Strong disagreement (±%.1f) among %d values: lower confidence.", std, n))
-    )
-    note = F.when(enough & (lead > 72), F.format_string(" At %d h lead a lower agreement is expected.", lead)).otherwise("")
     return targets.select(
         *key,
         total.cast("int").alias("total_models"),
@@ -79,7 +74,7 @@ def ensemble_agreement(forecasts: DataFrame, total_models: int | None = None, ke
         F.when(enough, spread).alias("disagreement_score"),
         F.when(enough, F.lit(1.0) - spread).alias("consensus_score"),
         level.alias("agreement_level"),
-        F.concat(text, note).alias("interpretation"),
+        (enough & F.coalesce(lead > LONG_LEAD, F.lit(False))).alias("is_long_lead"),
         F.transform("members", lambda m: F.struct(m["model"].alias("model"), m["value"].alias("value"))).alias("model_values"),
     )
 
@@ -152,11 +147,9 @@ def with_confidence(
     listed = F.array(
         *[F.struct(F.lit(n).alias("factor"), s.cast("double").alias("score"), grade(s).alias("grade")) for n, s in factors.items()]
     )
-    reasons = F.concat_ws("; ", *[F.concat(F.lit(f"{n}: "), grade(s)) for n, s in factors.items()])
     return df.withColumns(
         {
             "confidence_score": score,
             "confidence_factors": listed,
-            "confidence_rationale": F.concat(F.format_string("confidence %.1f%%: ", score * 100.0), reasons),
         }
     )

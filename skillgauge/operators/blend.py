@@ -48,14 +48,7 @@ def blend(forecasts: DataFrame, weights: DataFrame, total_models: int | None = N
     )
     # Population variance across all weights; below two weights it says nothing.
     variance = weights.agg(F.when(F.count("weight") >= 2, F.var_pop("weight"))).scalar()
-    return with_confidence(out, weight_variance=variance).withColumn("weighting_rationale", _blend_rationale())
-
-
-def _blend_rationale() -> Column:
-    shares = F.transform("contributors", lambda c: F.format_string("%s=%.2f", c["model"], c["weight"]))
-    lead = F.when(F.col("lead_hours").isNotNull(), F.format_string("at %dh lead time", F.col("lead_hours")))
-    head = F.format_string("blend of %d models for %s", F.size("contributors"), F.col("variable"))
-    return F.concat_ws("; ", head, lead, F.concat(F.lit("weights: "), F.concat_ws(", ", shares)))
+    return with_confidence(out, weight_variance=variance)
 
 
 def evaluate_blend(scored: DataFrame, by=()) -> DataFrame:
@@ -108,17 +101,7 @@ def evaluate_blend(scored: DataFrame, by=()) -> DataFrame:
         F.coalesce(F.col("blended_mae") < F.col("_best.mae"), F.lit(False)).alias("improvement_over_best"),
         "blend_stability",
         "sample_size",
-        _evaluation_text(mae_pct).alias("rationale"),
-    )
-
-
-def _evaluation_text(pct: Column) -> Column:
-    mine, best = F.col("blended_mae"), F.col("_best.mae")
-    return (
-        F.when(mine.isNull(), F.lit("no blended forecast to evaluate"))
-        .when(pct < 0, F.format_string("blending lowered MAE by %.1f%% (%.3f against %.3f)", F.abs(pct), mine, best))
-        .when(pct > 0, F.format_string("blending raised MAE by %.1f%% (%.3f against %.3f)", pct, mine, best))
-        .when(pct == 0, F.format_string("blend and best single model have the same MAE (%.3f)", mine))
+        F.when(mae_pct < 0, "lower").when(mae_pct > 0, "higher").when(mae_pct == 0, "equal").alias("mae_outcome"),
     )
 
 

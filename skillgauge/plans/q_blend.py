@@ -240,7 +240,7 @@ _CONFIDENCE = (
 )
 def _(spark, sf):
     out = blend.blend(members(spark, sf), weights(spark, sf))
-    return out.drop("contributors", "confidence_factors", "confidence_rationale", "weighting_rationale")
+    return out.drop("contributors", "confidence_factors")
 
 
 @query(
@@ -257,7 +257,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return agreement.ensemble_agreement(members(spark, sf)).drop("interpretation", "model_values")
+    return agreement.ensemble_agreement(members(spark, sf)).drop("is_long_lead", "model_values")
 
 
 @query(
@@ -316,7 +316,7 @@ _EVAL = "blended_mae blended_rmse blended_coverage best_single_mae best_single_r
 
 @query("meta14_evaluate_blend", "META-14", sql=on_ensemble(_evaluation_sql(""), _EVAL, _SCORED))
 def _(spark, sf):
-    return blend.evaluate_blend(scored(spark, sf)).drop("rationale")
+    return blend.evaluate_blend(scored(spark, sf)).drop("mae_outcome")
 
 
 @query(
@@ -330,12 +330,12 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return blend.evaluate_by_lead(scored(spark, sf)).drop("rationale")
+    return blend.evaluate_by_lead(scored(spark, sf)).drop("mae_outcome")
 
 
 @query("meta16_evaluate_by_variable", "META-16", sql=on_ensemble(_evaluation_sql("variable"), _EVAL, _SCORED))
 def _(spark, sf):
-    return blend.evaluate_by_variable(scored(spark, sf)).drop("rationale")
+    return blend.evaluate_by_variable(scored(spark, sf)).drop("mae_outcome")
 
 
 _SHARED = (
@@ -383,7 +383,7 @@ def _holdout_sql(split: str) -> str:
     ),
 )
 def _(spark, sf):
-    return blend.blend_holdout(joined(spark, sf), "load").drop("rationale")
+    return blend.blend_holdout(joined(spark, sf), "load").drop("mae_outcome")
 
 
 @query(
@@ -394,7 +394,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return blend.blend_holdout(joined(spark, sf), "load", train_fraction=0.7, split="positional").drop("rationale")
+    return blend.blend_holdout(joined(spark, sf), "load", train_fraction=0.7, split="positional").drop("mae_outcome")
 
 
 RULES = [

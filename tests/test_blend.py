@@ -128,7 +128,7 @@ def test_agreement_levels(spark):
     out = {r.lead_hours: r for r in agreement.ensemble_agreement(f).collect()}
     assert [out[h].agreement_level for h in (24, 96, 120, 48)] == ["high", "medium", "low", "insufficient"]
     assert out[120].disagreement_score == 1.0 and out[72].disagreement_score == pytest.approx(0.8) and out[48].consensus_score is None
-    assert "96 h" in out[96].interpretation and "24 h" not in out[24].interpretation
+    assert out[96].is_long_lead and not out[24].is_long_lead and not out[48].is_long_lead
 
 
 def test_confidence_score(spark):
