@@ -11,7 +11,7 @@
 5. A bucket whose members are not all in one component yet may hide a link between
    two others. Such buckets get further centres, first the member with the least of its
    own, then more and more others (eight times as many each round), which
-   are compared with members of other components only, until every pair of a
+   are compared, inside tasks, with members of other components only, until every pair of a
    bucket is compared, joined anyway, or proved too different: sets of which too much
    is in no other set of these buckets cannot be similar to any. So no link between
    two classes of a bucket is lost, and pairs within a group of copies are not
@@ -40,6 +40,9 @@ PERCENT = 80
 SHINGLE = 4
 # By how much the number of centres of a bucket grows from round to round.
 GROWTH = 8
+# Members of a bucket that are handed to a task together, more or less.
+BLOCK = 16
+MEMBER = ("class", "component", "size", "shared", "set")
 
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 SIGNED = "doc_id bigint, n_shingles bigint, class binary, buckets array<bigint>"
@@ -168,6 +171,38 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "set_a", "set_b"), run, "a binary, b binary")
 
 
+def links_within(centres: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of centres with members of other components of their buckets, one for each component.
+
+    Members come in blocks with their full sets, so that pairs are compared inside a
+    task and only links leave it. Both inputs have bucket, n, class, component,
+    size, shared (at most so much is in any other set) and set.
+    """
+    block = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BLOCK).cast("bigint"))
+    blocks = members.groupBy("bucket", block.alias("block")).agg(F.collect_list(F.struct("class", "component", "size", "shared", "set")).alias("others"))
+    rows = centres.select("bucket", *MEMBER).join(blocks, "bucket").select(*MEMBER, "others")
+
+    def run(batch):
+        left, right = [], []
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            mine, met = None, {row["component"]}
+            for other in row["others"]:
+                size = row["size"] + other["size"]
+                most = min(row["shared"], other["shared"])
+                if other["component"] in met or 100 * most < percent * (size - most):
+                    continue
+                mine = np.frombuffer(row["set"], np.uint64) if mine is None else mine
+                common = len(np.intersect1d(mine, np.frombuffer(other["set"], np.uint64), assume_unique=True))
+                if 100 * common >= percent * (size - common):
+                    met.add(other["component"])
+                    left.append(min(row["class"], other["class"]))
+                    right.append(max(row["class"], other["class"]))
+        yield {"a": left, "b": right}
+
+    return arrow_map(rows, run, "a binary, b binary").distinct()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Component of every node that has an edge (a, b): class, component (its least node).
 
@@ -256,22 +291,16 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
             break
         if sizes is None:
             sizes = shared_sizes(active.select("class").distinct(), classes, sets)
-        active = active.join(sizes, "class")
-        named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("class", "component", "size", "shared")]
+        active = active.join(sizes, "class").join(sets, "class")
         if lowest:
             # Members stand in a fixed order; those of places [lowest, GROWTH * lowest) are this round's centres.
-            centres = active.where((F.col("place") + 1 >= lowest) & (F.col("place") + 1 < GROWTH * lowest)).select("bucket", *named("x"))
+            centres = active.where((F.col("place") + 1 >= lowest) & (F.col("place") + 1 < GROWTH * lowest)).select("bucket", "class")
         else:
             # Before that, the member that has least of its own: most copies of one text are near it.
             own = F.struct(1 - F.col("shared") / F.col("size"), "class")
-            whole = F.min_by(F.struct("class", "component", "size", "shared"), own).alias("m")
-            centres = active.groupBy("bucket").agg(whole).select("bucket", "m.*").select("bucket", *named("x"))
-        more = centres.join(active.select("bucket", *named("y")), "bucket").where("component_x != component_y")
-        # No more can be common than either shares with any set.
-        common = F.least("shared_x", "shared_y")
-        more = more.where(100 * common >= percent * (F.col("size_x") + F.col("size_y") - common))
-        more = more.select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b")).distinct()
-        fresh = stored(similar(more, sets, percent), "links")
+            centres = active.groupBy("bucket").agg(F.min_by("class", own).alias("class"))
+        centres = active.join(centres, ["bucket", "class"], "left_semi")
+        fresh = stored(links_within(centres, active, percent), "links")
         lowest = max(1, lowest * GROWTH)
         if not fresh.isEmpty():
             found = joined_components(found, fresh)
