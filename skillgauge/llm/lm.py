@@ -1,10 +1,9 @@
 """Language-model scores of texts: a unigram baseline and a causal self-attention model.
 
 Counts of words cover all training documents. The attention model works on the
-subword ids of lower-case words; it learns from windows that every training
-document gives (one for each started thousand words, at hashed places), so that
-its training follows the corpus. Shards of windows are trained apart, and the
-weights are averaged after each round.
+subword ids of lower-case words; it learns from consecutive windows that hold
+every subword of every training document. Shards of windows are trained apart,
+and the weights are averaged after each round.
 
 Words that are frequent are counted in the tasks themselves; all others meet
 their counts in a join, and as none of them is frequent, no join key is hot.
@@ -15,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,10 +31,6 @@ RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # A word is broadcast with its count if it is more than this share of all
 # tokens; there are at most 1 / HOT_SHARE of those.
 HOT_SHARE = 5e-6
-# Words for each training window.
-SPACING = 1024
-# Words taken for a window: more than its subwords need.
-RUN = attention.WINDOW
 ROUNDS = 3
 SLOT = 4096
 # Windows in a training shard at least.
@@ -122,26 +118,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def training_windows(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """Windows of subword ids from every document: ids (inputs and targets are neighbours in it) and a hash for dealing."""
+    """Consecutive windows over all subword ids of every document: ids (inputs and targets are neighbours in it) and a hash for dealing.
+
+    The id before a window is its first input: END where the text starts. Each
+    id, and the END behind a text, is a target in exactly one window.
+    """
 
     def run(batch):
-        ids, keys = [], []
-        for text in batch.column("text").to_pylist():
-            words = Words([text], lower=True)
-            n = int(words.counts[0])
-            for w in range(1 + n // SPACING):
-                key = xxhash.xxh64_intdigest(f"{w} {n} {(text or '')[:200]}")
-                first = key % max(1, n - RUN // 2 + 1) if n else 0
-                part = [words.vocabulary[c] for c in words.codes[first : first + RUN]]
-                run_ids = [i for one in subwords(part, ranks) for i in one]
-                if first + RUN >= n:
-                    run_ids.append(attention.END)
-                # The id before the window is its first input: END where the text starts.
-                ids.append(([attention.END] if first == 0 else []) + run_ids[: attention.WINDOW + (first > 0)])
-                keys.append(key >> 1)
-        yield {"ids": ids, "key": keys}
-
-    return stored(arrow_map(docs.select("text"), run, "ids array<int>, key bigint"), "windows")
+        numbers, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        for a, b in slices(texts, 2_000_000):
+            ids, keys = [], []
+            for number, text in zip(numbers[a:b], texts[a:b], strict=True):
+                words = Words([text], lower=True)
+                known = subwords(words.vocabulary, ranks)
+                stream = [attention.END, *itertools.chain.from_iterable(known[c] for c in words.codes.tolist()), attention.END]
+                whole = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"))
+                for w, first in enumerate(range(0, len(stream) - 1, attention.WINDOW)):
+                    ids.append(stream[first : first + attention.WINDOW + 1])
+                    # The id keeps the copies of one text from meeting in one shard.
+                    keys.append(xxhash.xxh64_intdigest(f"{whole} {number} {w}") >> 1)
+            yield {"ids": ids, "key": keys}
+
+    return stored(arrow_map(docs.select("doc_id", "text"), run, "ids array<smallint>, key bigint"), "windows")
 
 
 def window_arrays(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +156,8 @@ def window_arrays(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(windows: DataFrame, rounds: int = ROUNDS) -> attention.Weights:
     """Weights of the model: in each round every shard trains on its part of the windows, then weights are averaged.
 
-    A window is used in one round, each at its hash. Only averaged weights, of a
+    A window is used in one round, each at its hash. Shards grow in number with
+    the windows, so averages are taken in two steps. Only averaged weights, of a
     fixed number, get to the driver.
     """
     spark = windows.sparkSession
@@ -168,7 +167,8 @@ def train(windows: DataFrame, rounds: int = ROUNDS) -> attention.Weights:
         counts[row["id"]] = row["n"]
     weights = attention.initial(counts)
     total = windows.count()
-    shards = max(1, min(total // (SHARD_WINDOWS * rounds), 10_000))
+    shards = max(1, total // (SHARD_WINDOWS * rounds))
+    parts = math.isqrt(shards)
     dealt = windows.withColumn("round", F.pmod(F.col("key"), F.lit(rounds))).withColumn("shard", F.pmod(F.xxhash64("key", "ids"), F.lit(shards)))
     for number in range(rounds):
         held = spark.sparkContext.broadcast(attention.flat(weights))
@@ -178,14 +178,16 @@ def train(windows: DataFrame, rounds: int = ROUNDS) -> attention.Weights:
             arrays = [np.concatenate([a] * (1 + MIN_STEPS * attention.BATCH // len(frame))) for a in window_arrays(frame["ids"].tolist())]
             trained = attention.flat(attention.train(attention.unflat(held.value), *arrays))  # noqa: B023
             slots = range(0, len(trained), SLOT)
-            return pd.DataFrame({"slot": [a // SLOT for a in slots], "n": len(frame), "v": [trained[a : a + SLOT].tolist() for a in slots]})
+            part = int(frame["shard"].iloc[0]) % parts
+            return pd.DataFrame({"slot": [a // SLOT for a in slots], "part": part, "n": len(frame), "v": [trained[a : a + SLOT].tolist() for a in slots]})
 
         def average(frame: pd.DataFrame) -> pd.DataFrame:
             mean = np.average(np.array(frame["v"].tolist()), axis=0, weights=frame["n"].to_numpy(float))
-            return pd.DataFrame({"slot": [int(frame["slot"].iloc[0])], "v": [mean.tolist()]})
+            return pd.DataFrame({"slot": [int(frame["slot"].iloc[0])], "n": [int(frame["n"].sum())], "v": [mean.tolist()]})
 
-        trained = dealt.where(F.col("round") == number).groupBy("shard").applyInPandas(learn, "slot int, n bigint, v array<float>")
-        rows = trained.groupBy("slot").applyInPandas(average, "slot int, v array<double>").collect()
+        trained = dealt.where(F.col("round") == number).groupBy("shard").applyInPandas(learn, "slot int, part int, n bigint, v array<float>")
+        some = trained.groupBy("slot", "part").applyInPandas(average, "slot int, n bigint, v array<double>")
+        rows = some.groupBy("slot").applyInPandas(average, "slot int, n bigint, v array<double>").collect()
         if rows:
             weights = attention.unflat(np.concatenate([r["v"] for r in sorted(rows, key=lambda r: r["slot"])]))
     return weights
