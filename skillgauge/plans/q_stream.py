@@ -94,6 +94,31 @@ def _(spark, sf):
     return jobs.run_update(out, *_run(spark, "sliding"), ["window_start", "window_end", "event_type"])
 
 
+# Key of the rows that close both streams of a join.
+CLOSING = "_closing"
+
+
+def _aligned(spark, sf, name, observations):
+    """All forecasts beside their observations; closing rows push the watermark past the last target, so that unmatched ones appear."""
+    f = ensemble_forecasts(spark, sf).withColumnRenamed("value", "load").select("forecast_target_time", "model", "location_id", "load")
+    o = observations.withColumnRenamed("value", "load").select("observation_time", "location_id", "load")
+    f_drops, o_drops = _drops(spark, sf, f"{name}-forecasts", f), _drops(spark, sf, f"{name}-observations", o)
+    fs, os = jobs.read_files(spark, f_drops, f.schema), jobs.read_files(spark, o_drops, o.schema)
+    run = _run(spark, f"{name}-aligned")
+    jobs.run_append(jobs.align_streams(fs, os, ["load"], "60 days"), *run)
+
+    def close(_):
+        times = f.select(F.col("forecast_target_time").alias("t")).unionByName(o.select(F.col("observation_time").alias("t")))
+        last = times.agg((F.coalesce(F.max("t"), F.timestamp_seconds(F.lit(0))) + F.expr("INTERVAL 61 DAYS")).alias("t"))
+        for rows, folder, time in ((f, f_drops, "forecast_target_time"), (o, o_drops, "observation_time")):
+            given = {time: F.col("t"), "location_id": F.lit(CLOSING)}
+            last.select(*[given.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name) for c in rows.schema]).write.mode("append").parquet(folder)
+
+    _once(f"{name}-closing", spark, sf, close)
+    out = jobs.run_append(jobs.align_streams(fs, os, ["load"], "60 days"), *run)
+    return out.where(F.coalesce(F.col("location_id") != CLOSING, F.lit(True))).drop("observation_time")
+
+
 @query(
     "str04_aligned_streams",
     "STR-04",
@@ -104,13 +129,21 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    f = ensemble_forecasts(spark, sf).withColumnRenamed("value", "load").select("forecast_target_time", "model", "location_id", "load")
-    o = ensemble_observations(spark, sf).withColumnRenamed("value", "load").select("observation_time", "location_id", "load")
-    fs = jobs.read_files(spark, _drops(spark, sf, "join-forecasts", f), f.schema)
-    os = jobs.read_files(spark, _drops(spark, sf, "join-observations", o), o.schema)
-    out = jobs.run_append(jobs.align_streams(fs, os, ["load"], "60 days"), *_run(spark, "aligned"))
-    # Unmatched forecasts wait for the watermark; the matched ones are complete now.
-    return out.where(F.col("observation_time").isNotNull()).drop("observation_time")
+    return _aligned(spark, sf, "join", ensemble_observations(spark, sf))
+
+
+@query(
+    "str04_outer_aligned_streams",
+    "STR-04",
+    sql=on_ensemble(
+        "SELECT forecast_target_time, model, f.location_id, f.value AS forecast_load, o.value AS observed_load, f.value - o.value AS load_error FROM ens_forecasts f "
+        "LEFT JOIN (SELECT * FROM ens_observations WHERE location_id <> 'loc3') AS o ON f.forecast_target_time = o.observation_time AND f.location_id = o.location_id",
+        "forecast_load observed_load load_error",
+    ),
+)
+def _(spark, sf):
+    # A station that reports nothing: its forecasts have no partner.
+    return _aligned(spark, sf, "outer-join", ensemble_observations(spark, sf).where("location_id <> 'loc3'"))
 
 
 @query(
