@@ -104,14 +104,30 @@ def candidates(text: bytes, one: Notice) -> list[tuple[int, int]]:
     return joined
 
 
+def best_matches(text: bytes, one: Notice, a: int, b: int) -> list[tuple[int, int, int]]:
+    """Start, end and edits of all matches in text[a:b] that do not overlap.
+
+    The pattern takes the best match of a stretch first and goes on behind it, so
+    the stretches before and after each match are searched again.
+    """
+    found, todo = [], [(a, min(b, len(text)))]
+    while todo:
+        a, b = todo.pop()
+        # The space before a match and the one after it lie in the stretch too.
+        m = one.pattern.search(text, a, b) if b - a >= len(one.text) - one.edits else None
+        if m:
+            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            todo += [(a, m.start()), (m.end(), b)]
+    return found
+
+
 def matches(text: bytes) -> list[tuple[int, int, str, int, float]]:
     """Spans of notices in a normal text: start, end, label, edits, similarity; the better of two that overlap."""
     found = set()
     for one in notices():
         for a, b in candidates(text, one):
-            for m in one.pattern.finditer(text, a, min(b, len(text))):
-                edits = sum(m.fuzzy_counts)
-                found.add((m.start(), m.end(), one.label, edits, 1.0 - edits / len(one.text)))
+            for start, end, edits in best_matches(text, one, a, b):
+                found.add((start, end, one.label, edits, 1.0 - edits / len(one.text)))
     kept: list[tuple[int, int, str, int, float]] = []
     for m in sorted(found, key=lambda m: (m[3], m[0] - m[1], m)):
         if all(m[1] <= k[0] or m[0] >= k[1] for k in kept):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from skillgauge.llm import attention, lm
+from skillgauge.llm import attention, licenses, lm
 
 DOC = "doc_id bigint, text string"
 
@@ -21,3 +21,13 @@ def test_lm_learns_from_every_subword(spark):
     assert targets == sorted(itertools.chain.from_iterable(streams))
     # Copies are dealt apart.
     assert len({r.key for r in got}) == len(got)
+
+
+def test_licenses_find_every_altered_notice_in_a_row():
+    forms = ["licenced undr the mit license", "licensed under the mit license", "licensed under teh mit license", "licensed undr the mit licens"]
+    for n in (2, 3, 4):
+        for row in itertools.permutations(forms, n):
+            for between in (" ", " and "):
+                text = between.join(row)
+                spans = licenses.scan_text(text)["spans"]
+                assert [text[s["start"] : s["end"]] for s in spans] == list(row)
