@@ -108,6 +108,24 @@ def _(spark, sf):
     return quality.check_duplicate_observations(narrow).drop("message")
 
 
+@query(
+    "dq03_duplicate_observation_rows",
+    "DQ-03",
+    sql=on_verification(
+        "SELECT 'duplicate_observations' AS \"check\", CASE WHEN n > 0 THEN 'error' WHEN r > 100 THEN 'warning' ELSE 'info' END AS severity, n AS count, "
+        "CASE WHEN n > 0 THEN concat(n, ' matched rows are exact copies') WHEN r > 100 THEN printf('%.0f forecasts per distinct observation time', r) "
+        "ELSE 'no duplicate observations' END AS message FROM (SELECT CAST(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS BIGINT) AS n, "
+        "(SELECT count(*) FROM twice) / CAST(count(DISTINCT observation_time) AS DOUBLE) AS r "
+        "FROM (SELECT *, count(*) AS c FROM twice WHERE observation_time IS NOT NULL GROUP BY ALL) AS g) AS h",
+        ctes="twice AS (SELECT * FROM verification UNION ALL SELECT * FROM verification WHERE lead_hours < 240)",
+    ),
+)
+def _(spark, sf):
+    # All columns are compared; rows of short leads are there twice.
+    rows = verification(spark, sf)
+    return quality.check_duplicate_observations(rows.unionByName(rows.where("lead_hours < 240")))
+
+
 @query(
     "dq04_missing_observations",
     "DQ-04",

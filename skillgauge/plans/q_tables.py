@@ -11,7 +11,7 @@ from ..session import scratch_path
 from ..sinks import datasets, upsert
 from ..sources import raw_json, tables
 from .q_events import by_model_stored
-from .q_metrics import by_model_lead_stored
+from .q_metrics import M, _sets_sql, by_model_lead_stored
 from .registry import (
     CATALOG,
     ENSEMBLE_CTE,
@@ -428,6 +428,21 @@ def _(spark, sf):
     return spark.read.schema(issues.schema).json(f"{path}/issues").drop("message")
 
 
+@query(
+    "snk08_validation_totals",
+    "SNK-08",
+    sql=on_shipments(
+        "SELECT CASE WHEN n > 0 THEN 'error' ELSE 'info' END AS severity, CAST(1 AS BIGINT) AS issues, CAST(n AS BIGINT) AS affected_rows FROM "
+        "(SELECT count(*) FILTER (WHERE lead_hours < 0 OR lead_hours > 720) AS n FROM shipments) AS h"
+    ),
+)
+def _(spark, sf):
+    path = scratch_path(spark, "report-totals")
+    issues = quality.check_lead_times(shipments(spark, sf))
+    datasets.save_validation_report(issues, path)
+    return spark.read.schema(quality.severity_totals(issues).schema).json(f"{path}/totals")
+
+
 @query(
     "snk09_build_metrics",
     "SNK-09",
@@ -442,6 +457,13 @@ def _(spark, sf):
     return season.select("grouping", "season", "variable", "metric_name", "metric_value", "sample_size")
 
 
+@query("snk09_build_metrics_all_groupings", "SNK-09", sql=on_verification(_sets_sql(), M))
+def _(spark, sf):
+    path = scratch_path(spark, "metric-groups-all")
+    datasets.build_metrics(verification(spark, sf), path, VARIABLES)
+    return spark.read.parquet(path)
+
+
 @query(
     "snk10_build_events",
     "SNK-10",

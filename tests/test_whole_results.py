@@ -39,3 +39,9 @@ def test_joined_streams_keep_unmatched_forecasts(spark):
     assert mine == theirs
     observed, place = names.index("observed_load"), names.index("location_id")
     assert {r[place] for r in mine if r[observed] is None} == {"loc3"}
+
+
+@pytest.mark.parametrize("name", ["snk08_validation_totals", "snk09_build_metrics_all_groupings", "dq03_duplicate_observation_rows"])
+def test_whole_outputs_equal_sql(spark, name):
+    _, mine, theirs = both(spark, name)
+    assert mine and mine == theirs
