@@ -26,14 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, arrow_filter, arrow_map, slices, stored
 
-# Bounds of the labelled sample (documents) and of what the driver gets of it (words).
+# Bounds of the labelled sample (documents) and of what the driver gets of its ordinary words.
 MAX_TOXIC = 3000
 MAX_ORDINARY = 6000
-MAX_TOXIC_WORDS = 500
 MAX_ORDINARY_WORDS = 20_000
 # Standard errors by which a word's share of toxic documents must exceed its share of the others.
 MIN_Z = 6.0
-TOXIC_BYTES = 2048
 ORDINARY_BYTES = 16_384
 THRESHOLD = 0.3
 REPEAT = 3
@@ -103,8 +101,10 @@ class Distances:
 
 
 def compressor(data: bytes) -> zstandard.ZstdCompressor:
+    # The window and the tables of matches hold the whole dictionary.
+    log = max(15, (2 * len(data)).bit_length())
     parameters = zstandard.ZstdCompressionParameters.from_level(
-        5, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=MATCH, window_log=15, hash_log=14, chain_log=14, strategy=3
+        5, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=MATCH, window_log=log, hash_log=log - 1, chain_log=log - 1, strategy=3
     )
     dictionary = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(compression_params=parameters, dict_data=dictionary)
@@ -193,11 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Toxi
     )
     share = (F.col("a") + F.col("b")) / (n1 + n0)
     z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    telling = counts.where("a >= 3").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_TOXIC_WORDS).collect()
+    telling = counts.where("a >= 3").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy("z", "word").collect()
     usual = counts.where("b > 0").orderBy(F.desc("b"), "word").limit(MAX_ORDINARY_WORDS).collect()
     if not telling:
         return empty
-    toxic = dictionary([window(r["word"].encode()) for r in telling for _ in range(min(r["a"], 50))], TOXIC_BYTES)
+    # The windows of all telling words: the dictionary grows with their number.
+    toxic = b"".join(window(r["word"].encode()) for r in telling)
     ordinary = dictionary([b" " + r["word"].encode() + b" " for r in usual for _ in range(min(r["b"], 20))], ORDINARY_BYTES)
 
     def measure(batch):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 
-from skillgauge.llm import attention, licenses, lm
+import numpy as np
+
+from skillgauge.llm import attention, licenses, lm, toxicity
 
 DOC = "doc_id bigint, text string"
 
@@ -31,3 +33,24 @@ def test_licenses_find_every_altered_notice_in_a_row():
                 text = between.join(row)
                 spans = licenses.scan_text(text)["spans"]
                 assert [text[s["start"] : s["end"]] for s in spans] == list(row)
+
+
+def test_toxicity_holds_a_large_vocabulary(spark):
+    rng = np.random.default_rng(5)
+    made = lambda n, letters: sorted({"".join(rng.choice(list(letters), rng.integers(5, 10))) for _ in range(n)})
+    bad, good = made(600, "bdfghjkpquvwxyz"), made(600, "aceilmnorst")
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 4 == 0
+        words = [*rng.choice(good, 40), *(rng.choice(bad, 40, replace=False) if toxic else [])]
+        rows.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, DOC)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    of = toxicity.distances(model.toxic, model.ordinary)
+    found = {w: of.of(w.encode()) for w in bad}
+    # Some words stand in too few documents to be told from chance.
+    assert sum(d > 0 for d in found.values()) > 0.9 * len(bad)
+    one = spark.createDataFrame([(i, " ".join([*good[:20], w])) for i, w in enumerate(bad)], DOC)
+    far = [toxicity.features(of.histogram(t).reshape(1, -1).astype(float), model.ratios)[0, 5] for _, t in one.collect()]
+    assert sum(x > 0 for x in far) > 0.9 * len(bad)
