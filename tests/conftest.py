@@ -5,17 +5,13 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
+from codegen import generated_code  # noqa: E402
 from skillgauge.session import get_spark  # noqa: E402
 
 
-def generated_code(session, on: bool) -> None:
-    """Compiling code costs more than it saves on frames of a few rows; the query tests turn it on."""
-    session.conf.set("spark.sql.codegen.wholeStage", str(on).lower())
-    session.conf.set("spark.sql.codegen.factoryMode", "FALLBACK" if on else "NO_CODEGEN")
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = get_spark(

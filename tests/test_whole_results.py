@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from conftest import generated_code
+from codegen import generated_code
 from skillgauge.plans import load_all
 
 SF = "/root/testdata/sf0.001"
