@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import dedup, langid, licenses, lm, packing, pieces, quality, secrets, topk, toxicity
+from . import dedup, langid, licenses, lm, manifest, packing, pieces, quality, secrets, topk, toxicity
 from .common import remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": Query(op8_toxicity),
     "op9_quality_rules": Query(op9_quality_rules),
     "op10_lm_score": Query(op10_lm_score),
+    "op11_merkle_manifest": Query(op11_merkle_manifest, manifest.SQL),
     "pipeline": Query(pipeline),
 }
 
