@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import dedup, langid, licenses, lm, manifest, packing, pieces, quality, secrets, topk, toxicity
+from . import dedup, fingerprints, langid, licenses, lm, manifest, packing, pieces, quality, secrets, topk, toxicity
 from .common import remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.fingerprints(docs, fingerprints.fit(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": Query(op9_quality_rules),
     "op10_lm_score": Query(op10_lm_score),
     "op11_merkle_manifest": Query(op11_merkle_manifest, manifest.SQL),
+    "op12_fingerprints": Query(op12_fingerprints),
     "pipeline": Query(pipeline),
 }
 
