@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import dedup, fingerprints, langid, licenses, lm, manifest, packing, pieces, quality, secrets, topk, toxicity
+from . import dedup, fingerprints, langid, licenses, lm, manifest, packing, pieces, quality, runs, secrets, topk, toxicity
 from .common import remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,10 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(docs, fingerprints.fit(docs))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), runs.planted))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op10_lm_score": Query(op10_lm_score),
     "op11_merkle_manifest": Query(op11_merkle_manifest, manifest.SQL),
     "op12_fingerprints": Query(op12_fingerprints),
+    "op13_periodic_runs": Query(op13_periodic_runs),
     "pipeline": Query(pipeline),
 }
 
