@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.temporal import with_calendar
 from ..schemas import ELEV, LAT, LOCATION, LON, OBS_TIME, TARGET, forecast_var, observed_var
+from ..session import materialize
 from .errors import add_errors, canonical, record_errors
 from .interpolate import collapse_corners, interpolate_to_sites, sites_of
 from .locations import require_compatible
@@ -143,9 +144,35 @@ def alignment_summary(aligned: DataFrame) -> DataFrame:
 
 
 RECORD_KEY = (LAT, LON, "valid_time", "variable")
+# A key with more forecasts than this is dealt to several places; rows without a key to NO_KEY_PLACES.
+HOT_ROWS = 200_000
+NO_KEY_PLACES = 1024
 
 
-def align_records(forecasts: DataFrame, observations: DataFrame, strict: bool = False) -> DataFrame:
+def salted_full_outer(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Full outer join on `keys` that no hot key of `left` can hold up.
+
+    Adaptive execution cannot split a partition of a full outer join. Here it is a
+    left outer join, in which the left rows of a hot key are dealt to several places by their
+    values and the right rows of that key go to each of them, and the right rows that
+    meet no left row. How many places a key needs is counted first; there are at
+    most rows / `hot_rows` such keys. Null keys match nothing and are spread.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    places = F.ceil(F.count(F.lit(1)) / hot_rows).cast("int")
+    hot = materialize(left.where(known).groupBy(*keys).agg(places.alias("_places")).where("_places > 1"), "hot-keys")
+    own = lambda n: F.pmod(F.xxhash64(*left.columns), n.cast("bigint")).cast("int")
+    dealt = left.join(hot, keys, "left").withColumn("_place", F.when(~known, own(F.lit(NO_KEY_PLACES))).otherwise(own(F.coalesce("_places", F.lit(1)))))
+    copies = F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1)
+    spread = right.where(known).join(hot, keys, "left").withColumn("_place", F.explode(copies))
+    met = dealt.drop("_places").join(spread.drop("_places"), [*keys, "_place"], "left").drop("_place")
+    alone = right.join(left.select(*keys).distinct(), keys, "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)
+
+
+def align_records(forecasts: DataFrame, observations: DataFrame, strict: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Full outer join of long records on (lat, lon, valid_time, variable).
 
     Every forecast of a key pairs with every observation of it; the rest is
@@ -174,7 +201,7 @@ def align_records(forecasts: DataFrame, observations: DataFrame, strict: bool =
         .when(F.col("_f").isNotNull(), "forecast_only")
         .otherwise("observation_only")
     )
-    joined = f.join(o, list(RECORD_KEY), "full_outer").withColumn("match_status", status)
+    joined = salted_full_outer(f, o, list(RECORD_KEY), hot_rows).withColumn("match_status", status)
     joined = joined.withColumn("lead_hours", F.coalesce("_f_lead", "_o_lead"))
     return record_errors(joined.drop("_f", "_o", "_f_lead", "_o_lead"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import variable_type
 from ..functions.temporal import season_of, with_calendar
 from ..schemas import DIMENSIONS, METRICS, error_var, forecast_var, observed_var
+from ..session import materialize
 
 # Metric name -> aggregate over an error column (nulls skipped).
 METRIC_AGGREGATES = {
@@ -95,41 +96,58 @@ def summary_by_season(df, variables, metrics=METRICS):
     return grouped_metrics(df, ["season"], variables, metrics)
 
 
+# Moments of a variable's errors, in this order: count, sums of magnitudes and squares, mean, and squared distances from the mean.
+MOMENTS = ("n", "abs", "square", "mean", "spread")
+
+
+def moment(variable: str, name: str) -> str:
+    return f"{variable}_{name}"
+
+
+def error_moments(df: DataFrame, dims, variables) -> DataFrame:
+    """dims, row_total and the moments of each variable: all that any coarser grouping's metrics need."""
+    base: list[Column] = [F.count(F.lit(1)).alias("row_total")]
+    for v in variables:
+        e = F.col(error_var(v))
+        values = (F.count(e), F.sum(F.abs(e)), F.sum(e * e), F.avg(e), F.var_pop(e) * F.count(e))
+        base += [value.alias(moment(v, name)) for name, value in zip(MOMENTS, values, strict=True)]
+    return df.groupBy(*dims).agg(*base)
+
+
 def metrics_by_grouping_sets(df: DataFrame, sets, variables, metrics=METRICS) -> DataFrame:
     """Several groupings of one table: `grouping`, all dims (null when unused), metrics.
 
-    The table is first reduced to mergeable moments per combination of all
-    dimensions; the grouping sets then expand that small table, never the rows.
+    The table is reduced once to moments per combination of all dimensions, which are
+    written; the grouping sets then expand that small table, never the rows.
     """
     sets = [list(s) for s in sets]
     dims = list(dict.fromkeys(d for s in sets for d in s))
     check_arguments(df, dims, metrics, variables)
     # Null keys are dropped per grouping, as a single-dimension grouping would.
-    df = with_calendar(df, dims)
-    base: list[Column] = [F.count(F.lit(1)).alias("_total")]
+    return merged_moments(materialize(error_moments(with_calendar(df, dims), dims, variables), "moments"), sets, variables, metrics)
+
+
+def merged_moments(moments: DataFrame, sets, variables, metrics=METRICS) -> DataFrame:
+    """Metrics of several groupings from the moments of finer groups, of which there may be several for one combination of dims.
+
+    `moments` is read twice, so it should be a stored table.
+    """
+    sets = [list(s) for s in sets]
+    dims = list(dict.fromkeys(d for s in sets for d in s))
+    of = lambda v, name: F.col(moment(v, name))
+    merged: list[Column] = [F.grouping_id().alias("_gid"), F.sum("row_total").alias("_total")]
     for i, v in enumerate(variables):
-        e = F.col(error_var(v))
-        base += [
-            F.count(e).alias(f"_n{i}"),
-            F.sum(F.abs(e)).alias(f"_a{i}"),
-            F.sum(e * e).alias(f"_q{i}"),
-            F.avg(e).alias(f"_m{i}"),
-            (F.var_pop(e) * F.count(e)).alias(f"_s{i}"),
-        ]
-    moments = df.groupBy(*dims).agg(*base)
-    merged: list[Column] = [F.grouping_id().alias("_gid"), F.sum("_total").alias("_total")]
-    for i in range(len(variables)):
-        n, m = F.col(f"_n{i}"), F.col(f"_m{i}")
+        n = of(v, "n")
         merged += [
             F.sum(n).alias(f"_n{i}"),
-            F.sum(f"_a{i}").alias(f"_a{i}"),
-            F.sum(f"_q{i}").alias(f"_q{i}"),
-            F.sum(n * m).alias(f"_t{i}"),
-            F.sum(f"_s{i}").alias(f"_s{i}"),
+            F.sum(of(v, "abs")).alias(f"_a{i}"),
+            F.sum(of(v, "square")).alias(f"_q{i}"),
+            F.sum(n * of(v, "mean")).alias(f"_t{i}"),
+            F.sum(of(v, "spread")).alias(f"_s{i}"),
         ]
     expanded = moments.groupingSets([[F.col(d) for d in s] for s in sets], *[F.col(d) for d in dims])
     rolled = expanded.agg(*merged)
-    rolled = _with_between(moments, rolled, sets, dims, len(variables))
+    rolled = _with_between(moments, rolled, sets, dims, list(variables))
     names = {_grouping_id(dims, s): s for s in sets}
     label, keep = F.lit(None).cast("string"), F.lit(False)
     for gid, s in names.items():
@@ -153,7 +171,7 @@ def metrics_by_grouping_sets(df: DataFrame, sets, variables, metrics=METRICS) ->
     return rolled.where(keep).select(label.alias("grouping"), *dims, F.inline(F.array(*rows)))
 
 
-def _with_between(moments: DataFrame, rolled: DataFrame, sets, dims: list[str], variables: int) -> DataFrame:
+def _with_between(moments: DataFrame, rolled: DataFrame, sets, dims: list[str], variables: list[str]) -> DataFrame:
     """`rolled` with the spread of the merged groups' means around the mean of each merged group.
 
     Squares of the deviations themselves are summed, so a large common mean costs
@@ -163,18 +181,18 @@ def _with_between(moments: DataFrame, rolled: DataFrame, sets, dims: list[str],
         F.struct(F.lit(_grouping_id(dims, s)).alias("_gid"), *[(F.col(d) if d in s else F.lit(None).cast(moments.schema[d].dataType)).alias(f"_g_{d}") for d in dims])
         for s in sets
     ]
-    parts = moments.select(*[c for c in moments.columns if c not in dims], F.inline(F.array(*masks)))
+    parts = moments.select(*[moment(v, name) for v in variables for name in ("n", "mean")], F.inline(F.array(*masks)))
     means = rolled.select(
         F.col("_gid").alias("_mid"),
         *[F.col(d).alias(f"_m_{d}") for d in dims],
-        *[F.try_divide(F.col(f"_t{i}"), F.col(f"_n{i}")).alias(f"_mean{i}") for i in range(variables)],
+        *[F.try_divide(F.col(f"_t{i}"), F.col(f"_n{i}")).alias(f"_mean{i}") for i in range(len(variables))],
     )
     same = F.col("_gid") == F.col("_mid")
     for d in dims:
         same = same & F.col(f"_g_{d}").eqNullSafe(F.col(f"_m_{d}"))
-    off = [F.col(f"_m{i}") - F.col(f"_mean{i}") for i in range(variables)]
+    off = [F.col(moment(v, "mean")) - F.col(f"_mean{i}") for i, v in enumerate(variables)]
     between = parts.join(means, same).groupBy("_mid", *[f"_m_{d}" for d in dims])
-    between = between.agg(*[F.sum(F.col(f"_n{i}") * o * o).alias(f"_b{i}") for i, o in enumerate(off)])
+    between = between.agg(*[F.sum(F.col(moment(variables[i], "n")) * o * o).alias(f"_b{i}") for i, o in enumerate(off)])
     back = F.col("_gid") == F.col("_mid")
     for d in dims:
         back = back & F.col(d).eqNullSafe(F.col(f"_m_{d}"))

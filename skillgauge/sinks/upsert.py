@@ -89,7 +89,8 @@ def existing(spark: SparkSession, root: str, touched: DataFrame, partitions) ->
     return old.where(wanted)
 
 
-def _upsert(new: DataFrame, root: str, key: list[str], partitions, order_by, keep_old_columns: bool) -> int:
+def upsert_rows(new: DataFrame, root: str, key: list[str], partitions, order_by, keep_old_columns: bool) -> int:
+    """Merge rows by key and location identity into Hive partitions; returns the rows of the partitions written."""
     spark = new.sparkSession
     touched = new.select(*partitions).distinct()
     batch = new.withColumn("_seq", F.lit(1))
@@ -120,10 +121,10 @@ def upsert_forecasts(new: DataFrame, root: str, order_by=()) -> int:
     dropped from the partitions it touches.
     """
     rows = new.withColumns({"year": F.year(TARGET), "month": F.month(TARGET)})
-    return _upsert(rows, root, [ISSUE, TARGET, MODEL], FORECAST_PARTITIONS, order_by, keep_old_columns=False)
+    return upsert_rows(rows, root, [ISSUE, TARGET, MODEL], FORECAST_PARTITIONS, order_by, keep_old_columns=False)
 
 
 def upsert_observations(new: DataFrame, root: str, order_by=()) -> int:
     """Merge observation rows into `year=/month=`; old and new columns are united."""
     rows = new.withColumns({"year": F.year(OBS_TIME), "month": F.month(OBS_TIME)})
-    return _upsert(rows, root, [OBS_TIME], OBSERVATION_PARTITIONS, order_by, keep_old_columns=True)
+    return upsert_rows(rows, root, [OBS_TIME], OBSERVATION_PARTITIONS, order_by, keep_old_columns=True)
