@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,21 +160,28 @@ def with_split(targets: DataFrame, train_fraction: float = 0.5, split: str = "te
 
 
 def _positional(targets: DataFrame, train_fraction: float) -> DataFrame:
-    """Position in key order, counted month by month so that no task orders everything."""
+    """The first rows in key order are for training: those up to the row at the cut.
+
+    The cut's keys are found one after the other, each among the rows that share the
+    ones before; only distinct values of a key with their counts are ordered (issue
+    times, then lead times of one run, then sites), never the rows.
+    """
     keys = [k for k in (ISSUE, TARGET, LOCATION, LAT, LON, LEAD) if k in targets.columns]
-    month = F.year(keys[0]) * 12 + F.month(keys[0])
-    rows = targets.withColumn("_bucket", month)
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(F.lit(0)).orderBy("_bucket")
-    offsets = sizes.select(
-        "_bucket",
-        (F.sum("_n").over(along) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"),
-    )
-    within = Window.partitionBy("_bucket").orderBy(*keys)
-    placed = rows.withColumn("_pos", F.row_number().over(within) - 1).join(offsets, "_bucket")
-    cut = F.floor(F.col("_total") * train_fraction)
-    return placed.withColumn("is_train", F.col("_before") + F.col("_pos") < cut).drop("_bucket", "_pos", "_before", "_total")
+    total = targets.count()
+    place = math.floor(total * train_fraction) - 1
+    if place < 0:
+        return targets.withColumn("is_train", F.lit(False))
+    rest, same, before_cut = targets, F.lit(True), F.lit(False)
+    for k in keys:
+        sizes = rest.groupBy(k).agg(F.count(F.lit(1)).alias("_n"))
+        placed = sizes.withColumn("_end", F.sum("_n").over(Window.orderBy(k)))
+        row = placed.where(F.col("_end") > place).orderBy(k).first()
+        place -= row["_end"] - row["_n"]
+        value = F.lit(row[k])
+        before_cut = before_cut | (same & (F.col(k) < value))
+        same = same & (F.col(k) == value)
+        rest = rest.where(F.col(k) == value)
+    return targets.withColumn("is_train", before_cut | same)
 
 
 def train_entries(split: DataFrame, variable: str) -> DataFrame:

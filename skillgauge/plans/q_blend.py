@@ -153,11 +153,21 @@ def _weights_ctes(recent: str = "0.5") -> str:
 
 _WEIGHT_COLUMNS = (
     "variable, lead_hours, season, region, model, weight, 0.4 * hs AS historical_skill_contribution, 0.25 * rs AS recent_skill_contribution, "
-    "0.2 * cs AS coverage_contribution, 0.15 * ss AS stability_contribution"
+    "0.2 * cs AS coverage_contribution, 0.15 * ss AS stability_contribution, "
+    + ", ".join(
+        f"CASE WHEN {c} >= 0.8 THEN 'high' WHEN {c} >= 0.5 THEN 'middle' WHEN {c} > 0 THEN 'low' END AS {name}_grade"
+        for c, name in (("hs", "historical_skill"), ("rs", "recent_skill"), ("cs", "coverage"), ("ss", "stability"))
+    )
 )
 _WEIGHT_DOUBLES = "weight historical_skill_contribution recent_skill_contribution coverage_contribution stability_contribution"
 
 
+def _with_grades(table):
+    """The grades of the four components as columns of their own."""
+    names = table.schema["grades"].dataType.names
+    return table.select("*", *[F.col(f"grades.{n}").alias(f"{n}_grade") for n in names]).drop("grades")
+
+
 @query(
     "meta08_weights_by_context",
     "META-05",
@@ -166,7 +176,7 @@ _WEIGHT_DOUBLES = "weight historical_skill_contribution recent_skill_contributio
     sql=on_ensemble(f"SELECT {_WEIGHT_COLUMNS} FROM wt", _WEIGHT_DOUBLES, SKILL + _weights_ctes()),
 )
 def _(spark, sf):
-    return weighting.model_weights(entries(spark, sf), contexts(spark, sf)).drop("grades")
+    return _with_grades(weighting.model_weights(entries(spark, sf), contexts(spark, sf)))
 
 
 _RECENT = (
@@ -184,7 +194,7 @@ _RECENT = (
 def _(spark, sf):
     recent = entries(spark, sf).where("lead_hours <= 72").select("model", "metric_type", "value")
     everywhere = literal_table(spark, [("load", None, "", "")], CONTEXT_SCHEMA)
-    return weighting.model_weights(entries(spark, sf), everywhere, recent=recent).drop("grades")
+    return _with_grades(weighting.model_weights(entries(spark, sf), everywhere, recent=recent))
 
 
 def weights(spark, sf):
@@ -206,21 +216,35 @@ def members(spark, sf):
 
 _KEY = "variable, lead_hours, latitude, longitude, forecast_target_time"
 _SPREAD = (
-    f"tg AS (SELECT {_KEY}, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, max(value) - min(value) AS rng FROM ens_forecasts WHERE value IS NOT NULL GROUP BY {_KEY})"
+    f"tg AS (SELECT {_KEY}, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, max(value) - min(value) AS rng, "
+    f"string_agg(model, ',' ORDER BY model) AS names FROM ens_forecasts WHERE value IS NOT NULL GROUP BY {_KEY})"
 )
 _BLENDED = (
     WEIGHTS
     + f", bl AS (SELECT {', '.join('f.' + k for k in _KEY.split(', '))}, CASE WHEN sum(w.weight) = 0 THEN avg(f.value) ELSE sum(w.weight * f.value) / sum(w.weight) END AS value, "
-    "count(*) AS n, avg(f.value) AS mean, stddev_samp(f.value) AS std, max(f.value) - min(f.value) AS rng FROM ens_forecasts f JOIN wt w ON f.model = w.model "
+    "count(*) AS n, avg(f.value) AS mean, stddev_samp(f.value) AS std, max(f.value) - min(f.value) AS rng, string_agg(f.model, ',' ORDER BY f.model) AS names FROM ens_forecasts f JOIN wt w ON f.model = w.model "
     f"GROUP BY {', '.join('f.' + k for k in _KEY.split(', '))})"
 )
 _POOL = "(SELECT count(DISTINCT model) FROM ens_forecasts)"
-_CONFIDENCE = (
-    "0.3 * 0.5 + 0.25 * (CASE WHEN std IS NULL THEN 0.5 WHEN std <= 0.5 THEN 0.95 WHEN std <= 1 THEN 0.8 WHEN std <= 2 THEN 0.6 WHEN std <= 5 THEN 0.4 ELSE 0.2 END) "
-    f"+ 0.15 * (CASE WHEN n * 1.0 / {_POOL} >= 1 THEN 1.0 WHEN n * 1.0 / {_POOL} >= 0.75 THEN 0.8 WHEN n * 1.0 / {_POOL} >= 0.5 THEN 0.6 WHEN n * 1.0 / {_POOL} >= 0.25 THEN 0.4 ELSE 0.2 END) "
-    "+ 0.15 * (CASE WHEN lead_hours <= 24 THEN 0.9 WHEN lead_hours <= 48 THEN 0.7 WHEN lead_hours <= 72 THEN 0.5 WHEN lead_hours <= 120 THEN 0.3 ELSE 0.1 END) "
-    "+ 0.1 * (SELECT CASE WHEN count(*) < 2 THEN 0.5 WHEN var_pop(weight) < 0.01 THEN 0.9 WHEN var_pop(weight) < 0.05 THEN 0.7 WHEN var_pop(weight) < 0.1 THEN 0.5 ELSE 0.3 END FROM wt) + 0.05 * 0.5"
+# Score of each confidence factor over targets with std, n and lead_hours; "load" is of no known kind.
+_FACTORS = {
+    "historical_error": "0.5",
+    "model_agreement": "CASE WHEN std IS NULL THEN 0.5 WHEN std <= 0.5 THEN 0.95 WHEN std <= 1 THEN 0.8 WHEN std <= 2 THEN 0.6 WHEN std <= 5 THEN 0.4 ELSE 0.2 END",
+    "coverage": f"CASE WHEN n * 1.0 / {_POOL} >= 1 THEN 1.0 WHEN n * 1.0 / {_POOL} >= 0.75 THEN 0.8 WHEN n * 1.0 / {_POOL} >= 0.5 THEN 0.6 "
+    f"WHEN n * 1.0 / {_POOL} >= 0.25 THEN 0.4 ELSE 0.2 END",
+    "lead_time": "CASE WHEN lead_hours <= 24 THEN 0.9 WHEN lead_hours <= 48 THEN 0.7 WHEN lead_hours <= 72 THEN 0.5 WHEN lead_hours <= 120 THEN 0.3 ELSE 0.1 END",
+    "stability": "(SELECT CASE WHEN count(*) < 2 THEN 0.5 WHEN var_pop(weight) < 0.01 THEN 0.9 WHEN var_pop(weight) < 0.05 THEN 0.7 WHEN var_pop(weight) < 0.1 THEN 0.5 ELSE 0.3 END FROM wt)",
+    "variable_volatility": "0.5",
+}
+_CONFIDENCE = " + ".join(f"{agreement.CONFIDENCE_WEIGHTS[name]} * ({score})" for name, score in _FACTORS.items())
+_FACTOR_ROWS = " UNION ALL ".join(
+    f"SELECT {_KEY}, '{name}' AS factor, CAST({score} AS DOUBLE) AS score FROM bl" for name, score in _FACTORS.items()
 )
+_GRADED = "CASE WHEN score > 0.7 THEN 'strong' WHEN score > 0.4 THEN 'moderate' ELSE 'weak' END AS grade"
+
+
+def blended(spark, sf):
+    return blend.blend(members(spark, sf), weights(spark, sf))
 
 
 @query(
@@ -233,14 +257,39 @@ _CONFIDENCE = (
         "SELECT variable, lead_hours, latitude, longitude, forecast_target_time AS valid_time, value, std AS inter_model_std, rng AS inter_model_range, "
         "CASE WHEN n < 2 THEN 'insufficient' WHEN mean = 0 THEN CASE WHEN std > 10 THEN 'low' WHEN std > 1 THEN 'medium' ELSE 'high' END "
         "WHEN std / abs(mean) < 0.05 THEN 'high' WHEN std / abs(mean) < 0.2 THEN 'medium' ELSE 'low' END AS model_agreement, CAST(n AS INT) AS active_models, "
-        f"CAST({_POOL} AS INT) AS total_models, n / CAST({_POOL} AS DOUBLE) AS coverage_fraction, CAST({_CONFIDENCE} AS DOUBLE) AS confidence_score FROM bl",
+        f"CAST({_POOL} AS INT) AS total_models, n / CAST({_POOL} AS DOUBLE) AS coverage_fraction, CAST({_CONFIDENCE} AS DOUBLE) AS confidence_score, names AS contributors FROM bl",
         "latitude longitude value inter_model_std inter_model_range coverage_fraction confidence_score",
         _BLENDED,
     ),
 )
 def _(spark, sf):
-    out = blend.blend(members(spark, sf), weights(spark, sf))
-    return out.drop("contributors", "confidence_factors")
+    # Weights and values of contributors, and the factors of the score, have queries of their own.
+    names = F.array_join(F.transform("contributors", lambda c: c["model"]), ",")
+    return blended(spark, sf).withColumn("contributors", names).drop("confidence_factors")
+
+
+@query(
+    "meta09_contributors",
+    "META-09",
+    sql=on_ensemble(
+        f"SELECT {', '.join('f.' + k for k in _KEY.split(', ')[:-1])}, f.forecast_target_time AS valid_time, f.model, w.weight, f.value FROM ens_forecasts f JOIN wt w ON f.model = w.model",
+        "latitude longitude weight value",
+        WEIGHTS,
+    ),
+)
+def _(spark, sf):
+    return blended(spark, sf).select("variable", "lead_hours", "latitude", "longitude", "valid_time", F.inline("contributors"))
+
+
+@query(
+    "meta13_factors_of_blend",
+    "META-13",
+    sql=on_ensemble(
+        f"SELECT * EXCLUDE (forecast_target_time), forecast_target_time AS valid_time, {_GRADED} FROM ({_FACTOR_ROWS}) AS x", "latitude longitude score", _BLENDED
+    ),
+)
+def _(spark, sf):
+    return blended(spark, sf).select("variable", "lead_hours", "latitude", "longitude", "valid_time", F.inline("confidence_factors"))
 
 
 @query(
@@ -251,40 +300,55 @@ def _(spark, sf):
         f"SELECT variable, lead_hours, latitude, longitude, forecast_target_time AS valid_time, CAST({_POOL} AS INT) AS total_models, CAST(n AS INT) AS models_with_values, std AS inter_model_std, "
         "CASE WHEN n >= 2 THEN rng END AS inter_model_range, CASE WHEN n >= 2 THEN CASE WHEN mean = 0 THEN least(rng / 10, 1) ELSE least(std / abs(mean) / 0.5, 1) END END AS disagreement_score, "
         "CASE WHEN n >= 2 THEN 1 - CASE WHEN mean = 0 THEN least(rng / 10, 1) ELSE least(std / abs(mean) / 0.5, 1) END END AS consensus_score, "
-        "CASE WHEN n < 2 THEN 'insufficient' WHEN std <= 1 THEN 'high' WHEN std <= 3 THEN 'medium' ELSE 'low' END AS agreement_level FROM tg",
+        "CASE WHEN n < 2 THEN 'insufficient' WHEN std <= 1 THEN 'high' WHEN std <= 3 THEN 'medium' ELSE 'low' END AS agreement_level, "
+        "n >= 2 AND lead_hours > 72 AS is_long_lead, names AS model_values FROM tg",
         "latitude longitude inter_model_std inter_model_range disagreement_score consensus_score",
         _SPREAD,
     ),
 )
 def _(spark, sf):
-    return agreement.ensemble_agreement(members(spark, sf)).drop("is_long_lead", "model_values")
+    # The values themselves are in the next query.
+    names = F.array_join(F.transform("model_values", lambda m: m["model"]), ",")
+    return agreement.ensemble_agreement(members(spark, sf)).withColumn("model_values", names)
+
+
+@query(
+    "meta12_member_values",
+    "META-12",
+    sql=on_ensemble(
+        "SELECT variable, lead_hours, latitude, longitude, forecast_target_time AS valid_time, model, value FROM ens_forecasts WHERE value IS NOT NULL", "latitude longitude value"
+    ),
+)
+def _(spark, sf):
+    return agreement.ensemble_agreement(members(spark, sf)).select("variable", "lead_hours", "latitude", "longitude", "valid_time", F.inline("model_values"))
 
 
 @query(
     "meta13_confidence_factors",
     "META-13",
     sql=on_ensemble(
-        "SELECT lead_hours, factor, score, count(*) AS n FROM (SELECT lead_hours, unnest(['model_agreement', 'lead_time', 'stability']) AS factor, unnest(["
-        "CASE WHEN std IS NULL THEN 0.5 WHEN std <= 0.5 THEN 0.95 WHEN std <= 1 THEN 0.8 WHEN std <= 2 THEN 0.6 WHEN std <= 5 THEN 0.4 ELSE 0.2 END, "
-        "CASE WHEN lead_hours <= 24 THEN 0.9 WHEN lead_hours <= 48 THEN 0.7 WHEN lead_hours <= 72 THEN 0.5 WHEN lead_hours <= 120 THEN 0.3 ELSE 0.1 END, 0.5]::DOUBLE[]) AS score FROM tg) AS x "
-        "GROUP BY lead_hours, factor, score",
+        f"SELECT lead_hours, factor, score, {_GRADED}, count(*) AS n FROM ("
+        + " UNION ALL ".join(
+            f"SELECT lead_hours, '{name}' AS factor, CAST({'0.5' if name == 'stability' else score} AS DOUBLE) AS score FROM tg" for name, score in _FACTORS.items()
+        )
+        + ") AS x GROUP BY lead_hours, factor, score",
         "score",
         _SPREAD,
     ),
 )
 def _(spark, sf):
+    # Without weights their variance is unknown, and stability neutral.
     spread = agreement.ensemble_agreement(members(spark, sf)).withColumn("coverage_fraction", F.col("models_with_values") / F.col("total_models"))
     listed = agreement.with_confidence(spread).select("lead_hours", F.inline("confidence_factors"))
-    wanted = listed.where(F.col("factor").isin("model_agreement", "lead_time", "stability"))
-    return wanted.groupBy("lead_hours", "factor", "score").agg(F.count(F.lit(1)).alias("n"))
+    return listed.groupBy("lead_hours", "factor", "score", "grade").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scored(spark, sf):
     """Blend and single models next to the observation of their target."""
     o = ensemble_observations(spark, sf).select("latitude", "longitude", F.col("observation_time").alias("valid_time"), F.col("value").alias("observed"))
     keep = ["variable", "lead_hours", "latitude", "longitude", "valid_time", "model", "value"]
-    blended = blend.blend(members(spark, sf), weights(spark, sf)).withColumn("model", F.lit(blend.BLEND))
-    both = members(spark, sf).select(*keep).unionByName(blended.select(*keep))
+    mixed = blended(spark, sf).withColumn("model", F.lit(blend.BLEND))
+    both = members(spark, sf).select(*keep).unionByName(mixed.select(*keep))
     return both.join(o, ["latitude", "longitude", "valid_time"], "left")
 
 
@@ -303,7 +367,8 @@ def _evaluation_sql(keys: str, source: str = "se") -> str:
     stats = f"SELECT {shown}model, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, count(e) AS n, count(*) AS total, stddev_pop(abs(e)) AS sd FROM {source} GROUP BY {shown}model"
     return (
         f"SELECT {shown}blended_mae, blended_rmse, blended_coverage, best_single_model, best_single_mae, best_single_rmse, (blended_mae - best_single_mae) / best_single_mae * 100 AS mae_improvement_pct, "
-        "(blended_rmse - best_single_rmse) / best_single_rmse * 100 AS rmse_improvement_pct, coalesce(blended_mae < best_single_mae, FALSE) AS improvement_over_best, blend_stability, sample_size FROM ("
+        "(blended_rmse - best_single_rmse) / best_single_rmse * 100 AS rmse_improvement_pct, coalesce(blended_mae < best_single_mae, FALSE) AS improvement_over_best, blend_stability, sample_size, "
+        "CASE WHEN best_single_mae > 0 THEN CASE WHEN blended_mae < best_single_mae THEN 'lower' WHEN blended_mae > best_single_mae THEN 'higher' WHEN blended_mae = best_single_mae THEN 'equal' END END AS mae_outcome FROM ("
         f"SELECT {shown}max(mae) FILTER (WHERE model = 'blend') AS blended_mae, max(rmse) FILTER (WHERE model = 'blend') AS blended_rmse, max(n / CAST(total AS DOUBLE)) FILTER (WHERE model = 'blend') AS blended_coverage, "
         "arg_min(model, (mae, model)) FILTER (WHERE model <> 'blend') AS best_single_model, min(mae) FILTER (WHERE model <> 'blend') AS best_single_mae, arg_min(rmse, (mae, model)) FILTER (WHERE model <> 'blend') AS best_single_rmse, "
         "max(CASE WHEN n >= 3 THEN CASE WHEN mae = 0 THEN 1 ELSE greatest(0, 1 - sd / mae) END END) FILTER (WHERE model = 'blend') AS blend_stability, max(n) FILTER (WHERE model = 'blend') AS sample_size "
@@ -316,7 +381,7 @@ _EVAL = "blended_mae blended_rmse blended_coverage best_single_mae best_single_r
 
 @query("meta14_evaluate_blend", "META-14", sql=on_ensemble(_evaluation_sql(""), _EVAL, _SCORED))
 def _(spark, sf):
-    return blend.evaluate_blend(scored(spark, sf)).drop("mae_outcome")
+    return blend.evaluate_blend(scored(spark, sf))
 
 
 @query(
@@ -330,12 +395,12 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return blend.evaluate_by_lead(scored(spark, sf)).drop("mae_outcome")
+    return blend.evaluate_by_lead(scored(spark, sf))
 
 
 @query("meta16_evaluate_by_variable", "META-16", sql=on_ensemble(_evaluation_sql("variable"), _EVAL, _SCORED))
 def _(spark, sf):
-    return blend.evaluate_by_variable(scored(spark, sf)).drop("mae_outcome")
+    return blend.evaluate_by_variable(scored(spark, sf))
 
 
 _SHARED = (
@@ -383,7 +448,7 @@ def _holdout_sql(split: str) -> str:
     ),
 )
 def _(spark, sf):
-    return blend.blend_holdout(joined(spark, sf), "load").drop("mae_outcome")
+    return blend.blend_holdout(joined(spark, sf), "load")
 
 
 @query(
@@ -394,7 +459,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return blend.blend_holdout(joined(spark, sf), "load", train_fraction=0.7, split="positional").drop("mae_outcome")
+    return blend.blend_holdout(joined(spark, sf), "load", train_fraction=0.7, split="positional")
 
 
 RULES = [

@@ -203,15 +203,11 @@ def _(spark, sf):
     "AGG-12",
     "PRJ-15",
     sql=on_ensemble(
-        "SELECT variable, CAST(NULL AS VARCHAR) AS variable_type, 'mae' AS metric_type, avg(abs(error)) AS value, count(error) AS sample_size "
-        "FROM rec GROUP BY variable",
-        "value",
-        RECORDS,
+        f"SELECT *, CAST(NULL AS VARCHAR) AS variable_type FROM ({_evaluation_sql('variable', 'variable')}) AS v", "value coverage_fraction", RECORDS
     ),
 )
 def _(spark, sf):
-    out = metrics.evaluations(records(spark, sf), "variable").where("metric_type = 'mae'")
-    return out.select("variable", "variable_type", "metric_type", "value", "sample_size")
+    return metrics.evaluations(records(spark, sf), "variable", min_sample_size=30)
 
 
 @query(

@@ -46,79 +46,92 @@ def _(spark, sf):
     return quality.provenance_violations(shipments(spark, sf))
 
 
-@query(
-    "dq02_provenance_duplicates_without_location",
-    "DQ-02",
-    "WIN-05",
-    sql=on_verification(
-        "SELECT CASE WHEN n > 0 THEN 'error' ELSE 'info' END AS severity, 'provenance_uniqueness' AS \"check\", n AS count FROM ("
-        "SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n FROM (SELECT count(*) AS c FROM verification "
-        "GROUP BY forecast_issue_time, forecast_target_time, model) AS g) AS h"
-    ),
-)
+def _issue_sql(check: str, severity: str, bad: str, good: str, body: str, n: str = "n") -> str:
+    """One issue of a one-row `body`: its severity, message and count."""
+    return (
+        f"SELECT '{check}' AS \"check\", {severity} AS severity, CASE WHEN {n} > 0 THEN {bad} ELSE '{good}' END AS message, CAST({n} AS BIGINT) AS count FROM ({body}) AS h"
+    )
+
+
+def _if_any(level: str, n: str = "n") -> str:
+    return f"CASE WHEN {n} > 0 THEN '{level}' ELSE 'info' END"
+
+
+def _provenance_sql(source: str, key: str) -> str:
+    body = f"SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n FROM (SELECT count(*) AS c FROM {source} GROUP BY {key}) AS g"
+    return _issue_sql("provenance_uniqueness", _if_any("error"), "concat(n, ' rows share the provenance key of an earlier row')", "every forecast row has its own provenance key", body)
+
+
+def _missing_sql(source: str) -> str:
+    severity = "CASE WHEN n * 100.0 / t > 50 THEN 'error' WHEN n * 100.0 / t > 10 THEN 'warning' ELSE 'info' END"
+    bad = "printf('%d of %d forecasts (%.1f%%) have no observation', n, t, n * 100.0::DOUBLE / t)"
+    return _issue_sql("missing_observations", severity, bad, "every forecast has an observation", f"SELECT count(*) FILTER (WHERE observation_time IS NULL) AS n, count(*) AS t FROM {source}")
+
+
+def _leads_sql(source: str) -> str:
+    body = f"SELECT count(*) FILTER (WHERE lead_hours < 0) AS low, count(*) FILTER (WHERE lead_hours > 720) AS high FROM {source}"
+    bad = "printf('%d lead_hours below 0, %d above 720', low, high)"
+    return _issue_sql("lead_times", _if_any("error", "low + high"), bad, "all lead_hours are in range", body, "low + high")
+
+
+def _gaps_sql(source: str) -> str:
+    body = (
+        "SELECT count(*) AS n, count(DISTINCT (latitude, longitude)) AS keys FROM (SELECT latitude, longitude, "
+        "datediff('minute', lag(observation_time) OVER (PARTITION BY latitude, longitude ORDER BY observation_time), observation_time) AS gap "
+        f"FROM (SELECT DISTINCT latitude, longitude, observation_time FROM {source} WHERE observation_time IS NOT NULL) AS p) AS q WHERE gap > 90"
+    )
+    return _issue_sql("timestamp_gaps", _if_any("warning"), "printf('%d gaps over 1.5 h at %d location(s)', n, keys)", "no observation gaps", body)
+
+
+def _ranges_sql(source: str) -> str:
+    columns = [(f"{side}_{v}", lo, hi) for v, (lo, hi) in RANGES.items() for side in ("forecast", "observed")]
+    body = "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS k{i}" for i, (c, lo, hi) in enumerate(columns)) + f" FROM {source}"
+    n = " + ".join(f"k{i}" for i in range(len(columns)))
+    named = ", ".join(f"CASE WHEN k{i} > 0 THEN concat(k{i}, ' in {c} outside [{lo}, {hi}]') END" for i, (c, lo, hi) in enumerate(columns))
+    return _issue_sql("value_ranges", _if_any("error", n), f"concat('implausible values: ', concat_ws('; ', {named}))", "all values are physically plausible", body, n)
+
+
+def _copies_sql(source: str, columns: str = "*") -> str:
+    return (
+        "SELECT 'duplicate_observations' AS \"check\", CASE WHEN n > 0 THEN 'error' WHEN r > 100 THEN 'warning' ELSE 'info' END AS severity, "
+        "CASE WHEN n > 0 THEN concat(n, ' matched rows are exact copies') WHEN r > 100 THEN printf('%.0f forecasts per distinct observation time', r) "
+        "ELSE 'no duplicate observations' END AS message, CAST(n AS BIGINT) AS count FROM (SELECT CAST(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS BIGINT) AS n, "
+        f"(SELECT count(*) FROM {source}) / CAST(count(DISTINCT observation_time) AS DOUBLE) AS r "
+        f"FROM (SELECT {columns}, count(*) AS c FROM {source} WHERE observation_time IS NOT NULL GROUP BY ALL) AS g) AS h"
+    )
+
+
+PROVENANCE = "forecast_issue_time, forecast_target_time, model"
+
+
+def validation_sql(source: str) -> str:
+    """All six checks of the verification table."""
+    parts = (_provenance_sql(source, f"{PROVENANCE}, location_id"), _missing_sql(source), _leads_sql(source), _gaps_sql(source), _ranges_sql(source), _copies_sql(source))
+    return " UNION ALL ".join(f"SELECT * FROM ({p}) AS i{k}" for k, p in enumerate(parts))
+
+
+@query("dq02_provenance_duplicates_without_location", "DQ-02", "WIN-05", sql=on_verification(_provenance_sql("verification", PROVENANCE)))
 def _(spark, sf):
-    key = ["forecast_issue_time", "forecast_target_time", "model"]
-    return quality.check_provenance(verification(spark, sf), key).drop("message")
+    return quality.check_provenance(verification(spark, sf), PROVENANCE.split(", "))
 
 
-@query(
-    "dq02_validate_all",
-    "DQ-02",
-    "DQ-03",
-    "DQ-04",
-    "DQ-06",
-    "DQ-07",
-    "WIN-01",
-    sql=on_verification(
-        """SELECT 'provenance_uniqueness' AS "check", CASE WHEN n > 0 THEN 'error' ELSE 'info' END AS severity, n AS count FROM (
-             SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n FROM (SELECT count(*) AS c FROM verification
-               GROUP BY forecast_issue_time, forecast_target_time, model, location_id) AS g) AS h
-           UNION ALL SELECT 'missing_observations', CASE WHEN n * 100.0 / t > 50 THEN 'error' WHEN n * 100.0 / t > 10 THEN 'warning' ELSE 'info' END, n
-             FROM (SELECT count(*) FILTER (WHERE observation_time IS NULL) AS n, count(*) AS t FROM verification) AS h
-           UNION ALL SELECT 'lead_times', CASE WHEN n > 0 THEN 'error' ELSE 'info' END, n
-             FROM (SELECT count(*) FILTER (WHERE lead_hours < 0 OR lead_hours > 720) AS n FROM verification) AS h
-           UNION ALL SELECT 'timestamp_gaps', CASE WHEN n > 0 THEN 'warning' ELSE 'info' END, n FROM (SELECT count(*) AS n FROM (
-             SELECT datediff('minute', lag(observation_time) OVER (PARTITION BY latitude, longitude ORDER BY observation_time), observation_time) AS gap
-             FROM (SELECT DISTINCT latitude, longitude, observation_time FROM verification WHERE observation_time IS NOT NULL) AS p) AS q WHERE gap > 90) AS h
-           UNION ALL SELECT 'value_ranges', CASE WHEN n > 0 THEN 'error' ELSE 'info' END, n FROM (SELECT
-             count(*) FILTER (WHERE forecast_qty < 2 OR forecast_qty > 49) + count(*) FILTER (WHERE observed_qty < 2 OR observed_qty > 49)
-             + count(*) FILTER (WHERE forecast_price < 0 OR forecast_price > 50000) + count(*) FILTER (WHERE observed_price < 0 OR observed_price > 50000) AS n
-             FROM verification) AS h
-           UNION ALL SELECT 'duplicate_observations', CASE WHEN n > 0 THEN 'error' WHEN t / CAST(d AS DOUBLE) > 100 THEN 'warning' ELSE 'info' END, n FROM (
-             SELECT CAST(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS BIGINT) AS n, count(DISTINCT observation_time) AS d, (SELECT count(*) FROM verification) AS t
-             FROM (SELECT *, count(*) AS c FROM verification WHERE observation_time IS NOT NULL GROUP BY ALL) AS g) AS h"""
-    ),
-)
+@query("dq02_validate_all", "DQ-02", "DQ-03", "DQ-04", "DQ-06", "DQ-07", "WIN-01", sql=on_verification(validation_sql("verification")))
 def _(spark, sf):
-    return quality.validate_verification(verification(spark, sf), VARIABLES, RANGES).drop("message")
+    return quality.validate_verification(verification(spark, sf), VARIABLES, RANGES)
 
 
-@query(
-    "dq03_duplicate_observations",
-    "DQ-03",
-    sql=on_verification(
-        "SELECT 'duplicate_observations' AS \"check\", CASE WHEN n > 0 THEN 'error' WHEN t / CAST(d AS DOUBLE) > 100 THEN 'warning' ELSE 'info' END AS severity, n AS count "
-        "FROM (SELECT CAST(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS BIGINT) AS n, count(DISTINCT observation_time) AS d, "
-        "(SELECT count(*) FROM verification) AS t FROM (SELECT forecast_target_time, model, location_id, observation_time, forecast_qty, count(*) AS c "
-        "FROM verification WHERE observation_time IS NOT NULL GROUP BY ALL) AS g) AS h"
-    ),
-)
+_NARROW = "forecast_target_time, model, location_id, observation_time, forecast_qty"
+
+
+@query("dq03_duplicate_observations", "DQ-03", sql=on_verification(_copies_sql("verification", _NARROW)))
 def _(spark, sf):
-    narrow = verification(spark, sf).select("forecast_target_time", "model", "location_id", "observation_time", "forecast_qty")
-    return quality.check_duplicate_observations(narrow).drop("message")
+    return quality.check_duplicate_observations(verification(spark, sf).select(*_NARROW.split(", ")))
 
 
 @query(
     "dq03_duplicate_observation_rows",
     "DQ-03",
-    sql=on_verification(
-        "SELECT 'duplicate_observations' AS \"check\", CASE WHEN n > 0 THEN 'error' WHEN r > 100 THEN 'warning' ELSE 'info' END AS severity, n AS count, "
-        "CASE WHEN n > 0 THEN concat(n, ' matched rows are exact copies') WHEN r > 100 THEN printf('%.0f forecasts per distinct observation time', r) "
-        "ELSE 'no duplicate observations' END AS message FROM (SELECT CAST(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS BIGINT) AS n, "
-        "(SELECT count(*) FROM twice) / CAST(count(DISTINCT observation_time) AS DOUBLE) AS r "
-        "FROM (SELECT *, count(*) AS c FROM twice WHERE observation_time IS NOT NULL GROUP BY ALL) AS g) AS h",
-        ctes="twice AS (SELECT * FROM verification UNION ALL SELECT * FROM verification WHERE lead_hours < 240)",
-    ),
+    sql=on_verification(_copies_sql("twice"), ctes="twice AS (SELECT * FROM verification UNION ALL SELECT * FROM verification WHERE lead_hours < 240)"),
 )
 def _(spark, sf):
     # All columns are compared; rows of short leads are there twice.
@@ -126,30 +139,14 @@ def _(spark, sf):
     return quality.check_duplicate_observations(rows.unionByName(rows.where("lead_hours < 240")))
 
 
-@query(
-    "dq04_missing_observations",
-    "DQ-04",
-    sql=on_ensemble(
-        "SELECT 'missing_observations' AS \"check\", CASE WHEN n * 100.0 / t > 50 THEN 'error' WHEN n * 100.0 / t > 10 THEN 'warning' ELSE 'info' END AS severity, n AS count "
-        "FROM (SELECT count(*) FILTER (WHERE observation_time IS NULL) AS n, count(*) AS t FROM ver) AS h",
-        "",
-        JOINED,
-    ),
-)
+@query("dq04_missing_observations", "DQ-04", sql=on_ensemble(_missing_sql("ver"), "", JOINED))
 def _(spark, sf):
-    return quality.check_missing_observations(joined(spark, sf)).drop("message")
+    return quality.check_missing_observations(joined(spark, sf))
 
 
-@query(
-    "dq06_lead_times",
-    "DQ-06",
-    sql=on_shipments(
-        "SELECT 'lead_times' AS \"check\", CASE WHEN n > 0 THEN 'error' ELSE 'info' END AS severity, n AS count FROM "
-        "(SELECT count(*) FILTER (WHERE lead_hours < 0 OR lead_hours > 720) AS n FROM shipments) AS h"
-    ),
-)
+@query("dq06_lead_times", "DQ-06", sql=on_shipments(_leads_sql("shipments")))
 def _(spark, sf):
-    return quality.check_lead_times(shipments(spark, sf)).drop("message")
+    return quality.check_lead_times(shipments(spark, sf))
 
 
 @query(
@@ -168,11 +165,9 @@ def _(spark, sf):
     return quality.range_violations(verification(spark, sf), VARIABLES, RANGES)
 
 
-_ISSUE = "SELECT '{check}' AS \"check\", CASE WHEN n > 0 THEN '{level}' ELSE 'info' END AS severity, CAST(n AS BIGINT) AS count FROM ({body}) AS h"
-
-
-def _issues_sql(*items: tuple[str, str, str]) -> str:
-    return " UNION ALL ".join(_ISSUE.format(check=c, level=s, body=b) for c, s, b in items)
+def _issues_sql(*items: tuple[str, str, str, str, str]) -> str:
+    """Issues from (check, level, bad message, good message, one-row body with n)."""
+    return " UNION ALL ".join(_issue_sql(c, _if_any(level), bad, good, body) for c, level, bad, good, body in items)
 
 
 @query(
@@ -182,17 +177,21 @@ def _issues_sql(*items: tuple[str, str, str]) -> str:
     "WIN-05",
     sql=on_verification(
         _issues_sql(
-            ("empty_output", "warning", "SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS n FROM m"),
-            ("negative_sample_size", "error", "SELECT count(*) FILTER (WHERE sample_size < 0) AS n FROM m"),
-            ("nan_heavy_group", "warning", "SELECT count(*) FILTER (WHERE sample_size < 0.9 * total_rows) AS n FROM m"),
+            ("empty_output", "warning", "'the metric table is empty'", "the metric table has rows", "SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS n FROM m"),
+            ("negative_sample_size", "error", "concat(n, ' rows have a negative sample_size')", "no negative sample sizes", "SELECT count(*) FILTER (WHERE sample_size < 0) AS n FROM m"),
+            ("nan_heavy_group", "warning", "concat(n, ' groups miss more than 10% of their errors')", "no sparse groups", "SELECT count(*) FILTER (WHERE sample_size < 0.9 * total_rows) AS n FROM m"),
             (
                 "duplicate_key",
                 "error",
+                "concat(n, ' rows repeat an aggregation key')",
+                "no repeated keys",
                 "SELECT coalesce(sum(c - 1), 0) AS n FROM (SELECT count(*) AS c FROM m GROUP BY model, lead_hours, variable, metric_name) AS g",
             ),
             (
                 "absurd_rmse",
                 "error",
+                "concat(n, ' RMSE values are absurd')",
+                "no absurd RMSE values",
                 "SELECT count(*) FILTER (WHERE mae <> 0 AND rmse > 100 * mae) + count(*) FILTER (WHERE rmse > 10000) AS n FROM (SELECT "
                 "max(metric_value) FILTER (WHERE metric_name = 'rmse') AS rmse, max(metric_value) FILTER (WHERE metric_name = 'mae') AS mae "
                 "FROM m GROUP BY model, lead_hours, variable) AS g",
@@ -203,7 +202,7 @@ def _issues_sql(*items: tuple[str, str, str]) -> str:
     ),
 )
 def _(spark, sf):
-    return quality.validate_metrics(by_model_lead_stored(spark, sf)).drop("message")
+    return quality.validate_metrics(by_model_lead_stored(spark, sf))
 
 
 @query(
@@ -215,17 +214,23 @@ def _(spark, sf):
             (
                 "negative_count",
                 "error",
+                "concat(n, ' rows have a negative count')",
+                "no negative counts",
                 "SELECT count(*) FILTER (WHERE least(hits, misses, false_alarms, correct_negatives, excluded_nan) < 0) AS n FROM c",
             ),
             (
                 "count_overflow",
                 "error",
+                "concat(n, ' rows count more pairs than rows')",
+                "no count overflow",
                 "SELECT count(*) FILTER (WHERE hits + misses + false_alarms + correct_negatives + excluded_nan > total_rows) AS n FROM c",
             ),
-            ("nan_heavy_group", "warning", "SELECT count(*) FILTER (WHERE excluded_nan > 0.5 * total_rows) AS n FROM c"),
+            ("nan_heavy_group", "warning", "concat(n, ' groups exclude over half of their rows')", "no heavy exclusion", "SELECT count(*) FILTER (WHERE excluded_nan > 0.5 * total_rows) AS n FROM c"),
             (
                 "empty_event_bucket",
                 "warning",
+                "concat(n, ' groups have no valid pair')",
+                "no empty groups",
                 "SELECT count(*) FILTER (WHERE total_rows > 0 AND hits + misses + false_alarms + correct_negatives = 0) AS n FROM c",
             ),
         ),
@@ -235,7 +240,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     table = contingency(verification(spark, sf), list(CATALOG), ["lead_hours", "model"], CATALOG)
-    return quality.validate_contingency(table).drop("message")
+    return quality.validate_contingency(table)
 
 
 _DQ12 = " UNION ALL ".join(
@@ -247,15 +252,15 @@ _DQ12 = " UNION ALL ".join(
     "dq12_validate_skill_scores",
     "DQ-12",
     sql=on_verification(
-        "SELECT 'info' AS severity, concat('undefined_', metric_name) AS \"check\", count(*) AS count FROM s WHERE metric_value IS NULL GROUP BY metric_name "
-        "UNION ALL SELECT 'warning', 'nan_heavy_group', n FROM (SELECT count(*) FILTER (WHERE missing_count > 0.5 * total_rows) AS n FROM s) AS h WHERE n > 0",
+        "SELECT 'info' AS severity, concat('undefined_', metric_name) AS \"check\", concat(count(*), ' groups have an undefined ', metric_name) AS message, count(*) AS count FROM s WHERE metric_value IS NULL GROUP BY metric_name "
+        "UNION ALL SELECT 'warning', 'nan_heavy_group', concat(n, ' groups miss over half of their rows'), n FROM (SELECT count(*) FILTER (WHERE missing_count > 0.5 * total_rows) AS n FROM s) AS h WHERE n > 0",
         "",
         f"c AS ({contingency_sql('lead_hours, model')}), s AS ({_DQ12})",
     ),
 )
 def _(spark, sf):
     scores = skill_scores(contingency(verification(spark, sf), list(CATALOG), ["lead_hours", "model"], CATALOG))
-    return quality.validate_skill_scores(scores).drop("message")
+    return quality.validate_skill_scores(scores)
 
 
 @query(

@@ -8,7 +8,7 @@ from ..session import scratch_path
 from ..sinks import upsert
 from ..sources import raw_json
 from ..streaming import jobs
-from .q_tables import _once
+from .q_tables import _folder
 from .registry import ensemble_forecasts, ensemble_observations, on_ensemble, plain, query
 
 
@@ -25,7 +25,7 @@ def _run(spark, name):
 
 def _drops(spark, sf, name, table):
     """A table as files in a folder that a stream picks up."""
-    return _once(f"drops-{name}", spark, sf, lambda path: table.write.parquet(path))
+    return _folder(f"drops-{name}", spark, lambda path: table.write.parquet(path))
 
 
 @query(
@@ -43,7 +43,7 @@ def _(spark, sf):
         # Every document is dropped twice, as a retried delivery would.
         docs.select("latitude", "longitude", F.lit(0.0).alias("elevation"), hourly, "location_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery")).drop("delivery").write.json(path)
 
-    folder = _once("json-drops", spark, sf, write)
+    folder = _folder("json-drops", spark, write)
     schema = raw_json.response_schema(["load"], [raw_json.T.StructField("location_id", raw_json.T.StringType())])
     stream = jobs.read_files(spark, folder, schema, "json")
     target, checkpoint = _run(spark, "json-ingest")
@@ -70,6 +70,30 @@ def _(spark, sf):
     return jobs.run_append(out, *_run(spark, "distinct"))
 
 
+@query(
+    "str02_latest_forecasts",
+    "STR-02",
+    sql=on_ensemble(
+        "SELECT forecast_issue_time, forecast_target_time, model, location_id, CASE WHEN lead_hours % 48 = 0 THEN value + 2 WHEN lead_hours % 72 = 0 THEN value + 1 ELSE value END AS load, "
+        "CAST(CASE WHEN lead_hours % 48 = 0 THEN 3 WHEN lead_hours % 72 = 0 THEN 2 ELSE 1 END AS INT) AS delivery FROM ens_forecasts",
+        "load",
+    ),
+)
+def _(spark, sf):
+    columns = ["forecast_issue_time", "forecast_target_time", "model", "location_id", (F.col("value")).alias("load")]
+    first = ensemble_forecasts(spark, sf)
+    deliver = lambda rows, n: rows.select(*columns).withColumns({"load": F.col("load") + (n - 1), "delivery": F.lit(n)})
+    # The third delivery comes before the second, which corrects other rows too and comes after a restart.
+    folder = _folder("forecast-deliveries", spark, lambda path: deliver(first, 1).write.parquet(path))
+    deliver(first.where("lead_hours % 48 = 0"), 3).write.mode("append").parquet(folder)
+    run = _run(spark, "latest")
+    key = ["forecast_issue_time", "forecast_target_time", "model", "location_id"]
+    out = jobs.latest_forecasts(jobs.read_files(spark, folder, spark.read.parquet(folder).schema), "delivery", "60 days")
+    jobs.run_update(out, *run, key)
+    deliver(first.where("lead_hours % 72 = 0"), 2).write.mode("append").parquet(folder)
+    return jobs.run_update(out, *run, key)
+
+
 def _window_sql(length: int, slide: int) -> str:
     """Sliding windows of `length` hours every `slide` hours over the raw events."""
     shifts = ", ".join(f"({k})" for k in range(length // slide))
@@ -107,14 +131,11 @@ def _aligned(spark, sf, name, observations):
     run = _run(spark, f"{name}-aligned")
     jobs.run_append(jobs.align_streams(fs, os, ["load"], "60 days"), *run)
 
-    def close(_):
-        times = f.select(F.col("forecast_target_time").alias("t")).unionByName(o.select(F.col("observation_time").alias("t")))
-        last = times.agg((F.coalesce(F.max("t"), F.timestamp_seconds(F.lit(0))) + F.expr("INTERVAL 61 DAYS")).alias("t"))
-        for rows, folder, time in ((f, f_drops, "forecast_target_time"), (o, o_drops, "observation_time")):
-            given = {time: F.col("t"), "location_id": F.lit(CLOSING)}
-            last.select(*[given.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name) for c in rows.schema]).write.mode("append").parquet(folder)
-
-    _once(f"{name}-closing", spark, sf, close)
+    times = f.select(F.col("forecast_target_time").alias("t")).unionByName(o.select(F.col("observation_time").alias("t")))
+    last = times.agg((F.coalesce(F.max("t"), F.timestamp_seconds(F.lit(0))) + F.expr("INTERVAL 61 DAYS")).alias("t"))
+    for rows, folder, time in ((f, f_drops, "forecast_target_time"), (o, o_drops, "observation_time")):
+        given = {time: F.col("t"), "location_id": F.lit(CLOSING)}
+        last.select(*[given.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name) for c in rows.schema]).write.mode("append").parquet(folder)
     out = jobs.run_append(jobs.align_streams(fs, os, ["load"], "60 days"), *run)
     return out.where(F.coalesce(F.col("location_id") != CLOSING, F.lit(True))).drop("observation_time")
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, temporal
-from ..operators import align, planning, quality
+from ..operators import align, planning, quality, sketches
 from ..operators.metrics import grouped_metrics
 from ..session import scratch_path
-from ..sinks import datasets, upsert
-from ..sources import raw_json, tables
+from ..sinks import datasets, metricstore, upsert
+from ..sources import raw_json, tables, variant_json
 from .q_events import by_model_stored
 from .q_metrics import M, _sets_sql, by_model_lead_stored
+from .q_quality import RANGES, validation_sql
 from .registry import (
     CATALOG,
     ENSEMBLE_CTE,
@@ -26,20 +27,15 @@ from .registry import (
     on_verification,
     query,
     shipments,
+    stored,
     verification,
 )
 
-_PATHS: dict[tuple, str] = {}
-
-
-def _once(name, spark, sf, write) -> str:
-    """A folder written once per session and scale."""
-    key = (name, spark.sparkContext.applicationId, sf)
-    if key not in _PATHS:
-        path = scratch_path(spark, name)
-        write(path)
-        _PATHS[key] = path
-    return _PATHS[key]
+def _folder(name, spark, write) -> str:
+    """A fresh folder that `write` has filled."""
+    path = scratch_path(spark, name)
+    write(path)
+    return path
 
 
 def forecast_rows(spark, sf):
@@ -50,7 +46,7 @@ def forecast_rows(spark, sf):
 
 def _forecast_root(spark, sf):
     rows = forecast_rows(spark, sf).drop("order_id", "line_id")
-    return _once("forecasts", spark, sf, lambda p: datasets.write_verification(rows, p))
+    return _folder("forecasts", spark, lambda p: datasets.write_verification(rows, p))
 
 
 def _observation_root(spark, sf):
@@ -60,7 +56,7 @@ def _observation_root(spark, sf):
         with_elevation = rows.withColumn("elevation", F.lit(None).cast("double"))
         upsert.upsert_observations(with_elevation, path)
 
-    return _once("observations", spark, sf, write)
+    return _folder("observations", spark, write)
 
 
 # --- sources -------------------------------------------------------------------------
@@ -99,7 +95,7 @@ def _(spark, sf):
     sql=on_verification("SELECT model, season, count(*) AS n, avg(forecast_price) AS mean_price FROM verification GROUP BY model, season", "mean_price"),
 )
 def _(spark, sf):
-    root = _once("by-season", spark, sf, lambda p: verification(spark, sf).write.partitionBy("season").parquet(p))
+    root = _folder("by-season", spark, lambda p: verification(spark, sf).write.partitionBy("season").parquet(p))
     # Two folders and a glob; the season is in the folder name only.
     read = tables.union_null_filled(
         [
@@ -125,7 +121,7 @@ def _(spark, sf):
         for dim in ("model", "season"):
             grouped_metrics(verification(spark, sf), [dim], VARIABLES).write.parquet(f"{path}/{dim}")
 
-    root = _once("metric-files", spark, sf, write)
+    root = _folder("metric-files", spark, write)
     read = tables.read_tables(spark, [f"{root}/model", f"{root}/season"])
     return read.select("season", "model", "variable", "metric_name", "metric_value", "sample_size")
 
@@ -153,7 +149,7 @@ def _documents(spark, sf):
         hourly = F.struct(F.col("p.t").alias("time"), F.col("p.v").alias("load"))
         docs.select("latitude", "longitude", F.lit(10.0).alias("elevation"), hourly.alias("hourly"), F.col("location_id").alias("request_id")).write.json(path)
 
-    root = _once("observation-json", spark, sf, write)
+    root = _folder("observation-json", spark, write)
     extra = raw_json.T.StructField("request_id", raw_json.T.StringType())
     return raw_json.read_responses(spark, root, ["load", "wind"], [extra])
 
@@ -220,7 +216,7 @@ def _(spark, sf):
     return bad.groupBy("request_id", "reject_reason").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def _run_documents(spark, sf):
+def _run_folder(spark, sf):
     def write(path):
         f = ensemble_forecasts(spark, sf)
         stamp = F.date_format("forecast_target_time", "yyyy-MM-dd'T'HH:mm")
@@ -230,9 +226,12 @@ def _run_documents(spark, sf):
         hourly = F.struct(F.col("p.t").alias("time"), F.col("p.v").alias("load")).alias("hourly")
         docs.select("latitude", "longitude", F.lit(10.0).alias("elevation"), hourly, "model", issued, "location_id").write.json(path)
 
-    root = _once("run-json", spark, sf, write)
+    return _folder("run-json", spark, write)
+
+
+def _run_documents(spark, sf):
     extra = [raw_json.T.StructField(n, raw_json.T.StringType()) for n in ("model", "issued", "location_id")]
-    docs = raw_json.read_responses(spark, root, ["load"], extra)
+    docs = raw_json.read_responses(spark, _run_folder(spark, sf), ["load"], extra)
     return docs.withColumn("forecast_issue_time", F.to_timestamp("issued")).drop("issued")
 
 
@@ -249,7 +248,82 @@ def _(spark, sf):
     return raw_json.forecasts(good, ["load"])
 
 
-def _previous_documents(spark, sf):
+def _mixed_documents(spark, sf):
+    """Documents of one folder that differ in their variables: every second location also has `gust`, others `wind` in place of `load`."""
+
+    def write(path):
+        o = ensemble_observations(spark, sf)
+        stamp = F.date_format("observation_time", "yyyy-MM-dd'T'HH:mm")
+        number = F.substring("location_id", 4, 3).cast("int")
+        pairs = F.array_sort(F.collect_list(F.struct(stamp.alias("t"), F.col("value").alias("v"))))
+        # A location has four slots a day, which bounds each document's arrays.
+        docs = o.groupBy("location_id", "latitude", "longitude", F.to_date("observation_time").alias("day")).agg(pairs.alias("p"))
+        load, gust, wind = F.when(number % 3 != 2, F.col("p.v")), F.when(number % 2 == 1, F.transform("p.v", lambda v: v * 2)), F.when(number % 3 == 2, F.col("p.v"))
+        hourly = F.struct(F.col("p.t").alias("time"), load.alias("load"), gust.alias("gust"), wind.alias("wind"))
+        # Fields that are null are left out of the JSON.
+        docs.select("latitude", "longitude", F.lit(10.0).alias("elevation"), hourly.alias("hourly"), F.col("location_id").alias("request_id")).write.json(path)
+
+    return _folder("mixed-json", spark, write)
+
+
+_NUMBER = "CAST(substr(location_id, 4) AS INT)"
+_MIXED = {
+    "load": f"CASE WHEN {_NUMBER} % 3 <> 2 THEN value END",
+    "gust": f"CASE WHEN {_NUMBER} % 2 = 1 THEN value * 2 END",
+    "wind": f"CASE WHEN {_NUMBER} % 3 = 2 THEN value END",
+}
+
+
+@query(
+    "src06_variant_observations",
+    "SRC-06",
+    "SRC-10",
+    sql=on_ensemble(
+        "SELECT location_id AS request_id, latitude, longitude, CAST(10.0 AS DOUBLE) AS elevation, observation_time, "
+        + ", ".join(f"{sql} AS {v}" for v, sql in _MIXED.items())
+        + " FROM ens_observations",
+        "latitude longitude load gust wind",
+    ),
+)
+def _(spark, sf):
+    docs, arrays = variant_json.read_responses(spark, _mixed_documents(spark, sf))
+    good, _ = raw_json.split_documents(docs)
+    return raw_json.observations(good, arrays)
+
+
+@query(
+    "src06_variant_hours",
+    "SRC-06",
+    sql=on_ensemble(
+        "SELECT * FROM ("
+        + " UNION ALL ".join(
+            f"SELECT latitude, longitude, CAST(10.0 AS DOUBLE) AS elevation, location_id AS request_id, '{v}' AS variable, CAST(0 AS INT) AS lead_day, "
+            f"observation_time AS time, {sql} AS value FROM ens_observations"
+            for v, sql in _MIXED.items()
+        )
+        + ") AS h WHERE value IS NOT NULL",
+        "latitude longitude value",
+    ),
+)
+def _(spark, sf):
+    return variant_json.long_hours(variant_json.read_documents(spark, _mixed_documents(spark, sf)), "request_id")
+
+
+@query(
+    "src07_variant_forecasts",
+    "SRC-07",
+    sql=on_ensemble(
+        "SELECT latitude, longitude, CAST(10.0 AS DOUBLE) AS elevation, model, location_id, forecast_issue_time, forecast_target_time, value AS load, lead_hours FROM ens_forecasts",
+        "latitude longitude load",
+    ),
+)
+def _(spark, sf):
+    docs, arrays = variant_json.read_responses(spark, _run_folder(spark, sf))
+    good, _ = raw_json.split_documents(docs.withColumn("forecast_issue_time", F.to_timestamp("issued")).drop("issued"))
+    return raw_json.forecasts(good, arrays)
+
+
+def _previous_folder(spark, sf):
     """Documents whose array names carry the lead day, in three spellings; day 0 is the plain name."""
 
     def write(path):
@@ -266,30 +340,38 @@ def _previous_documents(spark, sf):
         hourly = F.struct(F.col("p.t").alias("time"), *arrays).alias("hourly")
         docs.select("latitude", "longitude", F.lit(10.0).alias("elevation"), hourly, "model", "location_id").write.option("ignoreNullFields", False).json(path)
 
-    root = _once("previous-json", spark, sf, write)
+    return _folder("previous-json", spark, write)
+
+
+def _previous_documents(spark, sf):
     extra = [raw_json.T.StructField(n, raw_json.T.StringType()) for n in ("model", "location_id")]
     fields = ["load", "load_previous_day1", "load_previous_day_2", "load_day3"]
-    return raw_json.read_responses(spark, root, fields, extra)
+    return raw_json.read_responses(spark, _previous_folder(spark, sf), fields, extra)
 
 
-@query(
-    "src08_json_previous_runs",
-    "SRC-08",
-    "SRC-09",
-    sql=on_ensemble(
-        " UNION ALL ".join(
-            f"SELECT latitude, longitude, CAST(10.0 AS DOUBLE) AS elevation, model, location_id, forecast_target_time - INTERVAL {24 * d} HOUR AS forecast_issue_time, "
-            f"forecast_target_time, CAST({24 * d} AS INT) AS lead_hours, {'value' if d == 0 else f'CASE WHEN lead_hours = {24 * d} THEN value END'} AS load FROM ens_forecasts"
-            for d in range(4)
-        ),
-        "latitude longitude load",
+PREVIOUS_SQL = on_ensemble(
+    " UNION ALL ".join(
+        f"SELECT latitude, longitude, CAST(10.0 AS DOUBLE) AS elevation, model, location_id, forecast_target_time - INTERVAL {24 * d} HOUR AS forecast_issue_time, "
+        f"forecast_target_time, CAST({24 * d} AS INT) AS lead_hours, {'value' if d == 0 else f'CASE WHEN lead_hours = {24 * d} THEN value END'} AS load FROM ens_forecasts"
+        for d in range(4)
     ),
+    "latitude longitude load",
 )
+
+
+@query("src08_json_previous_runs", "SRC-08", "SRC-09", sql=PREVIOUS_SQL)
 def _(spark, sf):
     # Days 4 to 7 are in no document and give no rows.
     return raw_json.previous_runs(_previous_documents(spark, sf), ["load"], lead_days=range(0, 8))
 
 
+@query("src08_variant_previous_runs", "SRC-08", "SRC-09", sql=PREVIOUS_SQL)
+def _(spark, sf):
+    docs, arrays = variant_json.read_responses(spark, _previous_folder(spark, sf))
+    variables, days = variant_json.lead_days(arrays)
+    return raw_json.previous_runs(docs, variables, days)
+
+
 @query(
     "src13_union_null_filled",
     "SRC-13",
@@ -413,57 +495,104 @@ def _(spark, sf):
     return spark.read.schema(record.schema).json(path).drop("timestamp")
 
 
-@query(
-    "snk08_validation_report",
-    "SNK-08",
-    sql=on_shipments(
-        "SELECT 'lead_times' AS \"check\", CASE WHEN n > 0 THEN 'error' ELSE 'info' END AS severity, n AS count FROM "
-        "(SELECT count(*) FILTER (WHERE lead_hours < 0 OR lead_hours > 720) AS n FROM shipments) AS h"
-    ),
-)
-def _(spark, sf):
+def _report(spark, sf):
+    """All checks of the verification table, written; the issues and the folder."""
     path = scratch_path(spark, "report")
-    issues = quality.check_lead_times(shipments(spark, sf))
+    issues = quality.validate_verification(verification(spark, sf), VARIABLES, RANGES)
     datasets.save_validation_report(issues, path)
-    return spark.read.schema(issues.schema).json(f"{path}/issues").drop("message")
+    return issues, path
 
 
-@query(
-    "snk08_validation_totals",
-    "SNK-08",
-    sql=on_shipments(
-        "SELECT CASE WHEN n > 0 THEN 'error' ELSE 'info' END AS severity, CAST(1 AS BIGINT) AS issues, CAST(n AS BIGINT) AS affected_rows FROM "
-        "(SELECT count(*) FILTER (WHERE lead_hours < 0 OR lead_hours > 720) AS n FROM shipments) AS h"
-    ),
-)
+@query("snk08_validation_report", "SNK-08", sql=on_verification(validation_sql("verification")))
 def _(spark, sf):
-    path = scratch_path(spark, "report-totals")
-    issues = quality.check_lead_times(shipments(spark, sf))
-    datasets.save_validation_report(issues, path)
-    return spark.read.schema(quality.severity_totals(issues).schema).json(f"{path}/totals")
+    issues, path = _report(spark, sf)
+    return spark.read.schema(issues.schema).json(f"{path}/issues")
 
 
 @query(
-    "snk09_build_metrics",
-    "SNK-09",
+    "snk08_validation_totals",
+    "SNK-08",
     sql=on_verification(
-        f"SELECT 'season' AS \"grouping\", season, variable, metric_name, metric_value, sample_size FROM ({metric_sql('season')}) AS m", "metric_value"
+        f"SELECT severity, count(*) AS issues, CAST(sum(count) AS BIGINT) AS affected_rows FROM ({validation_sql('verification')}) AS i GROUP BY severity"
     ),
 )
 def _(spark, sf):
-    path = scratch_path(spark, "metric-groups")
-    datasets.build_metrics(verification(spark, sf), path, VARIABLES)
-    season = spark.read.parquet(path).where("grouping = 'season'")
-    return season.select("grouping", "season", "variable", "metric_name", "metric_value", "sample_size")
+    issues, path = _report(spark, sf)
+    return spark.read.schema(quality.severity_totals(issues).schema).json(f"{path}/totals")
 
 
-@query("snk09_build_metrics_all_groupings", "SNK-09", sql=on_verification(_sets_sql(), M))
+@query("snk09_build_metrics", "SNK-09", sql=on_verification(_sets_sql(), M))
 def _(spark, sf):
     path = scratch_path(spark, "metric-groups-all")
     datasets.build_metrics(verification(spark, sf), path, VARIABLES)
     return spark.read.parquet(path)
 
 
+# Folders of the stored verification table here: a month has few rows.
+BY_YEAR = ("model", "year")
+
+
+def _delivered(spark, sf, refresh):
+    """The verification table in two deliveries, and what `refresh` keeps beside it.
+
+    The first one lacks a month and has another with wrong errors; the second brings both.
+    """
+    root, store = scratch_path(spark, "verification-parts"), scratch_path(spark, "metric-store")
+    rows = verification(spark, sf).drop("season", "month")
+    late = F.trunc("forecast_target_time", "MM")
+    wrong = rows.where(late != "1995-06-01").withColumns(
+        {f"{v}_error": F.when(late == "1996-03-01", F.col(f"{v}_error") + 7).otherwise(F.col(f"{v}_error")) for v in VARIABLES}
+    )
+    for delivery in (wrong, rows.where(late.isin("1995-06-01", "1996-03-01"))):
+        touched = metricstore.append_verification(delivery, root, ["order_id", "line_id"], partitions=BY_YEAR)
+        refresh(spark, root, store, touched, VARIABLES, BY_YEAR)
+    return store
+
+
+@query("snk09_incremental_metrics", "SNK-09", "AGG-08", sql=on_verification(_sets_sql(), M))
+def _(spark, sf):
+    return metricstore.stored_metrics(spark, _delivered(spark, sf, metricstore.refresh_moments), VARIABLES)
+
+
+PERCENTILES = (0.0, 5.0, 25.0, 50.0, 75.0, 95.0, 100.0)
+
+
+def _sketch_sql(key: str) -> str:
+    each = " UNION ALL ".join(
+        f"SELECT {key}, '{v}' AS variable, count({v}_error) AS n, min({v}_error) AS least, max({v}_error) AS most FROM verification GROUP BY {key} HAVING count({v}_error) > 0"
+        for v in VARIABLES
+    )
+    at = ", ".join(f"({p})" for p in PERCENTILES)
+    return (
+        f"SELECT {key}, variable, n, CAST(p AS DOUBLE) AS percentile, CASE p WHEN 0 THEN least WHEN 100 THEN most END AS end_value, TRUE AS within "
+        f"FROM ({each}) AS s, (VALUES {at}) AS q(p)"
+    )
+
+
+def _sketch_quantiles(spark, sf, key):
+    """Quantiles of stored sketches by `key`: exact ends, and whether each lies within the rank error among all rows."""
+    store = _delivered(spark, sf, metricstore.refresh_sketches)
+    found = stored("sketch-quantiles", spark, sf, lambda sp, _: sketches.sketch_quantiles(metricstore.stored_sketches(sp, store, [key]), PERCENTILES))
+    errors = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"{v}_error").alias("e")) for v in VARIABLES])
+    rows = verification(spark, sf).select(key, F.inline(errors))
+    p, share = F.col("percentile") / 100, lambda test: F.count_if(test) / F.col("n")
+    seen = rows.join(found, [key, "variable"]).groupBy(key, "variable", "n", "percentile", "value").agg(
+        ((share(F.col("e") <= F.col("value")) >= p - sketches.RANK_ERROR) & (share(F.col("e") < F.col("value")) <= p + sketches.RANK_ERROR)).alias("within")
+    )
+    end = F.when(F.col("percentile").isin(0.0, 100.0), F.col("value")).alias("end_value")
+    return seen.select(key, "variable", "n", "percentile", end, "within")
+
+
+@query("agg21_stored_sketches", "AGG-21", sql=on_verification(_sketch_sql("model"), "end_value"))
+def _(spark, sf):
+    return _sketch_quantiles(spark, sf, "model")
+
+
+@query("agg22_stored_sketches_by_lead", "AGG-22", sql=on_verification(_sketch_sql("lead_hours"), "end_value"))
+def _(spark, sf):
+    return _sketch_quantiles(spark, sf, "lead_hours")
+
+
 @query(
     "snk10_build_events",
     "SNK-10",
@@ -491,12 +620,15 @@ def _(spark, sf):
     + ", v AS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey "
     "WHERE datediff('day', o_orderdate, l_shipdate) >= 0) SELECT (SELECT count(*) FROM ens_forecasts) AS forecast_rows, "
     "(SELECT count(*) FROM ens_observations) AS observation_rows, count(*) AS verification_rows, 'cheap,high,low' AS event_datasets, "
-    "'model' AS metric_groups FROM v",
+    "'lead_hours,model,month,season' AS metric_groups FROM v",
 )
 def _(spark, sf):
-    metric_table = by_model_lead_stored(spark, sf).select(F.lit("model").alias("grouping"))
+    # Events and groupings are those that the stored tables hold.
+    event_path, metric_path = scratch_path(spark, "event-rows"), scratch_path(spark, "metric-groups")
+    datasets.build_events(verification(spark, sf), event_path, CATALOG, only_events=True)
+    datasets.build_metrics(verification(spark, sf), metric_path, VARIABLES)
     row = datasets.dataset_statistics(
-        ensemble_forecasts(spark, sf), ensemble_observations(spark, sf), verification(spark, sf), by_model_stored(spark, sf), metric_table
+        ensemble_forecasts(spark, sf), ensemble_observations(spark, sf), verification(spark, sf), spark.read.parquet(event_path), spark.read.parquet(metric_path)
     )
     joined = {c: F.array_join(c, ",") for c in ("event_datasets", "metric_groups")}
     return row.withColumns(joined)

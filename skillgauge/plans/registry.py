@@ -104,15 +104,9 @@ shipments = driver_views.shipments
 ensemble_forecasts = driver_views.ensemble_forecasts
 ensemble_observations = driver_views.ensemble_observations
 
-_STORED: dict[tuple, DataFrame] = {}
-
-
 def stored(name: str, spark: SparkSession, sf_dir: str, build: Run) -> DataFrame:
-    """A table several queries read (a skill store, say), written once per session and scale."""
-    key = (name, spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        _STORED[key] = materialize(build(spark, sf_dir), name)
-    return _STORED[key]
+    """A table that a query reads more than once (a skill store, say), written for this run and read back."""
+    return materialize(build(spark, sf_dir), name)
 
 
 VARIABLES = ("qty", "price")

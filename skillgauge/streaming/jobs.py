@@ -24,10 +24,23 @@ def read_files(spark: SparkSession, folder: str, schema: T.StructType, fmt: str
 
 
 def distinct_forecasts(stream: DataFrame, late: str = "2 days", key=(ISSUE, TARGET, MODEL, LOCATION)) -> DataFrame:
-    """First row of each key among rows at most `late` behind (a stream cannot keep the last)."""
+    """First row of each key among rows at most `late` behind, for append mode; `latest_forecasts` keeps the last."""
     return stream.withWatermark(TARGET, late).dropDuplicatesWithinWatermark(list(key))
 
 
+def latest_forecasts(stream: DataFrame, order: str, late: str = "2 days", key=(ISSUE, TARGET, MODEL, LOCATION)) -> DataFrame:
+    """The row of each key that is last by `order`, for update mode: a key appears again whenever a newer row of it has come.
+
+    The state of a key is one row and goes once the watermark has passed its target. Run with
+    `run_update`, which keeps what each key had last; a later row that comes before that wins, whatever batch or run it is in.
+    """
+    columns = [c for c in stream.columns if c not in key]
+    whole = F.struct(*columns)
+    # Of rows with equal order the greatest wins, so that every run agrees.
+    last = F.max(F.struct(F.col(order).alias("_order"), whole.alias("_row"))).alias("_last")
+    return stream.withWatermark(TARGET, late).groupBy(*key).agg(last).select(*key, "_last._row.*")
+
+
 def rolling_metrics(stream: DataFrame, error: str, time: str, length: str, slide: str | None = None, by=(), late: str = "2 days") -> DataFrame:
     """MAE, RMSE, bias and count per (sliding) time window."""
     e = F.col(error)

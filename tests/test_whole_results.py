@@ -41,7 +41,28 @@ def test_joined_streams_keep_unmatched_forecasts(spark):
     assert {r[place] for r in mine if r[observed] is None} == {"loc3"}
 
 
-@pytest.mark.parametrize("name", ["snk08_validation_totals", "snk09_build_metrics_all_groupings", "dq03_duplicate_observation_rows"])
+@pytest.mark.parametrize("name", [
+        "snk08_validation_report",
+        "snk08_validation_totals",
+        "snk09_build_metrics",
+        "snk09_incremental_metrics",
+        "snk11_dataset_statistics",
+        "agg12_evaluations_by_variable",
+        "agg21_stored_sketches",
+        "agg33_gain_overview",
+        "dq02_validate_all",
+        "dq03_duplicate_observation_rows",
+        "dq12_validate_skill_scores",
+        "meta06_weights_with_recent_skill",
+        "meta09_contributors",
+        "meta12_member_values",
+        "meta13_factors_of_blend",
+        "meta14_evaluate_blend",
+        "meta17_blend_holdout_positional",
+        "src06_variant_hours",
+        "str02_latest_forecasts",
+    ],
+)
 def test_whole_outputs_equal_sql(spark, name):
     _, mine, theirs = both(spark, name)
     assert mine and mine == theirs
