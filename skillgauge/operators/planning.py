@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import slug
 from ..functions.temporal import month_chunks
-from ..schemas import ISSUE, MODEL, RUN_CYCLES
+from ..schemas import FORECAST_HOURS, ISSUE, LEAD, MODEL, RUN_CYCLES
 
 
 def expected_runs(models: DataFrame, start: str, end: str, cycles=RUN_CYCLES, default_hours=(0,), interval_days: int = 1) -> DataFrame:
@@ -33,6 +33,39 @@ def missing_runs(expected: DataFrame, forecasts: DataFrame) -> DataFrame:
     return expected.join(forecasts.select(MODEL, ISSUE).distinct(), [MODEL, ISSUE], "left_anti")
 
 
+def horizon_of(model: Column, horizons=FORECAST_HOURS, default: int | None = None) -> Column:
+    """Hours that a model's runs reach ahead; null for a model that is not known and has no default."""
+    known = F.create_map(*[F.lit(x) for pair in horizons.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, model), F.lit(default).cast("int"))
+
+
+def missing_leads(forecasts: DataFrame, run=(MODEL, ISSUE), step: int = 1, horizons=FORECAST_HOURS, default: int | None = None) -> DataFrame:
+    """Lead hours that a run should have and has not, as intervals: run, first_missing, last_missing, missing.
+
+    A run should have the leads 0, step, 2 step ... up to its model's horizon. The gaps lie
+    between neighbouring leads that are there, found by arithmetic, so expected leads are never spelled out.
+    Leads off the step, outside the horizon or null count as absent, as do models without a horizon. A run's
+    distinct leads, a few hundred at most, are ordered in one place; runs without any row are in `missing_runs`.
+    """
+    run, lead = list(run), F.col(LEAD)
+    end = (F.floor(F.col("_horizon") / step) * step).cast("int")
+    rows = forecasts.withColumn("_horizon", horizon_of(F.col(MODEL), horizons, default)).where(F.col("_horizon").isNotNull())
+    there = F.when((lead >= 0) & (lead <= F.col("_horizon")) & (lead % step == 0), lead)
+    held = rows.groupBy(*run, "_horizon", there.cast("int").alias("_lead")).agg(F.lit(1).alias("_one")).drop("_one")
+    # Every run gets an end mark one step beyond its horizon; before its first lead lies -step.
+    marks = held.select(*run, "_horizon").distinct().withColumn("_lead", end + step)
+    both = held.where(F.col("_lead").isNotNull()).unionByName(marks)
+    along = Window.partitionBy(*run).orderBy("_lead")
+    gaps = both.withColumn("_before", F.coalesce(F.lag("_lead").over(along), F.lit(-step)))
+    gaps = gaps.where(F.col("_lead") - F.col("_before") > step)
+    return gaps.select(
+        *run,
+        (F.col("_before") + step).cast("int").alias("first_missing"),
+        (F.col("_lead") - step).cast("int").alias("last_missing"),
+        F.expr(f"CAST((_lead - _before) div {step} - 1 AS BIGINT)").alias("missing"),
+    )
+
+
 # Prefix of a task id per kind of data.
 KIND_PREFIX = {"observations": "obs", "previous_runs": "prev", "historical_forecast": "histfc"}
 

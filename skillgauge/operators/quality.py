@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.temporal import hours_between, lead_hours
@@ -21,6 +22,7 @@ from ..schemas import (
     forecast_var,
     observed_var,
 )
+from ..session import literal_table
 from .sequence import gap_summary
 
 # Accepted lead range in hours and sanity limits of metric tables.
@@ -247,6 +249,21 @@ def validate_verification(df: DataFrame, variables, ranges=PLAUSIBLE_RANGES, key
     return all_issues(parts)
 
 
+def written_with_checks(df: DataFrame, write: Callable[[DataFrame], None], variables, ranges=PLAUSIBLE_RANGES) -> DataFrame:
+    """Hand `df` to `write` and collect the row-wise checks from the job that writes; returns their issues.
+
+    Missing observations, lead times and value ranges are counted while the rows
+    pass by, so checking costs no further read. Checks that compare rows with each other need a shuffle and stay
+    in `validate_verification`. `write` must run one job over all rows: what it reads twice would be counted once only.
+    """
+    columns = _ranged_columns(df, variables, ranges)
+    seen = Observation()
+    write(df.observe(seen, *_missing_counts(), *_lead_counts(), *_range_counts(columns)))
+    counts = seen.get
+    row = literal_table(df.sparkSession, [tuple(counts.values())], ", ".join(f"{name} bigint" for name in counts))
+    return _issues(row, _missing_issue(), _lead_issue(), *([_range_issue(columns)] if columns else []))
+
+
 METRIC_FIXED = ("variable", "metric_name", "metric_value", "sample_size", "total_rows", "missing_count")
 
 

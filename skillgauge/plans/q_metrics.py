@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.temporal import season_of
 from ..operators import align, anomalies, degradation, distributions, errors, extremes, metrics, seasonal
+from ..sinks import bucketed
 from ..sources.tables import filter_metrics, pivot_metrics
 from .registry import (
     VARIABLES,
@@ -312,6 +315,21 @@ def _(spark, sf):
     return joined(spark, sf)
 
 
+@query(
+    "jn01_bucketed_tables",
+    "JN-01",
+    "JN-03",
+    sql=on_ensemble("SELECT * FROM ver", "latitude longitude forecast_load observed_load load_error", JOINED),
+)
+def _(spark, sf):
+    name = uuid.uuid4().hex
+    f = ensemble_forecasts(spark, sf).withColumnRenamed("value", "load").drop("variable")
+    o = ensemble_observations(spark, sf).withColumnRenamed("value", "load").drop("variable")
+    f = bucketed.store_bucketed(f, f"forecasts_{name}", "forecast_target_time", 8)
+    o = bucketed.store_bucketed(o, f"observations_{name}", "observation_time", 8)
+    return bucketed.build_from_bucketed(f, o, ["load"])
+
+
 @query(
     "jn02_align_by_coordinates",
     "JN-02",

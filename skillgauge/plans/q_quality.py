@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import locations, quality, sequence
 from ..operators.events import contingency, skill_scores
+from ..session import scratch_path
 from .q_events import SCORE_SQL, _double
 from .q_metrics import JOINED, by_model_lead_stored, joined
 from .registry import (
@@ -302,6 +303,18 @@ def _(spark, sf):
     return quality.severity_totals(quality.all_issues([quality.check_lead_times(s), quality.check_missing_observations(s)]))
 
 
+@query(
+    "dq07_checks_beside_write",
+    "DQ-04",
+    "DQ-06",
+    "DQ-07",
+    sql=on_shipments(" UNION ALL ".join(f"SELECT * FROM ({p('shipments')}) AS i{k}" for k, p in enumerate((_missing_sql, _leads_sql, _ranges_sql)))),
+)
+def _(spark, sf):
+    path = scratch_path(spark, "checked")
+    return quality.written_with_checks(shipments(spark, sf), lambda rows: rows.write.parquet(path), VARIABLES, RANGES)
+
+
 # --- gaps and persistence ------------------------------------------------------------
 
 _POINTS = "p AS (SELECT DISTINCT latitude, longitude, observation_time FROM verification WHERE observation_time IS NOT NULL)"

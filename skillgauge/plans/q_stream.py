@@ -180,3 +180,16 @@ def _(spark, sf):
     # A spell is appended once the watermark has passed its end; spells still open stay in the state.
     sessions = jobs.report_sessions(_events(spark, sf), ["user_id"], "ts", late="0 seconds")
     return jobs.run_append(sessions, *_run(spark, "sessions"))
+
+
+@query(
+    "str05_open_and_closed_sessions",
+    "STR-05",
+    sql=(
+        "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 90 MINUTE AS session_end, count(*) AS reports, max(ts) + INTERVAL 90 MINUTE > (SELECT max(ts) FROM events) AS is_open "
+        "FROM (SELECT *, sum(is_new) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM ("
+        "SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 90 MINUTE THEN 0 ELSE 1 END AS is_new FROM events) AS a) AS b GROUP BY user_id, island"
+    ),
+)
+def _(spark, sf):
+    return jobs.run_sessions(_events(spark, sf), ["user_id"], "ts", *_run(spark, "open-sessions"), late="0 seconds")

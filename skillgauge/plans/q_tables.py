@@ -137,6 +137,17 @@ def _(spark, sf):
     return tables.partition_inventory(spark.read.parquet(_forecast_root(spark, sf)))
 
 
+@query(
+    "src05_footer_inventory",
+    "SRC-05",
+    sql=on_verification(
+        "SELECT model, CAST(year(forecast_target_time) AS INT) AS year, month, count(*) AS row_count FROM verification GROUP BY ALL"
+    ),
+)
+def _(spark, sf):
+    return tables.footer_inventory(spark, _forecast_root(spark, sf))
+
+
 def _documents(spark, sf):
     """Raw hourly documents, one per location and day, written as JSON and read back with a schema."""
 
@@ -773,6 +784,21 @@ def _(spark, sf):
     return planning.missing_runs(expected, f)
 
 
+@query(
+    "dq18_missing_leads",
+    "DQ-18",
+    sql=on_ensemble(
+        "SELECT model, location_id, CAST(b + 24 AS INT) AS first_missing, CAST(lead_hours - 24 AS INT) AS last_missing, CAST((lead_hours - b) // 24 - 1 AS BIGINT) AS missing, "
+        "forecast_issue_time FROM (SELECT *, coalesce(lag(lead_hours) OVER (PARTITION BY model, location_id, forecast_issue_time ORDER BY lead_hours), -24) AS b FROM ("
+        "SELECT DISTINCT model, location_id, forecast_issue_time, lead_hours FROM ens_forecasts WHERE lead_hours <= CASE WHEN model = 'purchase' THEN 48 ELSE 168 END "
+        "UNION ALL SELECT DISTINCT model, location_id, forecast_issue_time, CASE WHEN model = 'purchase' THEN 72 ELSE 192 END FROM ens_forecasts) AS l) AS g WHERE lead_hours - b > 24"
+    ),
+)
+def _(spark, sf):
+    run = ("model", "location_id", "forecast_issue_time")
+    return planning.missing_leads(ensemble_forecasts(spark, sf), run, step=24, horizons={"purchase": 48}, default=168)
+
+
 _PLAN = (
     "plan AS (SELECT l.location_id, m.model, CAST(s AS DATE) AS chunk_start, least(CAST(s + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE), DATE '1998-12-31') AS chunk_end "
     "FROM (SELECT DISTINCT location_id FROM verification) AS l, (VALUES ('AF'), ('RO')) AS m(model), "

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import LEAD, MODEL, OBS_TIME, TARGET, forecast_schema, observation_schema
+from ..session import materialize, settings
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -82,6 +83,19 @@ def partition_inventory(df: DataFrame, partition_cols=(MODEL, "year", "month"),
     return rows.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+# Settings under which a count by partition is answered from Parquet footers.
+FOOTERS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footer_inventory(spark: SparkSession, root: str, partition_cols=(MODEL, "year", "month"), model: str | None = None) -> DataFrame:
+    """`partition_inventory` of a stored table from the row counts in its files' footers; no column is read.
+
+    The result, a row for each partition, is made here and now, as the settings that allow it hold for this read only.
+    """
+    with settings(spark, FOOTERS):
+        return materialize(partition_inventory(spark.read.parquet(root), partition_cols, model), "inventory")
+
+
 def filter_metrics(df: DataFrame, variables=None, metrics=None, models=None) -> DataFrame:
     """AND of optional membership filters; a filter on an absent column is ignored."""
     for column, wanted in (("variable", variables), ("metric_name", metrics), (MODEL, models)):

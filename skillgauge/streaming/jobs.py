@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ISSUE, LOCATION, MODEL, OBS_TIME, TARGET
+from ..session import materialize
 
 
 def read_files(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet", pattern: str | None = None) -> DataFrame:
@@ -80,6 +81,53 @@ def report_sessions(stream: DataFrame, keys, time: str, gap: str = "90 minutes",
     return counted.select(*keys, F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"), "reports")
 
 
+def run_sessions(stream: DataFrame, keys, time: str, path: str, checkpoint: str, gap: str = "90 minutes", late: str = "2 days") -> DataFrame:
+    """Reporting spells as they stand: closed ones for good, and those still open, flagged.
+
+    Session windows allow no update mode, so spells are merged batch by batch. A batch's own spells
+    join the open ones of the batch before; a spell is closed once the newest time seen is
+    `late` past its end, and reports older than that are dropped, as the watermark would. Only open spells are carried on. Each
+    batch writes folders of its own, so a repeated batch changes nothing and a restart goes on with the last.
+    """
+    keys, columns = list(keys), [*keys, "session_start", "session_end", "reports", "newest"]
+    spark = stream.sparkSession
+
+    def folder(kind: str, batch_id: int) -> str:
+        return f"{path}/{kind}/batch_id={batch_id}"
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        span = F.session_window(time, gap)
+        held = batch.where(F.col(time).isNotNull())
+        old = spark.read.parquet(folder("open", batch_id - 1)) if batch_id else None
+        seen = F.lit(None).cast("timestamp")
+        if old is not None:
+            seen = F.lit(old.agg(F.max("newest")).first()[0]).cast("timestamp")
+            held = held.where(seen.isNull() | (F.col(time) + F.expr(f"INTERVAL {gap}") > seen - F.expr(f"INTERVAL {late}")))
+        spells = held.groupBy(span.alias("s"), *keys).agg(F.count(F.lit(1)).alias("reports"), F.max(time).alias("newest"))
+        spells = spells.select(*keys, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "reports", "newest")
+        if old is not None:
+            spells = spells.unionByName(old.where("reports IS NOT NULL").select(*columns))
+        # A spell is an event at its start that lasts until its end; those that overlap are one.
+        seconds = ((F.unix_micros("session_end") - F.unix_micros("session_start")) / 1_000_000).cast("decimal(18,6)")
+        whole = F.session_window("session_start", F.make_interval(secs=seconds))
+        merged = spells.groupBy(whole.alias("s"), *keys).agg(F.sum("reports").alias("reports"), F.max("newest").alias("newest"))
+        merged = merged.select(*keys, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "reports", "newest")
+        merged = materialize(merged, "spells")
+        newest = F.greatest(seen, F.lit(merged.agg(F.max("newest")).first()[0]).cast("timestamp"))
+        done = F.coalesce(F.col("session_end") <= newest - F.expr(f"INTERVAL {late}"), F.lit(False))
+        merged.where(done).write.mode("overwrite").parquet(folder("closed", batch_id))
+        # The newest time is kept in a row of its own, also where no spell is open.
+        mark = spark.range(1).select(*[F.lit(None).cast(merged.schema[c].dataType).alias(c) for c in columns[:-1]], newest.alias("newest"))
+        merged.where(~done).unionByName(mark).write.mode("overwrite").parquet(folder("open", batch_id))
+
+    run_batches(stream, store, checkpoint)
+    closed = spark.read.parquet(f"{path}/closed").drop("batch_id").withColumn("is_open", F.lit(False))
+    opened = spark.read.parquet(f"{path}/open")
+    last = opened.agg(F.max("batch_id")).scalar()
+    opened = opened.where((F.col("batch_id") == last) & F.col("reports").isNotNull()).drop("batch_id").withColumn("is_open", F.lit(True))
+    return closed.unionByName(opened).drop("newest")
+
+
 def run_append(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run over all available input into Parquet; returns the stored rows."""
     query = (

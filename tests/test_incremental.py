@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skillgauge.operators import align, metrics, sketches
-from skillgauge.session import scratch_path
-from skillgauge.sinks import metricstore
-from skillgauge.sources import raw_json, variant_json
+from skillgauge.operators import align, metrics, planning, quality, sketches
+from skillgauge.session import scratch_path, settings
+from skillgauge.sinks import bucketed, metricstore
+from skillgauge.sources import raw_json, tables, variant_json
+from skillgauge.streaming import jobs
 
 VER = "forecast_issue_time timestamp, forecast_target_time timestamp, lead_hours int, model string, latitude double, longitude double, t_error double, w_error double"
 
@@ -152,3 +153,92 @@ def test_no_documents(spark):
     docs, arrays = variant_json.read_responses(spark, folder(spark, ["nothing"]))
     assert arrays == [] and docs.count() == 1
     assert variant_json.long_hours(variant_json.read_documents(spark, folder(spark, []))).collect() == []
+
+
+def test_missing_leads_as_intervals(spark):
+    rows = [("a", 1, h) for h in (0, 6, 12, 24)] + [("a", 2, 0), ("a", 2, None), ("a", 2, 7), ("a", 2, 600), ("b", 1, None)] + [("c", 1, h) for h in range(0, 31, 6)] + [("z", 1, 0)]
+    df = spark.createDataFrame(rows, "model string, run int, lead_hours int")
+    got = planning.missing_leads(df, ("model", "run"), 6, {"a": 30, "b": 12, "c": 30})
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 18, 18, 1), ("a", 1, 30, 30, 1), ("a", 2, 6, 30, 5), ("b", 1, 0, 12, 3)]
+    # Every expected lead is either there or in one interval.
+    there = {("a", 1): {0, 6, 12, 24}, ("a", 2): {0}, ("b", 1): set(), ("c", 1): set(range(0, 31, 6))}
+    for r in got.collect():
+        there[r.model, r.run] |= set(range(r.first_missing, r.last_missing + 1, 6))
+    assert there == {("a", 1): set(range(0, 31, 6)), ("a", 2): set(range(0, 31, 6)), ("b", 1): {0, 6, 12}, ("c", 1): set(range(0, 31, 6))}
+    assert planning.missing_leads(df.limit(0), ("model", "run"), 6, {"a": 30}).collect() == []
+    assert planning.missing_leads(df, ("model", "run"), 6, {"a": 30}, 0).where("model = 'z'").collect() == []
+
+
+def test_inventory_reads_footers(spark):
+    path = scratch_path(spark, "parts")
+    df = verification(spark, some_rows(1, (1, 2))).selectExpr("model", "2024 AS year", "month(forecast_target_time) AS month", "t_error")
+    df.write.partitionBy("model", "year", "month").parquet(path)
+    want = sorted(map(tuple, tables.partition_inventory(spark.read.parquet(path)).collect()))
+    assert sorted(map(tuple, tables.footer_inventory(spark, path).collect())) == want
+    assert sorted(map(tuple, tables.footer_inventory(spark, path, model="a").collect())) == [r for r in want if r[0] == "a"]
+    with settings(spark, tables.FOOTERS):
+        plan = tables.partition_inventory(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_checks_come_with_the_write(spark):
+    rows = [(None, -3, 5.0), ("2024-01-01", 0, 60.0), ("2024-01-01", 900, None), ("2024-01-02", 1, 10.0)]
+    df = spark.createDataFrame(rows, "o string, lead_hours int, forecast_t double").selectExpr("CAST(o AS timestamp) AS observation_time", "lead_hours", "forecast_t")
+    path = scratch_path(spark, "written")
+    got = quality.written_with_checks(df, lambda x: x.write.parquet(path), ["t"], {"t": (0.0, 50.0)})
+    parts = [quality.check_missing_observations(df), quality.check_lead_times(df), quality.check_value_ranges(df, ["t"], {"t": (0.0, 50.0)})]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, quality.all_issues(parts).collect()))
+    assert spark.read.parquet(path).count() == 4
+    empty = quality.written_with_checks(df.limit(0), lambda x: x.write.mode("overwrite").parquet(path), ["t"], {"t": (0.0, 50.0)})
+    assert {r.severity for r in empty.collect()} == {"info"}
+
+
+def test_bucketed_tables_join_without_an_exchange(spark):
+    f = spark.createDataFrame([("s1", 1, 1.0), ("s1", 2, 2.0), (None, 1, 3.0), ("s2", 1, 4.0)], "location_id string, h int, t double")
+    f = f.selectExpr("timestamp_seconds(0) AS forecast_issue_time", "timestamp_seconds(h * 3600) AS forecast_target_time", "h AS lead_hours", "'m' AS model", "location_id", "1D AS latitude", "1D AS longitude", "CAST(NULL AS double) AS elevation", "t")
+    o = f.where("t < 4").selectExpr("forecast_target_time AS observation_time", "location_id", "t - 1 AS t")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        left = bucketed.store_bucketed(f, "bucketed_f", "forecast_target_time", 4)
+        right = bucketed.store_bucketed(o, "bucketed_o", "observation_time", 4)
+        out = bucketed.build_from_bucketed(left, right, ["t"])
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        want = align.build_verification(f, o, ["t"])
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, want.select(out.columns).collect()))
+
+
+def test_latest_rows_win_over_batches_and_restarts(spark):
+    folder, path, checkpoint = (scratch_path(spark, n) for n in ("drops", "latest", "latest-checkpoint"))
+    base = "timestamp_seconds(0) AS forecast_issue_time, timestamp_seconds(k * 3600) AS forecast_target_time, 'm' AS model, 's' AS location_id, v, n"
+    drop = lambda rows: spark.createDataFrame(rows, "k int, v double, n int").selectExpr(*base.split(", ")).coalesce(1).write.mode("append").parquet(folder)
+    key = ["forecast_issue_time", "forecast_target_time", "model", "location_id"]
+
+    def run():
+        stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        out = jobs.run_update(jobs.latest_forecasts(stream, "n", "10 days"), path, checkpoint, key)
+        return {r.forecast_target_time.hour: (r.v, r.n) for r in out.collect()}
+
+    drop([(1, 1.0, 1), (2, 2.0, 1)])
+    drop([(1, 5.0, 3), (1, 4.0, 2)])
+    assert run() == {1: (5.0, 3), 2: (2.0, 1)}
+    drop([(1, 9.0, 2), (2, 7.0, 4), (3, 1.0, 1)])
+    assert run() == {1: (5.0, 3), 2: (7.0, 4), 3: (1.0, 1)}
+
+
+def test_open_sessions_over_batches_and_restarts(spark):
+    folder, path, checkpoint = (scratch_path(spark, n) for n in ("reports", "sessions", "sessions-checkpoint"))
+    drop = lambda rows: spark.createDataFrame(rows, "k string, m int").selectExpr("k", "timestamp_seconds(m * 60) AS t").coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        out = jobs.run_sessions(stream, ["k"], "t", path, checkpoint, "60 minutes", "0 seconds")
+        minute = lambda t: int(t.timestamp() // 60)
+        return sorted((r.k, minute(r.session_start), minute(r.session_end), r.reports, r.is_open) for r in out.selectExpr("k", "session_start", "session_end", "reports", "is_open").collect())
+
+    drop([("a", 0), ("a", 30), ("b", 10)])
+    assert run() == [("a", 0, 90, 2, True), ("b", 10, 70, 1, True)]
+    drop([("a", 80), ("a", 20)])
+    assert run() == [("a", 0, 140, 4, True), ("b", 10, 70, 1, False)]
+    # Too late: its spell is closed and gone.
+    drop([("b", 5), ("c", 500)])
+    assert run() == [("a", 0, 140, 4, False), ("b", 10, 70, 1, False), ("c", 500, 560, 1, True)]
