@@ -18,7 +18,14 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 # a worker's memory follows one long text, not ten thousand of them.
 SLICE_BYTES = 8_000_000
 
-BATCH_ROWS = "1000"
+# Bounds of an Arrow batch: rows, and bytes for long texts and sets.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Sets the bounds for the session: Spark reads them when the plan runs, not when it is made."""
+    for key, value in BATCHES.items():
+        df.sparkSession.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +45,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
     """`function` over small Arrow batches; it yields column dictionaries for `schema`.
 
-    Rows of a batch are bounded through the session, as a batch of long texts must fit a worker.
+    Rows and bytes of a batch are bounded through the session, as a batch of long texts must fit a worker.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded_batches(df)
     target = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +60,7 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[dict]
 
 def partition_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
     """Like `arrow_map`, with all batches of a partition in one call, for sums over a partition."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded_batches(df)
     target = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +72,7 @@ def partition_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]],
 
 def arrow_filter(df: DataFrame, keep: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
     """The rows of `df`, with all their columns, for whose texts `keep` says so."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@
 4. Pairs are confirmed on full sets and joined to components.
 5. A bucket whose members are not all in one component yet may hide a link between
    two others. Such buckets get further centres, first the member with the least of its
-   own, then more and more others (eight times as many each round), which
+   own, then more and more others (GROWTH times as many each round), which
    are compared, inside tasks, with members of other components only, until every pair of a
    bucket is compared, joined anyway, or proved too different: sets of which too much
    is in no other set of these buckets cannot be similar to any. So no link between
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, mixed, slices, stored
+from .common import Words, arrow_map, mixed, partition_map, slices, stored
 
 BANDS = 64
 ROWS = 8
@@ -39,13 +39,13 @@ BITS = PLACES.bit_length() - 1  # PLACES is a power of two
 PERCENT = 80
 SHINGLE = 4
 # By how much the number of centres of a bucket grows from round to round.
-GROWTH = 8
-# Members of a bucket that are handed to a task together, more or less.
-BLOCK = 16
+GROWTH = 32
+# Shingles of the members, or centres, of a bucket that meet in one place, more or less.
+BLOCK = 1 << 20
 MEMBER = ("class", "component", "size", "shared", "set")
 
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-SIGNED = "doc_id bigint, n_shingles bigint, class binary, buckets array<bigint>"
+SIGNED = "doc_id bigint, mark bigint, n_shingles bigint, class binary, buckets array<bigint>"
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -117,7 +117,7 @@ def bucket_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """Set size, class (a 128-bit hash of the set) and bucket keys of every document; none for empty sets."""
+    """Set size, class (a 128-bit hash of the set), bucket keys (none for empty sets) and mark (a hash of the text) of every document."""
 
     def run(batch):
         ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
@@ -127,12 +127,14 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             keys = iter(bucket_keys(some).tolist() if some else [])
             yield {
                 "doc_id": ids.slice(a, b - a),
+                "mark": batch.column("mark").slice(a, b - a),
                 "n_shingles": [len(s) for s in sets],
                 "class": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "buckets": [next(keys) if len(s) else None for s in sets],
             }
 
-    return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SIGNED)
+    text = F.col("text").cast("string")
+    return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")), run, SIGNED)
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
@@ -171,36 +173,72 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "set_a", "set_b"), run, "a binary, b binary")
 
 
-def links_within(centres: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of centres with members of other components of their buckets, one for each component.
-
-    Members come in blocks with their full sets, so that pairs are compared inside a
-    task and only links leave it. Both inputs have bucket, n, class, component,
-    size, shared (at most so much is in any other set) and set.
+class Centres:
+    """Some sets side by side, so that another set meets all of them in one search."""
+
+    def __init__(self, rows: list[dict]):
+        self.components = np.array([r["component"] for r in rows], object)
+        self.sizes, self.shared = (np.array([r[k] for r in rows], np.int64) for k in ("size", "shared"))
+        self.classes = [r["class"] for r in rows]
+        sets = [np.frombuffer(r["set"], np.uint64) for r in rows]
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.members, self.owner = flat[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+
+    def links(self, row: dict, percent: int) -> list[tuple[bytes, bytes]]:
+        """Links of a set with centres of other components, one for each component."""
+        total = self.sizes + row["size"]
+        most = np.minimum(self.shared, row["shared"])
+        able = (100 * most >= percent * (total - most)) & (self.components != row["component"])
+        if not able.any():
+            return []
+        mine = np.frombuffer(row["set"], np.uint64)
+        a, b = (np.searchsorted(self.members, mine, side) for side in ("left", "right"))
+        n = b - a
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        common = np.bincount(self.owner[at], minlength=len(total))
+        met, out = set(), []
+        for k in np.flatnonzero(able & (100 * common >= percent * (total - common))).tolist():
+            if self.components[k] not in met:
+                met.add(self.components[k])
+                out.append((min(row["class"], self.classes[k]), max(row["class"], self.classes[k])))
+        return out
+
+
+def links_within(centres: DataFrame, members: DataFrame, many: int, percent: int) -> DataFrame:
+    """Links (a, b) of centres with members of other components of their buckets.
+
+    Members of a bucket are dealt to blocks, and its centres (`many` at most, more or less) to
+    parts, by the number of their shingles; every block meets every part in one place, centres first, so a large
+    bucket is many tasks' work and a task holds one part's sets. Both inputs have
+    bucket, n and total (members and shingles of the bucket), class, component, size, shared (at most so much
+    is in any other set) and set. Only links leave the tasks.
     """
-    block = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BLOCK).cast("bigint"))
-    blocks = members.groupBy("bucket", block.alias("block")).agg(F.collect_list(F.struct("class", "component", "size", "shared", "set")).alias("others"))
-    rows = centres.select("bucket", *MEMBER).join(blocks, "bucket").select(*MEMBER, "others")
-
-    def run(batch):
-        left, right = [], []
-        for at in range(batch.num_rows):
-            row = batch.slice(at, 1).to_pylist()[0]
-            mine, met = None, {row["component"]}
-            for other in row["others"]:
-                size = row["size"] + other["size"]
-                most = min(row["shared"], other["shared"])
-                if other["component"] in met or 100 * most < percent * (size - most):
-                    continue
-                mine = np.frombuffer(row["set"], np.uint64) if mine is None else mine
-                common = len(np.intersect1d(mine, np.frombuffer(other["set"], np.uint64), assume_unique=True))
-                if 100 * common >= percent * (size - common):
-                    met.add(other["component"])
-                    left.append(min(row["class"], other["class"]))
-                    right.append(max(row["class"], other["class"]))
-        yield {"a": left, "b": right}
-
-    return arrow_map(rows, run, "a binary, b binary").distinct()
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    parts = F.ceil(F.col("total") * F.least(F.lit(1.0), F.lit(many) / F.col("n")) / BLOCK).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("class", "bucket"), n.cast("bigint")).cast("int")
+    left = centres.select("bucket", F.lit(0).alias("kind"), own(parts).alias("part"), upto(blocks).alias("block"), *MEMBER)
+    right = members.select("bucket", F.lit(1).alias("kind"), upto(parts).alias("part"), own(blocks).alias("block"), *MEMBER)
+    key = ("bucket", "block", "part")
+    rows = left.select(*key, "kind", *MEMBER).union(right.select(*key, "kind", *MEMBER)).repartition(*key).sortWithinPartitions(*key, "kind")
+
+    def run(batches):
+        place, held, centres = None, [], None
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                here = (row["bucket"], row["block"], row["part"])
+                if here != place:
+                    place, held, centres = here, [], None
+                if row["kind"] == 0:
+                    held.append(row)
+                elif held:
+                    centres = Centres(held) if centres is None else centres
+                    found += centres.links(row, percent)
+            yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
+
+    return partition_map(rows, run, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -258,13 +296,17 @@ def shared_sizes(members: DataFrame, classes: DataFrame, sets: DataFrame) -> Dat
     return stored(sized.select("class", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")), "sizes")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept, class_size.
+def torn_buckets(labelled: DataFrame) -> DataFrame:
+    """Buckets whose members are of more than one component."""
+    return labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
 
-    Null and empty texts have empty sets, are linked with nothing and kept. Equal
-    sets are one class whose size counts rows. A set that occurs with
-    null ids only is linked with nothing, has a null component_id and is not kept. Rows with the same id and the same set are judged alike.
-    """
+
+def with_components(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id and class_size of every row; see `near_duplicates`."""
     table = stored(signed(docs, width), "signed")
     classes = stored(
         table.where("class IS NOT NULL").groupBy("class").agg(
@@ -281,48 +323,72 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
     pairs = buckets.where("class != centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
     found = components(stored(similar(pairs, sets, percent), "links"))
-    wide = buckets.where("n > 2").select("bucket", "class", F.pmod(F.xxhash64("class", "bucket"), F.col("n")).alias("place"), "n")
-    sizes, lowest = None, 0
-    while True:
-        labelled = wide.where(F.col("n") >= lowest).join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        torn = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-        active = stored(labelled.join(torn, "bucket"), "active")
+    wide = buckets.where("n > 2").select("bucket", "class")
+    wide = stored(wide.join(torn_buckets(with_components(wide, found)), "bucket"), "torn")
+    if not wide.isEmpty():
+        # Sets of which too much is in no other set here cannot be similar to any, and leave their buckets.
+        sizes = shared_sizes(wide.select("class").distinct(), classes, sets)
+        able = sizes.where(100 * F.col("shared") >= percent * F.col("size"))
+        wide = wide.join(able, "class")
+        counted = wide.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+        placed = F.pmod(F.xxhash64("class", "bucket"), F.col("n")).alias("place")
+        wide = stored(wide.join(counted.where("n > 1"), "bucket").select("bucket", "class", "size", "shared", "n", "total", placed), "able")
+        sets = stored(sets.join(wide.select("class").distinct(), "class", "left_semi"), "able-sets")
+    lowest = 0
+    while not wide.isEmpty():
+        labelled = with_components(wide.where(F.col("n") >= lowest), found)
+        active = stored(labelled.join(torn_buckets(labelled), "bucket"), "active")
         if active.isEmpty():
             break
-        if sizes is None:
-            sizes = shared_sizes(active.select("class").distinct(), classes, sets)
-        active = active.join(sizes, "class").join(sets, "class")
         if lowest:
             # Members stand in a fixed order; those of places [lowest, GROWTH * lowest) are this round's centres.
-            centres = active.where((F.col("place") + 1 >= lowest) & (F.col("place") + 1 < GROWTH * lowest)).select("bucket", "class")
+            centres = active.where((F.col("place") + 1 >= lowest) & (F.col("place") + 1 < GROWTH * lowest))
         else:
             # Before that, the member that has least of its own: most copies of one text are near it.
             own = F.struct(1 - F.col("shared") / F.col("size"), "class")
-            centres = active.groupBy("bucket").agg(F.min_by("class", own).alias("class"))
-        centres = active.join(centres, ["bucket", "class"], "left_semi")
-        fresh = stored(links_within(centres, active, percent), "links")
+            centres = active.join(active.groupBy("bucket").agg(F.min_by("class", own).alias("class")), ["bucket", "class"], "left_semi")
+        # Members of the component that all centres of their bucket are of have nothing to meet.
+        reach = centres.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        others = active.join(reach, "bucket").where("component != low OR component != high").drop("low", "high")
+        with_set = lambda rows: rows.join(sets, "class")
+        fresh = stored(links_within(with_set(centres), with_set(others), GROWTH * max(1, lowest), percent), "links")
         lowest = max(1, lowest * GROWTH)
         if not fresh.isEmpty():
             found = joined_components(found, fresh)
 
-    joined = classes.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    joined = with_components(classes, found)
     heads = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named_classes = joined.join(heads, "component").select("class", "component_id", "class_size")
-    empty = table.where("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("class_size"))
-    rest = table.where("class IS NOT NULL").select("doc_id", "n_shingles", "class").join(named_classes, "class").drop("class")
-    out = rest.select("doc_id", "n_shingles", "component_id", "class_size").unionByName(empty)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "class_size")
+    columns = ["doc_id", "mark", "n_shingles", "component_id", "class_size"]
+    empty = table.where("class IS NULL").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("class_size"))
+    rest = table.where("class IS NOT NULL").select("doc_id", "mark", "n_shingles", "class").join(named_classes, "class").drop("class")
+    return rest.select(*columns).unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept, class_size.
+
+    Null and empty texts have empty sets, are linked with nothing and kept. Equal
+    sets are one class whose size counts rows. A set that occurs with
+    null ids only is linked with nothing, has a null component_id and is not kept. Rows with the same id and the same set are judged alike.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return judged(docs, width, percent).select("doc_id", "n_shingles", "component_id", kept, "class_size")
 
 
 def distinct_documents(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`docs`, with all their columns, with one row of each group of near-duplicates: that with the least id.
 
     Rows without an id are known by their text; of a group without ids, one row
-    stays. Of several rows with the id that stays, one stays.
+    stays. Rows are judged by id and text: of rows with one id, those whose texts are near each
+    other are one group, of which the text with the least hash stays, and texts unlike all others stay too. Of equal rows one stays.
     """
-    uid = "_dedup_uid"
-    own = F.coalesce(F.col("doc_id").cast("bigint"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
-    known = docs.withColumn(uid, own)
-    judged = near_duplicates(known.select(F.col(uid).alias("doc_id"), "text"), width, percent)
-    ids = judged.where("kept").select(F.col("doc_id").alias(uid))
-    return known.join(ids, uid, "left_semi").dropDuplicates([uid]).select(*docs.columns)
+    uid, mark = "_dedup_uid", "_dedup_mark"
+    text = F.col("text").cast("string")
+    own = F.coalesce(F.col("doc_id").cast("bigint"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62))
+    known = docs.withColumns({uid: own, mark: F.xxhash64(text)})
+    rows = judged(known.select(F.col(uid).alias("doc_id"), "text"), width, percent).where("doc_id = component_id")
+    # Empty sets are groups of their own, whatever their id.
+    group = F.when(F.col("n_shingles") == 0, F.col("mark")).otherwise(F.lit(0))
+    ids = rows.groupBy(F.col("doc_id").alias(uid), group.alias("group")).agg(F.min("mark").alias(mark)).select(uid, mark)
+    return known.join(ids, [uid, mark], "left_semi").dropDuplicates([uid, mark]).select(*docs.columns)
