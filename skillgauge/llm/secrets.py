@@ -149,9 +149,9 @@ def with_spans(docs: DataFrame, ratios: list[float], min_ratio: float = MIN_RATI
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     held = docs.withColumn(BASE, F.array_sort(base_spans(text)))
-    # A string that touches a plain span adds nothing to it.
+    # A string within a plain span adds nothing to it; one that reaches out of it does.
     random = spans(text, CANDIDATE, "random", lambda s: mean_ratio(s, table) > min_ratio)
-    free = F.filter(random, lambda r: ~F.exists(BASE, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    free = F.filter(random, lambda r: ~F.exists(BASE, lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
     return held.withColumn(ALL, F.array_sort(F.concat(BASE, free)))
 
 
