@@ -23,8 +23,6 @@ CAPACITIES = (2048, 4096, 8192, 16384)
 # What a sequence costs besides its places, in places.
 OVERHEAD = 64
 SHARD_ITEMS = 4096
-# How many items a prospective bin is filled with ahead.
-LOOKAHEAD = 8
 
 PLACED = "doc_id bigint, piece bigint, start bigint, length bigint, bin_id string, capacity bigint, filled bigint, offset bigint"
 
@@ -42,10 +40,7 @@ def items(docs: DataFrame, length: Column, longest: int) -> DataFrame:
 def ahead(left: list[int], first: int, capacity: int) -> int:
     """Places filled in a bin of `capacity` that starts with `first` and takes the largest of `left` (rising) that fit."""
     room, filled, top = capacity - first, first, len(left)
-    for _ in range(LOOKAHEAD):
-        at = bisect_right(left, room, 0, top) - 1
-        if at < 0:
-            break
+    while (at := bisect_right(left, room, 0, top) - 1) >= 0:
         room -= left[at]
         filled += left[at]
         top = at
