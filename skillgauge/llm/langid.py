@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ ROUNDS = 12
 PENALTY = 3.0
 # Units are at most so long, so that text without spaces is many units.
 UNIT = re.compile(r"[^\W\d_]{1,16}")
+# Word characters that are no decimal digits also hold numbers such as fractions and Roman numerals, which are no letters.
+LETTERS = regex.compile(r"\p{L}{1,16}")
 UNKNOWN = "und"
 
 PREDICTED = "doc_id bigint, lang_pred string, score double, languages string"
@@ -41,11 +44,17 @@ class LanguageModel:
     table: np.ndarray
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters, which are the characters of the general category L, of at most 16 characters."""
+    found = UNIT.findall(text)
+    return found if not found or "".join(found).isalpha() else LETTERS.findall(text)
+
+
 class Units:
     """Runs of letters of several texts, in lower case, as codes into distinct units."""
 
     def __init__(self, texts: list[str | None]):
-        lists = [UNIT.findall((t or "").lower()) for t in texts]
+        lists = [letters((t or "").lower()) for t in texts]
         self.counts = np.fromiter(map(len, lists), np.int64, len(lists))
         encoded = pa.array([u for units in lists for u in units], pa.string()).dictionary_encode()
         self.codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
