@@ -12,8 +12,10 @@ of other ASCII characters than letters and digits as one space.
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,18 +92,12 @@ def places(text: bytes, part: bytes) -> list[int]:
 
 
 def candidates(text: bytes, one: Notice) -> list[tuple[int, int]]:
-    """Joined ranges of `text` that hold every place where `one` can match."""
-    reach = []
+    """Ranges of `text` that hold every place where `one` can match: one for each piece found, so none is longer than a notice and its edits."""
+    reach = set()
     for offset, seed in one.seeds:
         for at in places(text, seed):
-            reach.append((max(0, at - offset - one.edits - 1), at - offset + len(one.text) + one.edits + 1))
-    joined: list[tuple[int, int]] = []
-    for a, b in sorted(reach):
-        if joined and a <= joined[-1][1]:
-            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
-        else:
-            joined.append((a, b))
-    return joined
+            reach.add((max(0, at - offset - one.edits - 1), min(len(text), at - offset + len(one.text) + one.edits + 1)))
+    return sorted(reach)
 
 
 def best_matches(text: bytes, one: Notice, a: int, b: int) -> list[tuple[int, int, int]]:
@@ -110,7 +106,7 @@ def best_matches(text: bytes, one: Notice, a: int, b: int) -> list[tuple[int, in
     The pattern takes the best match of a stretch first and goes on behind it, so
     the stretches before and after each match are searched again.
     """
-    found, todo = [], [(a, min(b, len(text)))]
+    found, todo = [], [(a, b)]
     while todo:
         a, b = todo.pop()
         # The space before a match and the one after it lie in the stretch too.
@@ -121,6 +117,18 @@ def best_matches(text: bytes, one: Notice, a: int, b: int) -> list[tuple[int, in
     return found
 
 
+def settled(found: set[tuple[int, int, str, int, float]]) -> list[tuple[int, int, str, int, float]]:
+    """Of matches that overlap, that with fewest edits, then the longest, then the first. What is kept lies in order, so each is compared with two."""
+    starts: list[int] = []
+    kept: list[tuple[int, int, str, int, float]] = []
+    for m in sorted(found, key=lambda m: (m[3], m[0] - m[1], m)):
+        at = bisect_left(starts, m[0])
+        if (at == 0 or kept[at - 1][1] <= m[0]) and (at == len(kept) or m[1] <= starts[at]):
+            starts.insert(at, m[0])
+            kept.insert(at, m)
+    return kept
+
+
 def matches(text: bytes) -> list[tuple[int, int, str, int, float]]:
     """Spans of notices in a normal text: start, end, label, edits, similarity; the better of two that overlap."""
     found = set()
@@ -128,11 +136,7 @@ def matches(text: bytes) -> list[tuple[int, int, str, int, float]]:
         for a, b in candidates(text, one):
             for start, end, edits in best_matches(text, one, a, b):
                 found.add((start, end, one.label, edits, 1.0 - edits / len(one.text)))
-    kept: list[tuple[int, int, str, int, float]] = []
-    for m in sorted(found, key=lambda m: (m[3], m[0] - m[1], m)):
-        if all(m[1] <= k[0] or m[0] >= k[1] for k in kept):
-            kept.append(m)
-    return sorted(kept)
+    return settled(found)
 
 
 WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -143,19 +147,21 @@ def scan_text(text: str | None) -> dict:
     words = (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split(b" ")
     words = [w for w in words if w]
     normal = b" " + b" ".join(words) + b" "
+    # The number of a word is that of the spaces before it, less the first.
+    spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
     starts: list[int] = []
     base_labels = set()
     for phrase, label in PHRASES.items():
-        for at in places(normal, b" " + phrase.encode() + b" "):
-            starts.append(normal.count(b" ", 0, at))
+        at = places(normal, b" " + phrase.encode() + b" ")
+        if at:
+            starts += np.searchsorted(spaces, at).tolist()
             base_labels.add(label)
     spans = []
     found = matches(normal)
     if found:
         bounds = [(m.start(), m.end()) for m in WORD.finditer(text.translate(ASCII_LOWER))]
         for a, b, label, edits, similarity in found:
-            first = normal.count(b" ", 0, a) - 1
-            last = normal.count(b" ", 0, b) - 1
+            first, last = (np.searchsorted(spaces, (a, b)) - 1).tolist()
             spans.append((label, bounds[first][0], bounds[last][1], first, edits, similarity))
     score = 1.0 if starts else max((s[5] for s in spans), default=0.0)
     return {
