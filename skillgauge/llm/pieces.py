@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -296,6 +297,29 @@ def decode_ids(ids, model: bytes) -> str:
     return raw[1:] if raw.startswith(" ") else raw
 
 
+@functools.lru_cache(maxsize=2)
+def piece_bytes(model: bytes) -> pa.Array:
+    """The bytes of every id."""
+    return pa.array(vocabulary(model).out, pa.binary())
+
+
+def decode_lists(lists: pa.ListArray, model: bytes) -> list[str | None]:
+    """`decode_ids` of many lists; a null list gives null.
+
+    The pieces of all ids are taken at once and lie in one buffer, of which each text is a stretch.
+    """
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    pieces = piece_bytes(model).take(lists.flatten())
+    ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
+    buffer = memoryview(pieces.buffers()[2] or b"") if len(pieces) else memoryview(b"")
+    cuts = ends[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    out = []
+    for known, a, b in zip(lists.is_valid().to_pylist(), cuts, cuts[1:], strict=False):
+        text = bytes(buffer[a:b]).decode("utf-8", "replace") if known else None
+        out.append(text[1:] if text and text.startswith(" ") else text)
+    return out
+
+
 def load(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -335,9 +359,6 @@ def with_decoded(encoded_docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     held = encoded_docs.sparkSession.sparkContext.broadcast(load(model_path))
 
     def run(batch):
-        for at in range(0, batch.num_rows, 100):
-            part = batch.slice(at, 100)
-            texts = [None if i is None else decode_ids(i, held.value) for i in part.column("ids").to_pylist()]
-            yield {"doc_id": part.column("doc_id"), "ids": part.column("ids"), "decoded": texts}
+        yield {"doc_id": batch.column("doc_id"), "ids": batch.column("ids"), "decoded": decode_lists(batch.column("ids"), held.value)}
 
     return arrow_map(encoded_docs.select("doc_id", "ids"), run, "doc_id bigint, ids array<int>, decoded string")
