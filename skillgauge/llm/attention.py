@@ -14,7 +14,7 @@ OVERLAP = 8
 WIDTH = 16
 HIDDEN = 32
 # Windows of one training step.
-BATCH = 32
+BATCH = 256
 CLASSES = 64
 PER_CLASS = 64
 IDS = CLASSES * PER_CLASS
@@ -208,7 +208,11 @@ def gradients(w: Weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tup
     dqkv = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * WIDTH)
     g["qkv"] = s["h"].reshape(-1, WIDTH).T @ dqkv
     dh = dz + dqkv @ w["qkv"].T
-    np.add.at(g["embed"], x.ravel(), dh)
+    # Rows of one id lie together after a sort, so each id is added up once.
+    order = np.argsort(x.ravel(), kind="stable")
+    used = x.ravel()[order]
+    first = np.flatnonzero(np.diff(used, prepend=-1))
+    g["embed"][used[first]] = np.add.reduceat(dh[order], first)
     g["place"][:n] = dh.reshape(b, n, WIDTH).sum(0)
     return g, loss / m
 
