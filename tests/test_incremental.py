@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skillgauge.operators import align, metrics, planning, quality, sketches
+from skillgauge.operators import align, blend, metrics, planning, quality, sketches
 from skillgauge.session import scratch_path, settings
 from skillgauge.sinks import bucketed, metricstore
 from skillgauge.sources import raw_json, tables, variant_json
@@ -242,3 +242,15 @@ def test_open_sessions_over_batches_and_restarts(spark):
     # Too late: its spell is closed and gone.
     drop([("b", 5), ("c", 500)])
     assert run() == [("a", 0, 140, 4, False), ("b", 10, 70, 1, False), ("c", 500, 560, 1, True)]
+
+
+@pytest.mark.parametrize("fraction", [0.0, 0.1, 0.37, 0.7, 1.0])
+def test_positional_split_takes_the_first_rows(spark, fraction):
+    rng = np.random.default_rng(8)
+    keys = sorted({(int(i), int(t), f"loc{s}", int(h)) for i, t, s, h in rng.integers(0, 4, (90, 4))})
+    df = spark.createDataFrame([keys[k] for k in rng.permutation(len(keys))], "i int, t int, location_id string, lead_hours int")
+    targets = df.selectExpr("timestamp_seconds(i * 3600) AS forecast_issue_time", "timestamp_seconds(t * 3600) AS forecast_target_time", "location_id", "lead_hours", "i", "t")
+    got = blend.with_split(targets, fraction, "positional")
+    train = sorted((r.i, r.t, r.location_id, r.lead_hours) for r in got.collect() if r.is_train)
+    assert train == keys[: math.floor(len(keys) * fraction)]
+    assert blend.with_split(targets.limit(0), 0.5, "positional").collect() == []

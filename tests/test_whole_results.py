@@ -58,7 +58,6 @@ def test_joined_streams_keep_unmatched_forecasts(spark):
         "meta12_member_values",
         "meta13_factors_of_blend",
         "meta14_evaluate_blend",
-        "meta17_blend_holdout_positional",
         "src06_variant_hours",
         "str02_latest_forecasts",
     ],
