@@ -1,9 +1,9 @@
 """Gridded forecasts at observation sites: nearest, inverse distance, bilinear.
 
 The grid's geometry is tiny next to its rows. Lines, corners and weights are
-worked out once per (site, model) from distinct coordinates; the rows are then
-read once, keep only the corner points, and are combined by a plain weighted
-aggregate per (issue, target). No cube and no per-site loop.
+worked out once per (site, model) from distinct coordinates. The forecasts are
+read once, for the values of their nodes, which keep only the corner points and
+are combined by a plain weighted aggregate per (issue, target). No cube and no per-site loop.
 """
 
 from __future__ import annotations
@@ -43,6 +43,12 @@ def grid_points(forecasts: DataFrame, by=(LOCATION,)) -> DataFrame:
     return materialize(points, "grid-points")
 
 
+def grid_nodes(forecasts: DataFrame, variables, by=(LOCATION,)) -> DataFrame:
+    """The smallest value of every variable per node and time, stored once: points and values derive from it."""
+    key = [*by, MODEL, ISSUE, TARGET, LEAD, LAT, LON]
+    return materialize(forecasts.groupBy(*key).agg(*[F.min(v).alias(v) for v in variables]), "grid-nodes")
+
+
 def corner_weights(forecasts: DataFrame, sites: DataFrame, method: str = "bilinear", by=(LOCATION,)) -> DataFrame:
     """Weight of every usable grid point per site and model, from forecast rows or just their points.
 
@@ -165,10 +171,12 @@ def interpolate_to_sites(
     `beside` names one grid point per site (the columns of `sites` plus latitude
     and longitude). Its values come along as `{variable}_native`, from the same
     pass, and only targets that have both kinds are kept. `points` are the
-    stored `grid_points` of the forecasts, if the caller has them already.
+    stored `grid_points` of the forecasts, if the caller has them already; the
+    forecasts are then its stored `grid_nodes`.
     """
     by = list(by)
-    points = grid_points(forecasts, by) if points is None else points
+    by_node = forecasts if points is not None else grid_nodes(forecasts, variables, by)
+    points = grid_points(by_node, by) if points is None else points
     eligible = sites
     if method == "bilinear":
         counts = points.select(*by, LAT, LON).distinct().groupBy(*by).count()
@@ -182,7 +190,7 @@ def interpolate_to_sites(
         weights = weights.unionByName(marked.select(weights.columns))
         slots += 1
     needed = [*by, MODEL, ISSUE, TARGET, LEAD, LAT, LON, *variables]
-    rows = forecasts.select(*needed).join(weights, [*by, MODEL, LAT, LON])
+    rows = by_node.select(*needed).join(weights, [*by, MODEL, LAT, LON])
     picks = [F.count_if(F.col("corner") < NEIGHBOURS).alias("_sampled"), F.count_if(F.col("corner") == NEIGHBOURS).alias("_beside")]
     for k in range(slots):
         at = F.col("corner") == k

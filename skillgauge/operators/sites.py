@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.angles import error_of
 from ..functions.geo import GRID_RADIUS_KM
 from ..schemas import CIRCULAR_ERROR_VARIABLES, ISSUE, LAT, LEAD, LON, MODEL, OBS_TIME, TARGET
-from .interpolate import grid_points, interpolate_to_sites
+from ..session import materialize
+from .interpolate import grid_nodes, grid_points, interpolate_to_sites
 from .nearest import nearest_point
 
 
@@ -22,20 +23,23 @@ def site_error_table(forecasts: DataFrame, observations: DataFrame, variables, b
     if not grid_key:
         grid_key = ["_grid"]
         forecasts, observations = forecasts.withColumn("_grid", F.lit(0)), observations.withColumn("_grid", F.lit(0))
-    sites = observations.select(*grid_key, LAT, LON).dropna().distinct()
-    points = grid_points(forecasts, grid_key)
+    # Both inputs are read once: nodes and daily means are far fewer rows, and all else derives from them.
+    nodes = grid_nodes(forecasts, variables, grid_key)
+    observed = observations.groupBy(
+        *grid_key, F.col(LAT).alias("site_lat"), F.col(LON).alias("site_lon"), F.col(OBS_TIME).alias(TARGET)
+    ).agg(*[F.avg(v).alias(f"_{v}_obs") for v in variables])
+    observed = materialize(observed, "site-observations")
+    sites = observed.select(*grid_key, F.col("site_lat").alias(LAT), F.col("site_lon").alias(LON)).dropna().distinct()
+    points = grid_points(nodes, grid_key)
     nearest = nearest_point(sites, points, grid_key, GRID_RADIUS_KM)
     place = [F.col(c).alias(n) for n, c in (("site_latitude", LAT), ("site_longitude", LON), ("site_lat", LAT), ("site_lon", LON))]
     named = nearest.select(*grid_key, *place, "distance_km", "point_latitude", "point_longitude")
     point = named.withColumnsRenamed({"point_latitude": LAT, "point_longitude": LON})
-    # Native and interpolated values come from one pass over the forecasts.
+    # Native and interpolated values come from one pass over the nodes.
     sampled = interpolate_to_sites(
-        forecasts, named.drop("point_latitude", "point_longitude"), variables, "bilinear", grid_key, keep_native=False, beside=point, points=points
+        nodes, named.drop("point_latitude", "point_longitude"), variables, "bilinear", grid_key, keep_native=False, beside=point, points=points
     ).drop(LAT, LON)
     sampled = sampled.withColumnsRenamed({v: f"{v}_interp" for v in variables})
-    observed = observations.groupBy(
-        *grid_key, F.col(LAT).alias("site_lat"), F.col(LON).alias("site_lon"), F.col(OBS_TIME).alias(TARGET)
-    ).agg(*[F.avg(v).alias(f"_{v}_obs") for v in variables])
     joined = sampled.join(observed, [*grid_key, "site_lat", "site_lon", TARGET])
     errors = [
         error_of(F.col(f"{v}_{kind}"), F.col(f"_{v}_obs"), v in CIRCULAR_ERROR_VARIABLES).alias(f"{v}_{kind}_error")
