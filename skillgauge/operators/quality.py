@@ -22,7 +22,7 @@ from ..schemas import (
     forecast_var,
     observed_var,
 )
-from ..session import literal_table
+from ..session import literal_table, materialize
 from .sequence import gap_summary
 
 # Accepted lead range in hours and sanity limits of metric tables.
@@ -110,7 +110,15 @@ def check_missing_observations(df: DataFrame) -> DataFrame:
 
 
 def _missing_counts() -> list[Column]:
-    return [F.count_if(F.col(OBS_TIME).isNull()).alias("missing"), F.count(F.lit(1)).alias("total")]
+    return [*_counts(_missing_flags()), F.count(F.lit(1)).alias("total")]
+
+
+def _missing_flags() -> dict[str, Column]:
+    return {"missing": F.col(OBS_TIME).isNull()}
+
+
+def _counts(flags: dict[str, Column]) -> list[Column]:
+    return [F.count_if(flag).alias(name) for name, flag in flags.items()]
 
 
 def _missing_issue() -> Column:
@@ -136,9 +144,8 @@ def check_duplicate_observations(df: DataFrame) -> DataFrame:
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """The issue of `check_duplicate_observations` from counted rows: observation time, hashes, `_n`."""
-    copies = rows.groupBy(OBS_TIME, "_h1", "_h2").agg(F.sum("_n").alias("_n"))
-    per_time = copies.groupBy(OBS_TIME).agg(F.sum("_n").alias("_rows"), F.sum(F.when(F.col("_n") > 1, F.col("_n"))).alias("_d"))
+    """The issue of `check_duplicate_observations` from counted rows, one for each row hash: observation time, `_n`."""
+    per_time = rows.groupBy(OBS_TIME).agg(F.sum("_n").alias("_rows"), F.sum(F.when(F.col("_n") > 1, F.col("_n"))).alias("_d"))
     timed = F.col(OBS_TIME).isNotNull()
     row = per_time.agg(
         F.coalesce(F.sum(F.when(timed, F.col("_d"))), F.lit(0)).alias("n"),
@@ -160,7 +167,11 @@ def check_lead_times(df: DataFrame) -> DataFrame:
 
 
 def _lead_counts() -> list[Column]:
-    return [F.count_if(F.col(LEAD) < MIN_LEAD).alias("low"), F.count_if(F.col(LEAD) > MAX_LEAD).alias("high")]
+    return _counts(_lead_flags())
+
+
+def _lead_flags() -> dict[str, Column]:
+    return {"low": F.col(LEAD) < MIN_LEAD, "high": F.col(LEAD) > MAX_LEAD}
 
 
 def _lead_issue() -> Column:
@@ -187,7 +198,11 @@ def _ranged_columns(df: DataFrame, variables, ranges) -> list[tuple[str, float,
 
 
 def _range_counts(columns) -> list[Column]:
-    return [F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"_range{i}") for i, (c, lo, hi) in enumerate(columns)]
+    return _counts(_range_flags(columns))
+
+
+def _range_flags(columns) -> dict[str, Column]:
+    return {f"_range{i}": (F.col(c) < lo) | (F.col(c) > hi) for i, (c, lo, hi) in enumerate(columns)}
 
 
 def _range_issue(columns) -> Column:
@@ -228,18 +243,22 @@ def check_value_ranges(df: DataFrame, variables, ranges=PLAUSIBLE_RANGES) -> Dat
 def validate_verification(df: DataFrame, variables, ranges=PLAUSIBLE_RANGES, key=None) -> DataFrame:
     """All checks of the verification table as one issue table.
 
-    The three row-wise checks share one aggregate over the table. The others start
-    from one grouping of keys, times, places and row hashes, so the table is read
-    twice and only those narrow columns are shuffled.
+    All start from one grouping of keys, times, places, row hashes and the row-wise
+    flags (which a row's hash fixes), so the table is read once and only those narrow
+    columns are shuffled; the grouping is stored, as each check reads it.
     """
     columns = _ranged_columns(df, variables, ranges)
-    row = df.agg(*_missing_counts(), *_lead_counts(), *_range_counts(columns))
+    flags = {**_missing_flags(), **_lead_flags(), **_range_flags(columns)}
     row_wise = [_missing_issue(), _lead_issue()]
     if columns:
         row_wise.append(_range_issue(columns))
     key = key or provenance_key(df)
     narrow = list(dict.fromkeys([*key, OBS_TIME, *[c for c in (LAT, LON, LOCATION) if c in df.columns]]))
-    rows = df.select(*narrow, *_row_hash(df)).groupBy(*narrow, "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    packed = F.array(*[F.coalesce(flag, F.lit(False)) for flag in flags.values()])
+    grouped = df.select(*narrow, *_row_hash(df), packed.alias("_flags")).groupBy(*narrow, "_h1", "_h2", "_flags")
+    rows = materialize(grouped.agg(F.count(F.lit(1)).alias("_n")), "counted-rows")
+    named = [F.coalesce(F.sum(F.when(F.get("_flags", F.lit(i)), F.col("_n"))), F.lit(0)).alias(name) for i, name in enumerate(flags)]
+    row = rows.agg(*named, F.coalesce(F.sum("_n"), F.lit(0)).alias("total"))
     parts = [
         _issues(_repeats(rows.groupBy(*key).agg(F.sum("_n").alias("_n"))), _provenance_issue()),
         _issues(row, *row_wise),
