@@ -16,13 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantiles
 from .common import LOWER, Words, arrow_filter, arrow_map, mixed, partition_map, slices, stored
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-# The trusted multinomial is fitted on at most this many labelled documents, the
-# threshold on as many others.
-MAX_TRUSTED = 6000
 # The share of trusted documents that may lie under the threshold.
 TRUSTED_LOSS = 0.002
 MIN_WORDS = 50
@@ -82,27 +80,21 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> TargetModel:
-    """The model of all documents (raw) and of at most `max_trusted` labelled good ones (target).
+def fit(docs: DataFrame, labels: DataFrame) -> TargetModel:
+    """The model of all documents (raw) and of all that are labelled good (target).
 
-    Half of the labelled sample (twice `max_trusted` ids, lowest id hashes first)
-    gives the target (an id counts once), the other half the threshold: the value that all but
-    `TRUSTED_LOSS` of it reach. Without labelled good documents nothing is turned
-    down by the ratio.
+    Half of the labelled ids, by their hash, gives the target, the other half the
+    threshold: the value that all but `TRUSTED_LOSS` of it reach. An id counts once, in
+    the target by its least text, for the threshold by its least ratio.
+    Without labelled good documents nothing is turned down by the ratio.
     """
     raw = bucket_counts(docs)
-    ids = (
-        labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(2 * max_trusted)
-    )
-    # At most 2 * max_trusted ids of eight bytes are broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
-    sample = stored(sample.withColumn("to_fit", half), "trusted")
-    target = bucket_counts(sample.where("to_fit"))
+    # Only the texts of one half meet the labels; of the other half their ratios do.
+    texts = docs.select("doc_id", "text")
+    trusted = texts.where(half).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    target = bucket_counts(trusted)
     if not target.sum():
         return TargetModel(np.zeros(BUCKETS, np.float32), -np.inf)
     smooth = SMOOTHING * raw + SMOOTHING  # the raw corpus is the prior of the target
@@ -110,10 +102,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> T
     weight = BUCKETS * 0.5
     p_target = (target + weight * prior) / (target.sum() + weight)
     ratio = np.log(p_target) - np.log(prior)
-    scores = score(sample.where("NOT to_fit"), TargetModel(ratio.astype(np.float32), -np.inf)).where(~F.col("base_failed"))
-    # One row; percentile over at most max_trusted rows.
-    threshold = scores.agg(F.percentile("llr", TRUSTED_LOSS)).first()[0]
-    return TargetModel(ratio.astype(np.float32), -np.inf if threshold is None else float(threshold))
+    others = score(texts.where(~half), TargetModel(ratio.astype(np.float32), -np.inf)).select("doc_id", "llr", "base_failed")
+    least = others.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("llr", "base_failed")).alias("s")).select("s.*")
+    # They are read more than once to find the rank. One row, or none.
+    ratios = stored(least.where("NOT base_failed").select("llr"), "trusted-ratios")
+    threshold = exact_quantiles(ratios, "llr", (100 * TRUSTED_LOSS,)).first()
+    return TargetModel(ratio.astype(np.float32), -np.inf if threshold is None else float(threshold["value"]))
 
 
 def repeated_words(words: Words) -> np.ndarray:

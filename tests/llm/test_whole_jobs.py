@@ -6,7 +6,9 @@ import itertools
 
 import numpy as np
 
-from skillgauge.llm import attention, licenses, lm, toxicity
+from pyspark.sql import functions as F
+
+from skillgauge.llm import attention, licenses, lm, quality, toxicity
 
 DOC = "doc_id bigint, text string"
 
@@ -54,3 +56,39 @@ def test_toxicity_holds_a_large_vocabulary(spark):
     one = spark.createDataFrame([(i, " ".join([*good[:20], w])) for i, w in enumerate(bad)], DOC)
     far = [toxicity.features(of.histogram(t).reshape(1, -1).astype(float), model.ratios)[0, 5] for _, t in one.collect()]
     assert sum(x > 0 for x in far) > 0.9 * len(bad)
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join([*rng.choice(words, 60), f"own{i}"])) for i in range(12_400)]
+    docs = spark.createDataFrame(rows, DOC).repartition(4)
+    labels = spark.range(12_400).selectExpr("id AS doc_id", "1 AS quality")
+    counted = {}
+
+    def count(texts, real=quality.bucket_counts):
+        counted[len(counted)] = real(texts)
+        return counted[len(counted) - 1]
+
+    real, quality.bucket_counts = quality.bucket_counts, count
+    try:
+        model = quality.fit(docs, labels)
+    finally:
+        quality.bucket_counts = real
+    half = spark.range(12_400).where("pmod(xxhash64(id, 1), 2) = 0").count()
+    # 61 words and 60 pairs of each document.
+    assert counted[0].sum() == 12_400 * 121 and counted[1].sum() == half * 121
+    others = quality.score(docs, model).where("pmod(xxhash64(doc_id, 1), 2) = 1")
+    below = others.where(f"llr < {model.threshold!r}D").count()
+    assert below == int(np.floor((12_400 - half - 1) * quality.TRUSTED_LOSS)) + 1
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    rng = np.random.default_rng(7)
+    words = [f"{a}{b}{c}" for a in "klm" for b in "aeiou" for c in "rst"]
+    rows = [(i, " ".join([*rng.choice(words, 12), *(["grumblewort"] if i % 100 == 0 else [])])) for i in range(7_000)]
+    docs = spark.createDataFrame(rows, DOC).repartition(4)
+    one = toxicity.known_labels(docs.selectExpr("doc_id", "CAST(doc_id % 100 = 0 AS INT) AS toxic"), F.lit(True))
+    assert {r["toxic"]: r["count"] for r in toxicity.labelled(docs, one).groupBy("toxic").count().collect()} == {0: 6_930, 1: 70}
+    model = toxicity.fit(docs, one)
+    assert toxicity.score(docs, model).where("(predicted = 1) != (doc_id % 100 = 0)").count() == 0
