@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import re
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +25,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_filter, arrow_map, slices, stored
+from .common import LOWER, arrow_filter, arrow_map, partition_map, slices, stored
 
-# Bounds of the labelled sample (documents) and of what the driver gets of its ordinary words.
-MAX_TOXIC = 3000
-MAX_ORDINARY = 6000
+# How many of the most usual ordinary words the driver gets for the ordinary dictionary.
 MAX_ORDINARY_WORDS = 20_000
 # Standard errors by which a word's share of toxic documents must exceed its share of the others.
 MIN_Z = 6.0
@@ -40,6 +39,8 @@ LOW, HIGH = -4, 24
 # A longer run of letters is cut: no word has so many.
 WORD = re.compile(rb"[a-z\x80-\xff]{1,64}")
 CACHE = 1_000_000
+FEATURES = 6
+SUMS = "at int, v double"
 
 SCORED = "doc_id bigint, score double, predicted int"
 
@@ -124,17 +125,60 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def logit(features: np.ndarray, y: np.ndarray, counts: np.ndarray, penalty: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    """Weights of a logistic curve by Newton's method, with a small penalty that keeps the system regular; row i counts counts[i] times."""
-    w = np.zeros(features.shape[1])
+def feature_sums(rows: DataFrame, ratios: np.ndarray, centre: np.ndarray, power: int) -> np.ndarray:
+    """Sum over all documents of the features' distance from `centre`, to a power."""
+
+    def add(batches):
+        total = np.zeros(FEATURES)
+        for batch in batches:
+            total += ((features(histograms_of(batch), ratios) - centre) ** power).sum(0)
+        yield {"at": np.arange(FEATURES), "v": total}
+
+    return added(partition_map(rows.select("h"), add, SUMS), FEATURES)
+
+
+def logit(rows: DataFrame, ratios: np.ndarray, mean: np.ndarray, scale: np.ndarray, counts: np.ndarray, penalty: float = 1e-2, rounds: int = 60) -> np.ndarray:
+    """Weights of a logistic curve by Newton's method, with a small penalty that keeps the system regular; a row of label k counts counts[k] times.
+
+    Each round sums slope and curvature over all documents, of which the driver gets a
+    row per number, and the last is that in which the weights stand still.
+    """
+    w = np.zeros(FEATURES)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        slope = features.T @ (counts * (y - p)) - penalty * w
-        curve = (features * (counts * p * (1 - p))[:, None]).T @ features + penalty * np.eye(len(w))
-        w += np.linalg.solve(curve, slope)
+
+        def add(batches, w=w):
+            slope, curve = np.zeros(FEATURES), np.zeros((FEATURES, FEATURES))
+            for batch in batches:
+                x = (features(histograms_of(batch), ratios) - mean) / scale
+                y = batch.column("toxic").to_numpy(zero_copy_only=False)
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                slope += x.T @ (counts[y] * (y - p))
+                curve += (x * (counts[y] * p * (1 - p))[:, None]).T @ x
+            total = np.concatenate([slope, curve.ravel()])
+            yield {"at": np.arange(len(total)), "v": total}
+
+        total = added(partition_map(rows.select("toxic", "h"), add, SUMS), FEATURES * (FEATURES + 1))
+        slope, curve = total[:FEATURES] - penalty * w, total[FEATURES:].reshape(FEATURES, FEATURES)
+        step = np.linalg.solve(curve + penalty * np.eye(FEATURES), slope)
+        w = w + step
+        if np.abs(step).max() < 1e-9 * (1 + np.abs(w).max()):
+            break
     return w
 
 
+def added(partial: DataFrame, size: int) -> np.ndarray:
+    """The vector of which `partial` has parts: one row per place, whose number is fixed."""
+    out = np.zeros(size)
+    for r in partial.groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r["v"]
+    return out
+
+
+def histograms_of(batch) -> np.ndarray:
+    column = batch.column("h")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), HIGH - LOW + 1).astype(float)
+
+
 def features(histograms: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     """Evidence of all windows, of the telling ones, and their number, per document."""
     n = histograms.sum(1)
@@ -148,24 +192,33 @@ def known_labels(labels: DataFrame, learn: Column) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def labelled_sample(docs: DataFrame, one: DataFrame) -> DataFrame:
-    """doc_id, label, family, distinct words and text of at most MAX_TOXIC + MAX_ORDINARY labelled documents."""
-    order = (F.xxhash64("doc_id"), "doc_id")
-    ids = one.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(one.where("toxic = 0").orderBy(*order).limit(MAX_ORDINARY))
+def labelled(docs: DataFrame, one: DataFrame) -> DataFrame:
+    """doc_id, label, family and text of every labelled document; an id counts once."""
 
     def describe(batch):
-        families, lists = [], []
+        families = []
         for text in batch.column("text").to_pylist():
             found = words_of(text)
-            runs = [hash_of(b" ".join(found[i : i + 3])) for i in range(max(1, len(found) - 2))]
-            families.append(min(runs))
-            lists.append([w.decode("utf-8", "replace") for w in dict.fromkeys(found)])
-        yield {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "family": families, "words": lists, "text": batch.column("text")}
+            families.append(min(hash_of(b" ".join(found[i : i + 3])) for i in range(max(1, len(found) - 2))))
+        yield {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "family": families, "text": batch.column("text")}
+
+    joined = docs.select("doc_id", "text").join(one, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    described = arrow_map(joined.select("doc_id", "toxic", "text"), describe, "doc_id bigint, toxic int, family bigint, text string")
+    return stored(described, "toxic-labelled")
 
-    # The ids of the sample are few by the two bounds: they are broadcast.
-    joined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    described = arrow_map(joined.select("doc_id", "toxic", "text"), describe, "doc_id bigint, toxic int, family bigint, words array<string>, text string")
-    return stored(described, "toxic-sample")
+
+def word_counts(single: DataFrame) -> DataFrame:
+    """word, a, b: in how many toxic and in how many ordinary texts a word stands; a row per batch and word before the sum."""
+
+    def count(batch):
+        seen = (Counter(), Counter())
+        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            seen[toxic].update({w.decode("utf-8", "replace") for w in words_of(text)})
+        words = list(seen[0].keys() | seen[1].keys())
+        yield {"word": words, "a": [seen[1][w] for w in words], "b": [seen[0][w] for w in words]}
+
+    each = arrow_map(single.select("toxic", "text"), count, "word string, a bigint, b bigint")
+    return stored(each.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxic-words")
 
 
 def hash_of(data: bytes) -> int:
@@ -175,22 +228,22 @@ def hash_of(data: bytes) -> int:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> ToxicModel:
-    """The model of a bounded labelled sample; `learn` says which ids of `labels` may be used.
+    """The model of all labelled documents; `learn` says which ids of `labels` may be used.
 
     Without labels of both kinds nothing is found toxic.
     """
     one = known_labels(labels, F.lit(True) if learn is None else learn)
     all_sizes = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    sample = labelled_sample(docs, one)
-    single = sample.groupBy("toxic", "family").agg(F.min_by("words", "doc_id").alias("words"))
+    # What the fold leaves out is known by the id alone, so its texts are not shuffled.
+    known = labelled(docs if learn is None else docs.where(learn), one)
+    # Near copies count once.
+    single = stored(known.groupBy("toxic", "family").agg(F.min_by("text", "doc_id").alias("text")), "toxic-single")
     sizes = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    empty = ToxicModel(b"", b"", np.zeros(HIGH - LOW + 1), np.zeros(6), np.ones(6), np.zeros(6), 0.0, "")
+    empty = ToxicModel(b"", b"", np.zeros(HIGH - LOW + 1), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, "")
     if not n1 or not n0:
         return empty
-    counts = single.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
-        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
-    )
+    counts = word_counts(single)
     share = (F.col("a") + F.col("b")) / (n1 + n0)
     z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
     telling = counts.where("a >= 3").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy("z", "word").collect()
@@ -203,20 +256,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Toxi
 
     def measure(batch):
         rows = [distances(toxic, ordinary).histogram(t) for t in batch.column("text").to_pylist()]
-        yield {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "h": [r.tolist() for r in rows]}
-
-    # As many rows as the sample has at most, of a few numbers each.
-    rows = arrow_map(sample.select("doc_id", "toxic", "text"), measure, "doc_id bigint, toxic int, h array<bigint>").orderBy("doc_id", "toxic").collect()
-    histograms, y = np.array([r["h"] for r in rows], float), np.array([r["toxic"] for r in rows], float)
-    share1, share0 = (histograms[y == k].sum(0) + 0.5 for k in (1, 0))
-    ratios = np.log(share1 / share1.sum()) - np.log(share0 / share0.sum())
-    x = features(histograms, ratios)
-    mean, scale = x.mean(0), x.std(0)
+        yield {"toxic": batch.column("toxic"), "h": [r.tolist() for r in rows]}
+
+    rows = arrow_map(known.select("toxic", "text"), measure, "toxic int, h array<bigint>")
+    rows = stored(rows, "toxic-distances")
+    cells = rows.select("toxic", F.posexplode("h").alias("at", "v")).groupBy("toxic", "at").agg(F.sum("v").alias("v"))
+    shares, measured = np.full((2, HIGH - LOW + 1), 0.5), np.zeros(2)
+    for r in cells.collect():
+        shares[r["toxic"], r["at"]] += r["v"]
+    for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect():
+        measured[r["toxic"]] = r["n"]
+    ratios = np.log(shares[1] / shares[1].sum()) - np.log(shares[0] / shares[0].sum())
+    mean = feature_sums(rows, ratios, np.zeros(FEATURES), 1) / measured.sum()
+    scale = np.sqrt(feature_sums(rows, ratios, mean, 2) / measured.sum())
     mean[0], scale[0] = 0, 1
     scale[scale == 0] = 1
-    # The two bounds change the proportion of the labels; the curve is fitted to the true one.
-    often = np.where(y == 1, all_sizes[1] / max(1, (y == 1).sum()), all_sizes[0] / max(1, (y == 0).sum()))
-    weights = logit((x - mean) / scale, y, often / often.mean())
+    # Labels without a document change the proportion of the labels; the curve is fitted to the true one.
+    often = np.array([all_sizes[0], all_sizes[1]]) / np.maximum(1, measured)
+    often /= (often * measured).sum() / measured.sum()
+    weights = logit(rows, ratios, mean, scale, often)
     return ToxicModel(toxic, ordinary, ratios, mean, scale, weights, all_sizes[1] / (all_sizes[0] + all_sizes[1]), uuid.uuid4().hex)
 
 
