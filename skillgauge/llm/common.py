@@ -18,6 +18,9 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 # a worker's memory follows one long text, not ten thousand of them.
 SLICE_BYTES = 8_000_000
 
+# Bits that mark ids: 2 MB in blocks of 4 KB, and more than the ids of 30 GB of labelled texts.
+ID_BITS = 1 << 24
+
 # Bounds of an Arrow batch: rows, and bytes for long texts and sets.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
@@ -42,6 +45,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id may be one of `ids`, which a join on doc_id confirms: all that are, few others.
+
+    The hashes of the ids are marked in `ID_BITS` bits, a table of fixed size that Spark can send
+    to every task. So texts that the join would drop are not shuffled for it, however many ids there are.
+    """
+    place = lambda: F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(ID_BITS))
+    marked = ids.where("doc_id IS NOT NULL").select(place().alias("_place")).distinct()
+    bits = marked.groupBy(F.bitmap_bucket_number("_place").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    bits = stored(bits, "id-bits")
+    placed = docs.withColumn("_place", place()).withColumn("_block", F.bitmap_bucket_number("_place"))
+    at = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = placed.join(F.broadcast(bits), "_block").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return found.where("doc_id IS NOT NULL").select(*docs.columns)
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
     """`function` over small Arrow batches; it yields column dictionaries for `schema`.
 
