@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_filter, arrow_map, partition_map, slices, stored
+from .common import LOWER, arrow_filter, arrow_map, partition_map, possible, slices, stored
 
 # How many of the most usual ordinary words the driver gets for the ordinary dictionary.
 MAX_ORDINARY_WORDS = 20_000
@@ -202,7 +202,7 @@ def labelled(docs: DataFrame, one: DataFrame) -> DataFrame:
             families.append(min(hash_of(b" ".join(found[i : i + 3])) for i in range(max(1, len(found) - 2))))
         yield {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "family": families, "text": batch.column("text")}
 
-    joined = docs.select("doc_id", "text").join(one, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    joined = possible(docs.select("doc_id", "text"), one).join(one, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     described = arrow_map(joined.select("doc_id", "toxic", "text"), describe, "doc_id bigint, toxic int, family bigint, text string")
     return stored(described, "toxic-labelled")
 
