@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, mixed, partition_map, slices, stored
+from .common import Words, arrow_map, mixed, partition_map, possible, slices, stored
 
 BANDS = 64
 ROWS = 8
@@ -149,7 +149,8 @@ def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
             right = [i for i, s in enumerate(sets) if xxhash.xxh3_128_digest(s) == wanted[a + i]]
             yield {"class": [wanted[a + i] for i in right], "set": pa.array([sets[i] for i in right], pa.binary())}
 
-    return arrow_map(texts.join(needed, "doc_id").select("class", "text"), run, "class binary, set binary").groupBy("class").agg(F.first("set").alias("set"))
+    named = possible(texts, needed).join(needed, "doc_id")
+    return arrow_map(named.select("class", "text"), run, "class binary, set binary").groupBy("class").agg(F.first("set").alias("set"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
