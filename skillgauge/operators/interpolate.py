@@ -15,11 +15,14 @@ from ..functions.angles import resultant_angle, weighted_mean, weighted_mean_agg
 from ..functions.geo import GRID_RADIUS_KM, haversine_km
 from ..functions.names import site_of_corner
 from ..schemas import CIRCULAR_GRID_VARIABLES, ISSUE, LAT, LEAD, LOCATION, LON, MODEL, TARGET
-from ..session import materialize
+from ..session import materialize, settings
 from .lattice import grid_lines, grid_spacing, line_index
 from .nearest import k_nearest
 
 METHODS = ("bilinear", "idw", "nearest")
+# Joins below the grouping of nodes whose parts are small are hashed: buffers of sorted rows would take the
+# grouping's memory and spill. Larger parts are sorted and merged as ever.
+HASHED_JOINS = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
 NEIGHBOURS = 4
 
 
@@ -46,7 +49,9 @@ def grid_points(forecasts: DataFrame, by=(LOCATION,)) -> DataFrame:
 def grid_nodes(forecasts: DataFrame, variables, by=(LOCATION,)) -> DataFrame:
     """The smallest value of every variable per node and time, stored once: points and values derive from it."""
     key = [*by, MODEL, ISSUE, TARGET, LEAD, LAT, LON]
-    return materialize(forecasts.groupBy(*key).agg(*[F.min(v).alias(v) for v in variables]), "grid-nodes")
+    nodes = forecasts.groupBy(*key).agg(*[F.min(v).alias(v) for v in variables])
+    with settings(forecasts.sparkSession, HASHED_JOINS):
+        return materialize(nodes, "grid-nodes")
 
 
 def corner_weights(forecasts: DataFrame, sites: DataFrame, method: str = "bilinear", by=(LOCATION,)) -> DataFrame:

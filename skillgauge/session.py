@@ -86,7 +86,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     never forces the upstream job to run again.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

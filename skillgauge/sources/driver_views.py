@@ -19,28 +19,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lattice(suppkey):
+    # The place of a supplier repeats every 20 keys.
     lat = F.lit(55.0) + (suppkey % 4) * F.lit(0.25)
     lon = F.lit(12.0) + (F.floor(suppkey / 4).cast("bigint") % 5) * F.lit(0.25)
     return lat.alias("latitude"), lon.alias("longitude")
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every shipment as a forecast row, also those before their order (negative lead)."""
-    lines = table(spark, sf_dir, "lineitem")
+def shipments(spark: SparkSession, sf_dir: str, parts_first: bool = False) -> DataFrame:
+    """Every shipment as a forecast row, also those before their order (negative lead).
+
+    With `parts_first` the parts are joined before the orders: the same rows, and
+    their key need not go on to the second join where nothing else of a part is read.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        # All that is read of a supplier and of the flags: rows are narrow before they are shuffled.
+        (F.col("l_suppkey") % 20).cast("int").alias("place"),
+        F.concat("l_returnflag", "l_linestatus").alias("model"),
+        "l_linenumber",
+        "l_quantity",
+        "l_extendedprice",
+        "l_shipdate",
+    )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     observed = F.when(F.col("p_size") % 10 != 0, F.col("p_size").cast("double"))
     price = F.col("l_extendedprice") / F.col("l_quantity")
     target = F.col("l_shipdate").cast("timestamp")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
+    of_order, of_part = (orders, lines.l_orderkey == orders.o_orderkey), (parts, lines.l_partkey == parts.p_partkey)
+    first, second = (of_part, of_order) if parts_first else (of_order, of_part)
+    joined = lines.join(*first).join(*second)
     return joined.select(
         F.col("o_orderdate").cast("timestamp").alias("forecast_issue_time"),
         target.alias("forecast_target_time"),
         F.when(observed.isNotNull(), target).alias("observation_time"),
         (F.datediff("l_shipdate", "o_orderdate") * 24).cast("int").alias("lead_hours"),
-        F.concat("l_returnflag", "l_linestatus").alias("model"),
-        *_lattice(F.col("l_suppkey")),
-        F.concat(F.lit("loc"), (F.col("l_suppkey") % 20).cast("string")).alias("location_id"),
+        "model",
+        *_lattice(F.col("place")),
+        F.concat(F.lit("loc"), F.col("place").cast("string")).alias("location_id"),
         F.month("l_shipdate").alias("month"),
         season_of(F.col("l_shipdate")).alias("season"),
         F.col("l_quantity").alias("forecast_qty"),
@@ -54,9 +71,9 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+def verification(spark: SparkSession, sf_dir: str, parts_first: bool = False) -> DataFrame:
     """Shipments on or after the day of their order, which are forecasts: the canonical verification table."""
-    return shipments(spark, sf_dir).where(F.col("lead_hours") >= 0)
+    return shipments(spark, sf_dir, parts_first).where(F.col("lead_hours") >= 0)
 
 
 SHIPMENTS_CTE = """
