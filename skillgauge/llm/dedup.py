@@ -302,6 +302,13 @@ def torn_buckets(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
 
 
+def joined_by_class(places: DataFrame, facts: DataFrame) -> DataFrame:
+    """`places` (rows of classes in their buckets, `BANDS` at most for each) with the columns of `facts`: each class is joined once."""
+    rest = [c for c in places.columns if c != "class"]
+    held = places.groupBy("class").agg(F.collect_list(F.struct(*rest)).alias("_held"))
+    return held.join(facts, "class").select("class", F.inline("_held"), *[c for c in facts.columns if c != "class"])
+
+
 def with_components(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
@@ -330,7 +337,7 @@ def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
         # Sets of which too much is in no other set here cannot be similar to any, and leave their buckets.
         sizes = shared_sizes(wide.select("class").distinct(), classes, sets)
         able = sizes.where(100 * F.col("shared") >= percent * F.col("size"))
-        wide = wide.join(able, "class")
+        wide = joined_by_class(wide, able)
         counted = wide.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
         placed = F.pmod(F.xxhash64("class", "bucket"), F.col("n")).alias("place")
         wide = stored(wide.join(counted.where("n > 1"), "bucket").select("bucket", "class", "size", "shared", "n", "total", placed), "able")
@@ -351,7 +358,7 @@ def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
         # Members of the component that all centres of their bucket are of have nothing to meet.
         reach = centres.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         others = active.join(reach, "bucket").where("component != low OR component != high").drop("low", "high")
-        with_set = lambda rows: rows.join(sets, "class")
+        with_set = lambda rows: joined_by_class(rows, sets)
         fresh = stored(links_within(with_set(centres), with_set(others), GROWTH * max(1, lowest), percent), "links")
         lowest = max(1, lowest * GROWTH)
         if not fresh.isEmpty():
