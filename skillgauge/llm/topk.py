@@ -4,8 +4,9 @@ Each vector gets one more component that makes all candidates equally long, so
 that a larger inner product is a smaller distance. Distances of every vector to
 many pivots are worked out once; by the triangle inequality the largest
 difference of two vectors' pivot distances is a lower bound of their distance.
-Candidates are looked at in the order of that bound, block by block, until none
-that is left can beat the k-th best so far.
+Candidates with the same nearest pivot stand side by side in tiles, which are
+looked at in the order of their bound until none that is left can beat the k-th
+best so far; many queries meet a tile in one product of matrices.
 
 Queries and candidates are cut into blocks. Each pair of blocks is one group: its
 k best per query go on, and the best of those are the result.
@@ -27,10 +28,11 @@ K = 20
 PIVOTS = 48
 # Pivots are chosen from at most this many vectors.
 PIVOT_SAMPLE = 2000
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 8192
-# Candidates that are evaluated between two looks at the bound.
+# Candidates of a tile, which have one bound and are evaluated together, and queries that meet a tile at a time.
 STEP = 256
+CHUNK = 128
 # Slack for rounding in distances, which are of whole numbers squared.
 SLACK = 1e-6
 
@@ -114,38 +116,70 @@ def pivot_table(rows: DataFrame, pivots: Pivots) -> DataFrame:
     return partition_map(rows.select("vec_id", "is_query", "dim", "v"), run, TABLE)
 
 
-def best_of_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, square: float) -> pd.DataFrame:
-    """The k best candidates of each query in one pair of blocks, evaluated in bound order until exact."""
-    q, v = (np.array(f["v"].tolist(), np.int64) for f in (queries, candidates))
-    qp, vp = (np.array(f["pivots"].tolist(), float) for f in (queries, candidates))
-    qf, vf = q.astype(float), v.astype(float)
-    ids, own = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-    out: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for i in range(len(q)):
-        bound = np.zeros(len(v))
+def tiles_of(pivots: np.ndarray) -> np.ndarray:
+    """Row numbers in an order that puts rows with the same nearest pivot, and like distances to it, side by side."""
+    if not pivots.shape[1]:
+        return np.arange(len(pivots))
+    return np.lexsort((pivots.min(1), pivots.argmin(1)))
+
+
+def most_of_tiles(q: np.ndarray, qp: np.ndarray, vp: np.ndarray, starts: np.ndarray, square: float) -> np.ndarray:
+    """For each query and tile the most that an inner product can be: sums of whole numbers, so rounded down.
+
+    A tile's rows have pivot distances between a least and a largest, and how far the query's own
+    distance is outside of them is a lower bound of its distance to each of them.
+    """
+    bound = np.zeros((len(qp), len(starts)))
+    if qp.shape[1]:
+        low, high = np.minimum.reduceat(vp, starts), np.maximum.reduceat(vp, starts)
         for p in range(qp.shape[1]):
-            np.maximum(bound, np.abs(vp[:, p] - qp[i, p]), out=bound)
-        # The most that the inner product can be; sums of whole numbers, so rounded down.
-        most = np.floor(((qf[i] @ qf[i]) + square - np.maximum(bound - SLACK, 0) ** 2) / 2 + SLACK)
-        order = np.argsort(-most, kind="stable")
-        scores, seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for start in range(0, len(order), STEP):
-            at = order[start : start + STEP]
-            if len(scores) >= k and most[at[0]] < scores[k - 1]:
-                break
-            at = at[ids[at] != own[i]]
-            scores = np.append(scores, np.rint(vf[at] @ qf[i]).astype(np.int64))
-            seen = np.append(seen, ids[at])
-            keep = np.lexsort((seen, -scores))[:k]
-            scores, seen = scores[keep], seen[keep]
-        out.append((own[i], seen, scores))
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64),
-            "vec_id": np.concatenate([o[1] for o in out]).astype(np.int64),
-            "score": np.concatenate([o[2] for o in out]).astype(np.int64),
-        }
-    )
+            np.maximum(bound, low[:, p] - qp[:, p, None], out=bound)
+            np.maximum(bound, qp[:, p, None] - high[:, p], out=bound)
+    return np.floor(((q * q).sum(1)[:, None] + square - np.maximum(bound - SLACK, 0) ** 2) / 2 + SLACK)
+
+
+def best_of_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, square: float) -> pd.DataFrame:
+    """The k best candidates of each query in one pair of blocks, evaluated tile by tile in bound order until exact."""
+    q, v, qp, vp = (np.array(f[c].tolist(), float).reshape(len(f), -1) for c in ("v", "pivots") for f in (queries, candidates))
+    own, ids = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
+    # Like queries look at like tiles.
+    asks, gives = tiles_of(qp), tiles_of(vp)
+    q, qp, own, v, vp, ids = q[asks], qp[asks], own[asks], v[gives], vp[gives], ids[gives]
+    starts = np.arange(0, len(v), STEP)
+    out = []
+    for a in range(0, len(q), CHUNK):
+        mine = q[a : a + CHUNK]
+        most = most_of_tiles(mine, qp[a : a + CHUNK], vp, starts, square)
+        scores = np.full((len(mine), len(v)), -np.inf)  # of the tiles in the order they are looked at
+        seen = np.zeros(len(v), np.int64)
+        least, used, look = np.full(len(mine), -np.inf), 0, k
+        for tile in np.argsort(-most.max(0), kind="stable").tolist():
+            open_ = np.flatnonzero(most[:, tile] >= least)
+            if not len(open_):
+                continue
+            rows = slice(starts[tile], starts[tile] + STEP)
+            n = len(ids[rows])
+            part = np.rint(mine[open_] @ v[rows].T)
+            part[own[a + open_][:, None] == ids[rows][None, :]] = -np.inf
+            scores[open_, used : used + n] = part
+            seen[used : used + n] = ids[rows]
+            used += n
+            if used >= look:
+                # The k-th best so far, looked up again when twice as much has been seen.
+                least, look = np.partition(scores[:, :used], used - k, axis=1)[:, used - k], 2 * used
+        scores = scores[:, :used]
+        if used > k:
+            least = np.partition(scores, used - k, axis=1)[:, used - k]
+        else:
+            least = np.full(len(mine), -np.inf)
+        row, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        value, found = scores[row, at], seen[at]
+        order = np.lexsort((found, -value, row))
+        row, value, found = row[order], value[order], found[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < k
+        out.append((own[a + row[keep]], found[keep], value[keep]))
+    return pd.DataFrame({name: np.concatenate(part).astype(np.int64) for name, part in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = 64) -> DataFrame:
