@@ -45,21 +45,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
-def possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id may be one of `ids`, which a join on doc_id confirms: all that are, few others.
+def marked(rows: DataFrame, ids: DataFrame, name: str, *seed: int) -> DataFrame:
+    """`rows` with `_marked`: true for every row whose doc_id is one of `ids`, and for few others (a null id is not).
 
     The hashes of the ids are marked in `ID_BITS` bits, a table of fixed size that Spark can send
-    to every task. So texts that the join would drop are not shuffled for it, however many ids there are.
+    to every task, however many ids there are.
     """
-    place = lambda: F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(ID_BITS))
-    marked = ids.where("doc_id IS NOT NULL").select(place().alias("_place")).distinct()
-    bits = marked.groupBy(F.bitmap_bucket_number("_place").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
-    bits = stored(bits, "id-bits")
-    placed = docs.withColumn("_place", place()).withColumn("_block", F.bitmap_bucket_number("_place"))
+    place = lambda: F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), *map(F.lit, seed)), F.lit(ID_BITS))
+    places = ids.where("doc_id IS NOT NULL").select(place().alias("_place")).distinct()
+    bits = places.groupBy(F.bitmap_bucket_number("_place").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    bits = stored(bits, name)
+    placed = rows.withColumn("_place", place()).withColumn("_block", F.bitmap_bucket_number("_place"))
     at = F.bitmap_bit_position("_place")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = placed.join(F.broadcast(bits), "_block").where(F.getbit(byte, (at % 8).cast("int")) == 1)
-    return found.where("doc_id IS NOT NULL").select(*docs.columns)
+    found = F.col("doc_id").isNotNull() & F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return placed.join(F.broadcast(bits), "_block", "left").select(*rows.columns, found.alias("_marked"))
+
+
+def possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id may be one of `ids`, which a join on doc_id confirms: all that are, few others.
+
+    So texts that the join would drop are not shuffled for it.
+    """
+    return marked(docs, ids, "id-bits").where("_marked").drop("_marked")
+
+
+def settled(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of `docs` that are for certain the only one of their doc_id, which is one of `ids` (distinct), and all others.
+
+    The ids of rows that are not so, because they repeat or are not in `ids`, are found without
+    the texts and marked. So a row that is not marked needs no join, and its text is not shuffled.
+    """
+    counted = docs.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    unsure = counted.where("_n > 1").select("doc_id").union(counted.join(ids, "doc_id", "left_anti").select("doc_id"))
+    # Another hash than that of `possible`, with which what it let through by chance shares a bit with one of `ids`.
+    rows = marked(docs.where("doc_id IS NOT NULL"), unsure, "unsure-bits", 2)
+    return rows.where("NOT _marked").drop("_marked"), rows.where("_marked").drop("_marked")
 
 
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.quantiles import exact_quantiles
-from .common import LOWER, Words, arrow_filter, arrow_map, mixed, partition_map, possible, slices, stored
+from .common import LOWER, Words, arrow_filter, arrow_map, mixed, partition_map, possible, settled, slices, stored
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -93,8 +93,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> TargetModel:
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
     # Only the texts of one half meet the labels; of the other half their ratios do.
     texts = docs.select("doc_id", "text")
-    trusted = possible(texts.where(half), ids).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    target = bucket_counts(trusted)
+    # Only texts whose rows cannot be told from others by their ids' bits are shuffled.
+    sure, rest = settled(possible(texts.where(half), ids), ids)
+    first = rest.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    target = bucket_counts(sure.unionByName(first))
     if not target.sum():
         return TargetModel(np.zeros(BUCKETS, np.float32), -np.inf)
     smooth = SMOOTHING * raw + SMOOTHING  # the raw corpus is the prior of the target
