@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, mixed, partition_map, possible, slices, stored
+from .common import Words, arrow_map, mixed, partition_map, possible, settled, slices, stored
 
 BANDS = 64
 ROWS = 8
@@ -141,6 +141,12 @@ def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     """class and set (bytes of sorted hashes) for the documents that stand for a class in `needed` (class, doc_id)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    def digested(batch):
+        texts = batch.column("text").to_pylist()
+        for a, b in slices(texts):
+            sets = [s.tobytes() for s in shingle_sets(texts[a:b], width)]
+            yield {"class": [xxhash.xxh3_128_digest(s) for s in sets], "set": pa.array(sets, pa.binary())}
+
     def run(batch):
         texts, wanted = batch.column("text").to_pylist(), batch.column("class").to_pylist()
         for a, b in slices(texts):
@@ -149,8 +155,12 @@ def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
             right = [i for i, s in enumerate(sets) if xxhash.xxh3_128_digest(s) == wanted[a + i]]
             yield {"class": [wanted[a + i] for i in right], "set": pa.array([sets[i] for i in right], pa.binary())}
 
-    named = possible(texts, needed).join(needed, "doc_id")
-    return arrow_map(named.select("class", "text"), run, "class binary, set binary").groupBy("class").agg(F.first("set").alias("set"))
+    # The only row of an id that stands for a class has that class: neither its text nor its set is shuffled.
+    sure, rest = settled(possible(texts, needed), needed.select("doc_id").distinct())
+    single = arrow_map(sure.select("text"), digested, "class binary, set binary")
+    named = rest.join(needed, "doc_id")
+    several = arrow_map(named.select("class", "text"), run, "class binary, set binary").groupBy("class").agg(F.first("set").alias("set"))
+    return single.unionByName(several)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -322,7 +332,8 @@ def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
         ),
         "classes",
     )
-    members = classes.select("class", F.explode("buckets").alias("bucket"))
+    # Counts and the join that follows read one exchange: few buckets have more than one member, so counting ahead of it would not shrink rows.
+    members = classes.select("class", F.explode("buckets").alias("bucket")).repartition("bucket")
     crowded = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("centre")).where("n > 1")
     buckets = stored(members.join(crowded, "bucket"), "buckets")
     needed = buckets.select("class").distinct().join(classes, "class").select("class", F.col("least").alias("doc_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from skillgauge.llm import common, quality
+from skillgauge.llm import common, dedup, quality
 
 DOC = "doc_id bigint, text string"
 
@@ -45,3 +45,19 @@ def test_target_is_learned_without_moving_the_texts(spark, monkeypatch):
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
     plain = docs.where(half).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     assert np.array_equal(counted[1], count(plain)) and counted[1].sum() > 0
+
+
+def test_sets_of_single_rows_are_made_without_a_join(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 997}" for k in range(1, 30)) for i in range(1, 60)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[50]), (100, texts[5]), (None, texts[7])], DOC)
+    sets = [s.tobytes() for s in dedup.shingle_sets(texts, 4)]
+    digest = lambda i: bytearray(dedup.xxhash.xxh3_128_digest(sets[i]))
+    # An id that stands for two classes, one whose second text is not wanted, single ones, and one that is not there.
+    needed = spark.createDataFrame([(digest(i), i) for i in range(0, 40, 2)] + [(digest(3), 3), (digest(50), 3), (digest(1), 999)], "class binary, doc_id bigint")
+    parts = []
+    settled = common.settled
+    monkeypatch.setattr(dedup, "settled", lambda d, i: parts.append(settled(d, i)) or parts[-1])
+    out = {bytes(r["class"]): bytes(r["set"]) for r in dedup.full_sets(docs, needed, 4).collect()}
+    assert out == {bytes(digest(i)): sets[i] for i in [*range(0, 40, 2), 3, 50]}
+    (sure, rest), = parts
+    assert sure.count() == 20 and rest.count() == 2
