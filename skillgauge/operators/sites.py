@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.angles import error_of
 from ..functions.geo import GRID_RADIUS_KM
 from ..schemas import CIRCULAR_ERROR_VARIABLES, ISSUE, LAT, LEAD, LON, MODEL, OBS_TIME, TARGET
-from ..session import materialize
-from .interpolate import grid_nodes, grid_points, interpolate_to_sites
+from ..session import materialize, settings
+from .interpolate import HASHED_JOINS, grid_nodes, grid_points, interpolate_to_sites
 from .nearest import nearest_point
 
 
@@ -28,6 +28,31 @@ def site_error_table(forecasts: DataFrame, observations: DataFrame, variables, b
     observed = observations.groupBy(
         *grid_key, F.col(LAT).alias("site_lat"), F.col(LON).alias("site_lon"), F.col(OBS_TIME).alias(TARGET)
     ).agg(*[F.avg(v).alias(f"_{v}_obs") for v in variables])
+    return _site_errors(nodes, observed, variables, grid_key, by)
+
+
+def paired_site_error_table(rows: DataFrame, variables, by=()) -> DataFrame:
+    """`site_error_table` of rows that hold a forecast of a node and, as `site_lat`, `site_lon`, OBS_TIME and `{v}_obs`, a truth of a site.
+
+    The rows are read once and not stored: the least forecasts and the sums of the truths
+    by node, site and time are, from which nodes and means derive.
+    """
+    grid_key = list(by)
+    if not grid_key:
+        grid_key = ["_grid"]
+        rows = rows.withColumn("_grid", F.lit(0))
+    sums = [part for v in variables for part in (F.min(v).alias(v), F.sum(f"{v}_obs").alias(f"_{v}_sum"), F.count(f"{v}_obs").alias(f"_{v}_n"))]
+    with settings(rows.sparkSession, HASHED_JOINS):
+        held = materialize(rows.groupBy(*grid_key, MODEL, ISSUE, TARGET, LEAD, LAT, LON, "site_lat", "site_lon", OBS_TIME).agg(*sums), "site-rows")
+    nodes = grid_nodes(held, variables, grid_key)
+    observed = held.groupBy(*grid_key, "site_lat", "site_lon", F.col(OBS_TIME).alias("_time")).agg(
+        *[F.try_divide(F.sum(f"_{v}_sum"), F.sum(f"_{v}_n")).alias(f"_{v}_obs") for v in variables]
+    )
+    return _site_errors(nodes, observed.withColumnRenamed("_time", TARGET), variables, grid_key, by)
+
+
+def _site_errors(nodes: DataFrame, observed: DataFrame, variables, grid_key, by) -> DataFrame:
+    """Errors from stored nodes and from the mean truth per site and time (as TARGET)."""
     observed = materialize(observed, "site-observations")
     sites = observed.select(*grid_key, F.col("site_lat").alias(LAT), F.col("site_lon").alias(LON)).dropna().distinct()
     points = grid_points(nodes, grid_key)
