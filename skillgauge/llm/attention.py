@@ -6,6 +6,10 @@ that a prediction costs two short softmaxes instead of one over all ids.
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
+
 import numpy as np
 
 WINDOW = 32
@@ -20,11 +24,18 @@ PER_CLASS = 64
 IDS = CLASSES * PER_CLASS
 END = IDS - 1
 # Windows worked on at once: their attention weights fit a processor's cache.
-CHUNK = 256
+CHUNK = 64
 # So many chunks' states are turned into probabilities at once, so that each class has enough of them.
-OUTPUT_CHUNKS = 12
+OUTPUT_CHUNKS = 48
+# Rows of logits worked on at once, for the same reason.
+ROWS = 2048
+# Rows, and weights, worked on at once where the work is for each alone.
+BLOCK = 256
+SOME = 32768
+# Sums of exponentials beyond these bounds are made again with the row's largest logit taken off.
+LEAST, MOST = 1e-15, 1e15
 
-CAUSAL = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 Weights = dict[str, np.ndarray]
 SHAPES = {
@@ -54,79 +65,202 @@ def initial(counts: np.ndarray, seed: int = 0) -> Weights:
     return w
 
 
+SIZE = sum(math.prod(shape) for shape in SHAPES.values())
+
+
 def flat(w: Weights) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in SHAPES])
 
 
-def unflat(values: np.ndarray) -> Weights:
+def unflat(values: np.ndarray, dtype=np.float32) -> Weights:
+    """The weights that lie in `values`, whose memory they share if it is of `dtype`."""
     out, at = {}, 0
     for k, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[k] = values[at : at + n].reshape(shape).astype(np.float32)
+        n = math.prod(shape)
+        out[k] = values[at : at + n].reshape(shape).astype(dtype, copy=False)
         at += n
     return out
 
 
-def states(w: Weights, x: np.ndarray) -> dict[str, np.ndarray]:
-    """All layers for windows x (windows x WINDOW); position i sees positions up to i."""
+class Room:
+    """Arrays kept from step to step, because the system hands out new ones of this size page by page."""
+
+    def __init__(self, dtype=np.float32):
+        self.dtype = dtype
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty(n, self.dtype)
+        return self.held[name][:n].reshape(shape)
+
+
+def product(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """a @ b by blocks of rows: small products need no copies of their factors."""
+    n = len(a) // BLOCK * BLOCK
+    np.matmul(a[:n].reshape(-1, BLOCK, a.shape[1]), b, out=out[:n].reshape(-1, BLOCK, b.shape[1]))
+    if n < len(a):
+        np.matmul(a[n:], b, out=out[n:])
+    return out
+
+
+def row_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b by blocks of rows."""
+    n = len(a) // BLOCK * BLOCK
+    return np.matmul(a[:n].reshape(-1, BLOCK, a.shape[1]).transpose(0, 2, 1), b[:n].reshape(-1, BLOCK, b.shape[1])).sum(0) + a[n:].T @ b[n:]
+
+
+def turned(w: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(w.T)
+
+
+def with_bias(room: Room, name: str, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights with their bias as a last row; it meets a column of ones."""
+    out = room(name, *weights.shape[:-2], weights.shape[-2] + 1, weights.shape[-1])
+    out[..., :-1, :], out[..., -1, :] = weights, bias
+    return out
+
+
+def scaled_qkv(w: Weights) -> np.ndarray:
+    """The weights of queries, keys and values, those of queries times the scale of the scores (a power of two)."""
+    out = w["qkv"].copy()
+    out[:, :WIDTH] *= WIDTH**-0.5
+    return out
+
+
+def states(w: Weights, x: np.ndarray, room: Room | None = None, r: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """All layers for windows x (windows x WINDOW); position i sees positions up to i. States go to `r`, if given, before a column of ones.
+
+    `e` has the exponentials of the scores and `total` their sums, once for each place of
+    a row: attention weights are their quotients, which are never made, as rows of WIDTH
+    are divided in their place.
+    """
+    room = room or Room(w["embed"].dtype)
     b, n = x.shape
-    h = w["embed"][x] + w["place"][:n]
-    q, k, v = np.split((h.reshape(-1, WIDTH) @ w["qkv"]).reshape(b, n, 3 * WIDTH), 3, axis=2)
-    s = q @ k.transpose(0, 2, 1)
-    s *= WIDTH**-0.5
-    s += CAUSAL[:n, :n]
-    np.minimum(s, 40, out=s)  # exp stays finite; larger scores do not occur in trained weights
-    np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
-    o = s @ v
-    z = h + (o.reshape(-1, WIDTH) @ w["out"]).reshape(b, n, WIDTH)
-    u = np.maximum(z.reshape(-1, WIDTH) @ w["up"] + w["up_bias"], 0)
-    r = z.reshape(-1, WIDTH) + u @ w["down"]
-    return {"h": h, "q": q, "k": k, "v": v, "a": s, "o": o, "z": z, "u": u, "r": r}
+    rows = b * n
+    h = room("h", rows, WIDTH)
+    np.take(w["embed"], x.reshape(-1), axis=0, out=h, mode="clip")
+    h.reshape(b, n * WIDTH)[:] += w["place"][:n].reshape(-1)
+    qkv = product(h, scaled_qkv(w), room("qkv", rows, 3 * WIDTH)).reshape(b, n, 3 * WIDTH)
+    q, k, v = qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
+    e, total = room("e", b, n, n), room("total", rows, WIDTH)
+    ones = np.ones((n, WIDTH), room.dtype)
+    for most in (None, 40):
+        np.matmul(q, k.transpose(0, 2, 1), out=e)
+        if most:  # exp stays finite; larger scores do not occur in trained weights
+            np.minimum(e, most, out=e)
+        np.exp(e, out=e)
+        e *= CAUSAL[:n, :n]
+        product(e.reshape(rows, n), ones, total)
+        if not rows or total.max() < math.exp(40):
+            break
+    o = np.matmul(e, v, out=room("o", b, n, WIDTH)).reshape(rows, WIDTH)
+    o /= total
+    z = product(o, w["out"], room("z", rows, WIDTH))
+    z += h
+    u = product(z, w["up"], room("u", rows, HIDDEN))
+    u += w["up_bias"]
+    np.maximum(u, 0, out=u)
+    if r is None:
+        r = room("r", rows, WIDTH + 1)
+    np.add(product(u, w["down"], room("down", rows, WIDTH)), z, out=r[:, :WIDTH])
+    r[:, WIDTH] = 1
+    return {"h": h, "q": q, "k": k, "v": v, "e": e, "total": total, "o": o, "z": z, "u": u, "r": r[:, :WIDTH], "r1": r}
 
 
 def final_states(w: Weights, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The last layer alone, at the masked positions `at`: what `states` gives as r, in fewer passes."""
-    b, n = x.shape
-    h = w["embed"][x] + w["place"][:n]
-    q, k, v = np.split((h.reshape(-1, WIDTH) @ w["qkv"]).reshape(b, n, 3 * WIDTH), 3, axis=2)
-    s = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
-    s += CAUSAL[:n, :n]
-    if s.max() > 40:
-        np.minimum(s, 40, out=s)
-    np.exp(s, out=s)
-    # A column of ones beside v sums the weights of a row in the same product.
-    o = (s @ np.concatenate([v, np.ones((b, n, 1), np.float32)], axis=2))[at]
-    z = h[at] + (o[:, :WIDTH] / o[:, WIDTH:]) @ w["out"]
-    return z + np.maximum(z @ w["up"] + w["up_bias"], 0) @ w["down"]
-
-
-def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax at one place of each row; `logits` is overwritten. They stay below 80, see `log_probabilities`."""
-    picked = logits[np.arange(len(at)), at]
-    np.exp(logits, out=logits)
-    return picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
-
-
-def log_probabilities(w: Weights, r: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The states at the masked positions `at`."""
+    return states(w, x)["r"][np.flatnonzero(at)]
+
+
+def blocks(y: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
+    """Rows of ascending ids y in blocks of at most ROWS, each as class, first row and end."""
+    edges = np.searchsorted(y, np.arange(CLASSES + 1) * PER_CLASS).tolist()
+    held: list[tuple[int, int, int]] = []
+    for c in range(CLASSES):
+        for a in range(edges[c], edges[c + 1], ROWS):
+            b = min(a + ROWS, edges[c + 1])
+            if held and b - held[0][1] > ROWS:
+                yield held
+                held = []
+            held.append((c, a, b))
+    if held:
+        yield held
+
+
+def exponentials(parts: list[tuple[np.ndarray, np.ndarray]], e: np.ndarray, ends: list[tuple[int, int]], right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """e: exponentials of the logits, which are the products of `parts`, one at each of `ends`. Returns the sums of the rows, and the logits at `right`."""
+    ones = np.ones(e.shape[1], e.dtype)
+
+    def logits():
+        for (r, weights), (a, b) in zip(parts, ends, strict=True):
+            product(r, weights, e[a:b])
+
+    logits()
+    picked = e.reshape(-1)[right]
+    np.exp(e, out=e)
+    total = e @ ones
+    if not (total.min() > LEAST and total.max() < MOST):
+        logits()
+        most = e.max(1)
+        e -= most[:, None]
+        picked -= most
+        np.exp(e, out=e)
+        total = e @ ones
+    return total, picked
+
+
+def layers(w: Weights, r: np.ndarray, y: np.ndarray, room: Room) -> Iterator[tuple]:
+    """Both softmaxes for states r (a column of ones last) before ascending ids y, block by block.
+
+    Gives whether the class is what is predicted, the parts of the block (class, first
+    row, end), their exponentials, the sums, the logits of what is right and where those stand.
+    """
+    cls, member = with_bias(room, "cls", w["cls"], w["cls_bias"]), with_bias(room, "member", w["member"], w["member_bias"])
+    steps = np.arange(ROWS) * PER_CLASS
+    classes, places = y // PER_CLASS, y % PER_CLASS
+    first = ((0, a, min(a + ROWS, len(y))) for a in range(0, len(y), ROWS))
+    for outer, parts in itertools.chain(((True, [p]) for p in first), ((False, p) for p in blocks(y))):
+        start, end = parts[0][1], parts[-1][2]
+        e = room("logits", end - start, PER_CLASS)
+        right = steps[: end - start] + (classes if outer else places)[start:end]
+        made = [(r[a:b], cls if outer else member[c]) for c, a, b in parts]
+        total, picked = exponentials(made, e, [(a - start, b - start) for _, a, b in parts], right)
+        yield outer, parts, e, total, picked, right
+
+
+def log_probabilities(w: Weights, r: np.ndarray, y: np.ndarray, room: Room | None = None) -> np.ndarray:
     """Natural logarithm of the probability of id y[i] after state r[i]; the places of a class are worked on together."""
-    cls = y // PER_CLASS
-    order = np.argsort(cls, kind="stable")
-    r, y, cls = r[order], y[order], cls[order]
+    room = room or Room(w["embed"].dtype)
+    return log_probabilities_at(w, np.append(r, np.ones((len(r), 1), r.dtype), axis=1), np.arange(len(r)), y, room)
+
+
+def log_probabilities_at(w: Weights, r: np.ndarray, at: np.ndarray, y: np.ndarray, room: Room) -> np.ndarray:
+    """Those of id y[i] after state r[at[i]], where r has a column of ones last."""
+    y = y.astype(np.int16)
+    order = np.argsort(y, kind="stable")
+    y = y[order]
+    r = np.take(r, at[order], axis=0, out=room("ordered", len(y), WIDTH + 1), mode="clip")
     # States too long for exp in single precision are shortened.
-    most = max(np.abs(w["cls"]).sum(0).max(), np.abs(w["member"]).sum(1).max(), 1e-6)
-    np.clip(r, -60 / most, 60 / most, out=r)
-    out = log_softmax_at(r @ w["cls"] + w["cls_bias"], cls)
-    edges = np.searchsorted(cls, np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        a, b = edges[c], edges[c + 1]
-        if a < b:
-            out[a:b] += log_softmax_at(r[a:b] @ w["member"][c] + w["member_bias"][c], y[a:b] - c * PER_CLASS)
+    most = 60 / max(np.abs(w["cls"]).sum(0).max(), np.abs(w["member"]).sum(1).max(), 1e-6)
+    if len(y) and max(r.max(), -r.min()) > most:
+        np.clip(r[:, :WIDTH], -most, most, out=r[:, :WIDTH])
+    out = np.zeros(len(y), room.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for _, parts, _, total, picked, _ in layers(w, r, y, room):
+            out[parts[0][1] : parts[-1][2]] += picked - np.log(total)
     back = np.empty_like(out)
     back[order] = out
     return back
 
 
+def window_rows(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each of `first` WINDOW ids from there on, and before them the one that comes before."""
+    line = np.concatenate([[END], ids, np.full(WINDOW, END)]).astype(np.int16)
+    return np.lib.stride_tricks.sliding_window_view(line, WINDOW + 1)[first]
+
+
 def windows(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping windows of several sequences that lie in `ids` one after the other.
 
@@ -139,14 +273,12 @@ def windows(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np
     owner = np.repeat(np.arange(len(counts)), per)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     first = number * step
-    place = first[:, None] + np.arange(WINDOW)
-    inside = place < counts[owner][:, None]
-    at = starts[owner][:, None] + np.where(inside, place, 0)
-    y = np.where(inside, ids[at], 0)
-    x = np.where(place == 0, END, ids[np.maximum(at - 1, 0)])
-    x = np.where(inside, x, END)
+    # What a window has beyond its sequence is not scored.
+    rows = window_rows(ids, starts[owner] + first)
+    rows[number == 0, 0] = END
+    inside = np.arange(WINDOW) < (counts[owner] - first)[:, None]
     scored = inside & ((number == 0)[:, None] | (np.arange(WINDOW) >= OVERLAP))
-    return x, y, scored, owner
+    return rows[:, :WINDOW], rows[:, 1:], scored, owner
 
 
 def score(w: Weights, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -155,76 +287,126 @@ def score(w: Weights, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -
     if not len(counts):
         return total
     x, y, scored, owner = windows(ids, starts, counts)
-    for a in range(0, len(x), CHUNK * OUTPUT_CHUNKS):
-        part = slice(a, a + CHUNK * OUTPUT_CHUNKS)
-        parts = [slice(b, min(b + CHUNK, part.stop)) for b in range(a, min(part.stop, len(x)), CHUNK)]
-        r = np.concatenate([final_states(w, x[p], scored[p]) for p in parts])
-        mask = scored[part]
-        logs = log_probabilities(w, r, y[part][mask])
-        total += np.bincount(np.repeat(owner[part], mask.sum(1)), weights=logs, minlength=len(counts))
+    room = Room()
+    with np.errstate(over="ignore", invalid="ignore"):
+        for a in range(0, len(x), CHUNK * OUTPUT_CHUNKS):
+            part = slice(a, min(a + CHUNK * OUTPUT_CHUNKS, len(x)))
+            r = room("r", (part.stop - a) * WINDOW, WIDTH + 1)
+            for b in range(a, part.stop, CHUNK):
+                c = min(b + CHUNK, part.stop)
+                states(w, x[b:c], room, r[(b - a) * WINDOW : (c - a) * WINDOW])
+            mask = scored[part]
+            logs = log_probabilities_at(w, r, np.flatnonzero(mask), y[part][mask], room)
+            total += np.bincount(np.repeat(owner[part], mask.sum(1)), weights=logs, minlength=len(counts))
     return total / np.log(10)
 
 
-def gradients(w: Weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[Weights, float]:
+def gradients(w: Weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray, room: Room | None = None) -> tuple[Weights, float]:
     """Gradient of the mean negative log probability over the masked positions, and that mean."""
-    s = states(w, x)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return all_gradients(w, x, y, mask, room or Room(w["embed"].dtype))
+
+
+def all_gradients(w: Weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray, room: Room) -> tuple[Weights, float]:
+    s = states(w, x, room)
     b, n = x.shape
+    rows = b * n
     at = np.flatnonzero(mask.ravel())
     m = max(1, len(at))
-    r, ids = s["r"][at], y.ravel()[at]
-    cls, place = ids // PER_CLASS, ids % PER_CLASS
-    g = {k: np.zeros_like(v) for k, v in w.items()}
-
-    def softmax_back(logits: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float]:
-        logits = logits - logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(1, keepdims=True)
-        loss = -float(np.log(np.maximum(p[np.arange(len(right)), right], 1e-30)).sum())
-        p[np.arange(len(right)), right] -= 1
-        return p / m, loss
-
-    d, loss = softmax_back(r @ w["cls"] + w["cls_bias"], cls)
-    g["cls"], g["cls_bias"] = r.T @ d, d.sum(0)
-    dr = d @ w["cls"].T
-    for c in np.unique(cls):
-        mine = np.flatnonzero(cls == c)
-        d, more = softmax_back(r[mine] @ w["member"][c] + w["member_bias"][c], place[mine])
-        loss += more
-        g["member"][c], g["member_bias"][c] = r[mine].T @ d, d.sum(0)
-        dr[mine] += d @ w["member"][c].T
-    full = np.zeros((b * n, WIDTH), np.float32)
-    full[at] = dr
-    z = s["z"].reshape(-1, WIDTH)
-    g["down"] = s["u"].T @ full
-    du = (full @ w["down"].T) * (s["u"] > 0)
-    g["up"], g["up_bias"] = z.T @ du, du.sum(0)
-    dz = full + du @ w["up"].T
-    g["out"] = s["o"].reshape(-1, WIDTH).T @ dz
-    do = (dz @ w["out"].T).reshape(b, n, WIDTH)
-    dv = s["a"].transpose(0, 2, 1) @ do
-    da = do @ s["v"].transpose(0, 2, 1)
-    ds = s["a"] * (da - (da * s["a"]).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"]
-    dqkv = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * WIDTH)
-    g["qkv"] = s["h"].reshape(-1, WIDTH).T @ dqkv
-    dh = dz + dqkv @ w["qkv"].T
+    g = unflat(room("g", SIZE), room.dtype)
+    ids = y.ravel()[at].astype(np.int16)
+    order = np.argsort(ids, kind="stable")
+    at, ids = at[order], ids[order]
+
+    # The output layers, in the order of ids.
+    r = np.take(s["r1"], at, axis=0, out=room("ordered", len(at), WIDTH + 1), mode="clip")
+    dr, loss = room("dr", len(at), WIDTH), 0.0
+    g_cls, g_member = np.zeros((WIDTH + 1, CLASSES), room.dtype), room("g_member", CLASSES, WIDTH + 1, PER_CLASS)
+    g_member[:] = 0
+    cls_back = turned(w["cls"])
+    for outer, parts, d, total, picked, right in layers(w, r, ids, room):
+        start, end = parts[0][1], parts[-1][2]
+        loss -= float((picked - np.log(total)).sum())
+        d *= (1 / (total * m))[:, None]
+        d.reshape(-1)[right] -= 1 / m
+        if outer:
+            g_cls += row_products(r[start:end], d)
+            product(d, cls_back, dr[start:end])
+            continue
+        back = room("back", end - start, WIDTH)
+        for c, i, j in parts:
+            g_member[c] += r[i:j].T @ d[i - start : j - start]
+            np.matmul(d[i - start : j - start], w["member"][c].T, out=back[i - start : j - start])
+        dr[start:end] += back
+    g["cls"][:], g["cls_bias"][:] = g_cls[:-1], g_cls[-1]
+    g["member"][:], g["member_bias"][:] = g_member[:, :-1], g_member[:, -1]
+    full = room("full", rows, WIDTH)
+    if len(at) < rows:
+        full[:] = 0
+        full[at] = dr
+    else:
+        back = np.empty(rows, np.int64)
+        back[at] = np.arange(rows)
+        np.take(dr, back, axis=0, out=full, mode="clip")
+
+    u, e, total = s["u"], s["e"], s["total"]
+    g["down"][:] = row_products(u, full)
+    du = product(full, turned(w["down"]), room("du", rows, HIDDEN))
+    du *= u > 0
+    g["up"][:], g["up_bias"][:] = row_products(s["z"], du), np.ones(rows, room.dtype) @ du
+    dz = product(du, turned(w["up"]), room("dz", rows, WIDTH))
+    dz += full
+    g["out"][:] = row_products(s["o"], dz)
+    # Attention weights are e / total, so what goes back to them is divided before the products with e.
+    do = product(dz, turned(w["out"]), room("do", rows, WIDTH))
+    do /= total
+    along = np.einsum("ij,ij->i", do, s["o"])
+    do = do.reshape(b, n, WIDTH)
+    dqkv = room("dqkv", b, n, 3 * WIDTH)
+    np.matmul(e.transpose(0, 2, 1), do, out=dqkv[:, :, 2 * WIDTH :])
+    ds = np.matmul(do, s["v"].transpose(0, 2, 1), out=room("ds", b, n, n))
+    ds -= along.reshape(b, n, 1)
+    ds *= e
+    np.matmul(ds, s["k"], out=dqkv[:, :, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), s["q"], out=dqkv[:, :, WIDTH : 2 * WIDTH])
+    dqkv = dqkv.reshape(rows, 3 * WIDTH)
+    g["qkv"][:] = row_products(s["h"], dqkv)
+    g["qkv"][:, :WIDTH] *= WIDTH**-0.5
+    dz += product(dqkv, turned(scaled_qkv(w)), room("down", rows, WIDTH))
     # Rows of one id lie together after a sort, so each id is added up once.
-    order = np.argsort(x.ravel(), kind="stable")
-    used = x.ravel()[order]
-    first = np.flatnonzero(np.diff(used, prepend=-1))
-    g["embed"][used[first]] = np.add.reduceat(dh[order], first)
-    g["place"][:n] = dh.reshape(b, n, WIDTH).sum(0)
+    used = x.reshape(-1).astype(np.int16)
+    order = np.argsort(used, kind="stable")
+    used = used[order]
+    first = np.flatnonzero(np.concatenate([[rows > 0], used[1:] != used[:-1]]))
+    g["embed"][:] = 0
+    g["embed"][used[first]] = np.add.reduceat(np.take(dz, order, axis=0, out=full, mode="clip"), first)
+    g["place"][:] = 0
+    g["place"][:n] = dz.reshape(b, n, WIDTH).sum(0)
     return g, loss / m
 
 
 def train(w: Weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray, rate: float = 0.01, batch: int = BATCH) -> Weights:
     """Adam over the windows in the order given, once."""
-    w = {k: v.copy() for k, v in w.items()}
-    one, two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    room = Room()
+    values = flat(w)
+    w = unflat(values)
+    one, two = np.zeros_like(values), np.zeros_like(values)
+    # Some of the weights at a time, as above.
+    parts = [(values[a : a + SOME], room("g", SIZE)[a : a + SOME], one[a : a + SOME], two[a : a + SOME]) for a in range(0, SIZE, SOME)]
     for t, a in enumerate(range(0, len(x), batch), 1):
-        g, _ = gradients(w, x[a : a + batch], y[a : a + batch], mask[a : a + batch])
-        for k in w:
-            one[k] = 0.9 * one[k] + 0.1 * g[k]
-            two[k] = 0.99 * two[k] + 0.01 * g[k] * g[k]
-            w[k] -= rate * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.99**t)) + 1e-6)
+        gradients(w, x[a : a + batch], y[a : a + batch], mask[a : a + batch], room)
+        for v, g, first, second in parts:
+            some = room("some", len(v))
+            first *= 0.9
+            first += np.multiply(g, 0.1, out=some)
+            second *= 0.99
+            np.multiply(g, 0.01, out=some)
+            some *= g
+            second += some
+            np.divide(second, 1 - 0.99**t, out=some)
+            np.sqrt(some, out=some)
+            some += 1e-6
+            np.divide(first, some, out=some)
+            some *= rate / (1 - 0.9**t)
+            v -= some
     return w

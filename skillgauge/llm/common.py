@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,6 +155,11 @@ def slices(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[i
         yield start, len(texts)
 
 
+def binary_offsets(values: pa.Array) -> np.ndarray:
+    """Where each value of a text or binary array starts in its bytes, and where the last one ends."""
+    return np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset) if len(values) else np.zeros(1, np.int32)
+
+
 class Words:
     """The words of several texts as codes into a vocabulary of distinct words.
 
@@ -161,14 +168,17 @@ class Words:
     """
 
     def __init__(self, texts: list[str | None], lower: bool = False):
-        lists = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        lists = [(b.translate(LOWER) if lower else b).split() for b in lists]
-        self.counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = [w for words in lists for w in words]
-        del lists
-        encoded = pa.array(flat, pa.binary()).dictionary_encode()
+        raw = pa.array([(t or "").encode("utf-8", "surrogatepass") for t in texts], pa.binary()).view(pa.string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(raw) if lower else raw)
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+        # White space at either end splits off an empty word.
+        full = np.diff(binary_offsets(flat)) > 0
+        self.counts = np.diff(np.concatenate([[0], np.cumsum(full)])[offsets])
+        encoded = flat.filter(pa.array(full)).view(pa.binary()).dictionary_encode()
         self.codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.vocabulary: list[bytes] = encoded.dictionary.to_pylist()
+        found, ends = encoded.dictionary, binary_offsets(encoded.dictionary).tolist()
+        held = found.buffers()[2].to_pybytes() if len(found) else b""
+        self.vocabulary: list[bytes] = [held[a:b] for a, b in itertools.pairwise(ends)]
         self.ends = np.cumsum(self.counts)
         self.starts = self.ends - self.counts
 

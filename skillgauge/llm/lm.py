@@ -15,6 +15,8 @@ import base64
 import functools
 import itertools
 import math
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,17 +58,15 @@ def encoder(ranks: bytes):
 KNOWN_WORDS = 500_000
 
 
-def subwords(words: list[bytes], ranks: bytes) -> list[list[int]]:
+def subwords(words: list[bytes], ranks: bytes) -> list[array]:
     """Ids of each word with a space before it; a worker remembers a bounded number of words."""
     coder, known = encoder(ranks)
     if len(known) > KNOWN_WORDS:
         known.clear()
-    out = []
-    for word in words:
-        ids = known.get(word)
-        if ids is None:
-            ids = known[word] = coder._encode_single_piece(b" " + word) if len(word) <= 64 else long_word(word, coder)
-        out.append(ids)
+    out = list(map(known.get, words))
+    for i in [i for i, ids in enumerate(out) if ids is None] if None in out else ():
+        word = words[i]
+        out[i] = known[word] = array("h", coder._encode_single_piece(b" " + word) if len(word) <= 64 else long_word(word, coder))
     return out
 
 
@@ -75,6 +75,29 @@ def long_word(word: bytes, coder) -> list[int]:
     return [i for a in range(0, len(word), 64) for i in coder._encode_single_piece((b" " if a == 0 else b"") + word[a : a + 64])]
 
 
+def with_ends(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of all texts, each text with its end (the code after the last word's), and their number in each text."""
+    codes = np.full(len(words.codes) + len(words.counts), len(words.vocabulary))
+    codes[np.arange(len(words.codes)) + words.owner()] = words.codes
+    return codes, words.counts + 1
+
+
+def subword_stream(words: Words, ranks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subword ids of all texts one after the other, END behind each text; where each text starts, and its number of ids."""
+    codes, counts = with_ends(words)
+    ids = [*subwords(words.vocabulary, ranks), array("h", [attention.END])]
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    # The ids of a word are taken as one value of bytes.
+    offsets = pa.array(np.concatenate([[0], np.cumsum(2 * sizes)]), pa.int64())
+    taken = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, offsets.buffers()[1], pa.py_buffer(b"".join(ids))]).take(pa.array(codes))
+    each = sizes[codes]
+    ends = np.cumsum(each)
+    stream = np.frombuffer(taken.buffers()[2], np.int16, int(ends[-1]) if len(ends) else 0)
+    # Each text has a word at least: its end.
+    starts = np.cumsum(counts) - counts
+    return stream, (ends - each)[starts], np.add.reduceat(each, starts)
+
+
 @dataclass(frozen=True)
 class Model:
     """Bounded: weights of a fixed shape, and the words above HOT_SHARE."""
@@ -125,30 +148,65 @@ def training_windows(docs: DataFrame, ranks: bytes) -> DataFrame:
     def run(batch):
         numbers, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         for a, b in slices(texts, 2_000_000):
-            ids, keys = [], []
-            for number, text in zip(numbers[a:b], texts[a:b], strict=True):
-                words = Words([text], lower=True)
-                known = subwords(words.vocabulary, ranks)
-                stream = [attention.END, *itertools.chain.from_iterable(known[c] for c in words.codes.tolist()), attention.END]
+            stream, starts, sizes = subword_stream(Words(texts[a:b], lower=True), ranks)
+            per = -(-sizes // attention.WINDOW)
+            owner = np.repeat(np.arange(len(sizes)), per)
+            first = (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * attention.WINDOW
+            lengths = np.minimum(attention.WINDOW, sizes[owner] - first) + 1
+            # The id before a text's first is the END behind the text before.
+            rows = attention.window_rows(stream, starts[owner] + first)
+            values = rows[np.arange(attention.WINDOW + 1) < lengths[:, None]]
+            keys = []
+            for number, text, n in zip(numbers[a:b], texts[a:b], per.tolist(), strict=True):
                 whole = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"))
-                for w, first in enumerate(range(0, len(stream) - 1, attention.WINDOW)):
-                    ids.append(stream[first : first + attention.WINDOW + 1])
-                    # The id keeps the copies of one text from meeting in one shard.
-                    keys.append(xxhash.xxh64_intdigest(f"{whole} {number} {w}") >> 1)
-            yield {"ids": ids, "key": keys}
+                # The id keeps the copies of one text from meeting in one shard.
+                keys += [xxhash.xxh64_intdigest(f"{whole} {number} {w}") >> 1 for w in range(n)]
+            yield {"ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values)), "key": np.array(keys, np.int64)}
 
     return stored(arrow_map(docs.select("doc_id", "text"), run, "ids array<smallint>, key bigint"), "windows")
 
 
-def window_arrays(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = attention.WINDOW
-    x = np.full((len(lists), n), attention.END)
-    y = np.zeros((len(lists), n), np.int64)
-    mask = np.zeros((len(lists), n), bool)
-    for row, ids in enumerate(lists):
-        m = min(n, len(ids) - 1)
-        x[row, :m], y[row, :m], mask[row, :m] = ids[:m], ids[1 : m + 1], True
-    return x, y, mask
+def window_arrays(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and what is there of both (windows x WINDOW)."""
+    starts = lists.offsets.to_numpy()
+    inside = np.arange(attention.WINDOW) < (np.diff(starts) - 1)[:, None]
+    values = np.concatenate([lists.values.to_numpy(), np.zeros(attention.WINDOW + 1, np.int16)])
+    rows = np.lib.stride_tricks.sliding_window_view(values, attention.WINDOW + 1)[starts[:-1]]
+    return np.where(inside, rows[:, :-1], np.int16(attention.END)), np.where(inside, rows[:, 1:], np.int16(0)), inside
+
+
+def id_counts(windows: DataFrame) -> np.ndarray:
+    """How often each id stands in the windows."""
+
+    def count(batches):
+        n = np.zeros(attention.IDS, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column("ids").flatten().to_numpy(), minlength=attention.IDS)
+        yield {"id": np.arange(attention.IDS), "n": n}
+
+    counted = partition_map(windows.select("ids"), count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(attention.IDS)
+    for row in counted:
+        counts[row["id"]] = row["n"]
+    return counts
+
+
+def by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.ListArray]]:
+    """The windows of each shard, from batches in the order of shards."""
+    shard, held = None, []
+    for batch in batches:
+        shards = batch.column("shard").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for a, b in itertools.pairwise(edges):
+            if a == b:
+                continue
+            if held and shards[a] != shard:
+                yield shard, pa.concat_arrays(held)
+                held = []
+            shard = int(shards[a])
+            held.append(batch.column("ids").slice(a, b - a))
+    if held:
+        yield shard, pa.concat_arrays(held)
 
 
 def train(windows: DataFrame, rounds: int = ROUNDS) -> attention.Weights:
@@ -159,11 +217,7 @@ def train(windows: DataFrame, rounds: int = ROUNDS) -> attention.Weights:
     fixed number, get to the driver.
     """
     spark = windows.sparkSession
-    counted = windows.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).collect()
-    counts = np.zeros(attention.IDS)
-    for row in counted:
-        counts[row["id"]] = row["n"]
-    weights = attention.initial(counts)
+    weights = attention.initial(id_counts(windows))
     total = windows.count()
     shards = max(1, total // (SHARD_WINDOWS * rounds))
     parts = math.isqrt(shards)
@@ -171,18 +225,23 @@ def train(windows: DataFrame, rounds: int = ROUNDS) -> attention.Weights:
     for number in range(rounds):
         held = spark.sparkContext.broadcast(attention.flat(weights))
 
-        def learn(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("key", kind="stable")
-            trained = attention.flat(attention.train(attention.unflat(held.value), *window_arrays(frame["ids"].tolist())))  # noqa: B023
-            slots = range(0, len(trained), SLOT)
-            part = int(frame["shard"].iloc[0]) % parts
-            return pd.DataFrame({"slot": [a // SLOT for a in slots], "part": part, "n": len(frame), "v": [trained[a : a + SLOT].tolist() for a in slots]})
+        def learn(batches):
+            start = attention.unflat(held.value)  # noqa: B023
+            mean, n, part = np.zeros(attention.SIZE), 0, 0
+            for shard, lists in by_shard(batches):
+                n += len(lists)
+                mean += (attention.flat(attention.train(start, *window_arrays(lists))) - mean) * (len(lists) / n)
+                part = shard % parts
+            if n:
+                slots = range(0, len(mean), SLOT)
+                yield {"slot": [a // SLOT for a in slots], "part": [part] * len(slots), "n": [n] * len(slots), "v": [mean[a : a + SLOT] for a in slots]}
 
         def average(frame: pd.DataFrame) -> pd.DataFrame:
             mean = np.average(np.array(frame["v"].tolist()), axis=0, weights=frame["n"].to_numpy(float))
             return pd.DataFrame({"slot": [int(frame["slot"].iloc[0])], "n": [int(frame["n"].sum())], "v": [mean.tolist()]})
 
-        trained = dealt.where(F.col("round") == number).groupBy("shard").applyInPandas(learn, "slot int, part int, n bigint, v array<float>")
+        mine = dealt.where(F.col("round") == number).select("shard", "key", "ids").repartition("shard").sortWithinPartitions("shard", "key")
+        trained = partition_map(mine.select("shard", "ids"), learn, "slot int, part int, n bigint, v array<double>")
         some = trained.groupBy("slot", "part").applyInPandas(average, "slot int, n bigint, v array<double>")
         rows = some.groupBy("slot").applyInPandas(average, "slot int, n bigint, v array<double>").collect()
         if rows:
@@ -207,14 +266,10 @@ def score_texts(texts: list[str | None], model: Model) -> dict:
     words = Words(texts, lower=True)
     vocabulary = [*words.vocabulary, END]
     # Words of all texts, each text with its end.
-    counts = words.counts + 1
-    starts = np.cumsum(counts) - counts
-    codes = np.full(int(counts.sum()), len(words.vocabulary))
-    owner = words.owner()
-    codes[np.arange(len(words.codes)) + owner] = words.codes
+    codes, counts = with_ends(words)
     owner = np.repeat(np.arange(len(texts)), counts)
 
-    hot = np.fromiter((model.hot.get(w, -1) for w in vocabulary), np.int64, len(vocabulary))
+    hot = np.fromiter(map(model.hot.get, vocabulary, itertools.repeat(-1)), np.int64, len(vocabulary))
     divisor = model.tokens + model.distinct + 1
     known = hot[codes] >= 0
     logs = np.log10((np.maximum(hot, 0) + 1) / divisor)
@@ -227,18 +282,12 @@ def score_texts(texts: list[str | None], model: Model) -> dict:
             [pa.array(vocabulary, pa.binary()).take(pa.array(pairs % len(vocabulary))), pa.array(often, pa.int32())], names=["word", "n"]
         ),
     )
-    ids = [*subwords(words.vocabulary, model.ranks), [attention.END]]
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum()))
-    first = np.cumsum(sizes) - sizes
-    each = sizes[codes]
-    at = np.cumsum(each) - each
-    stream = flat[np.repeat(first[codes] - at, each) + np.arange(int(each.sum()))]
+    stream, starts, sizes = subword_stream(words, model.ranks)
     return {
         "n_tokens": counts,
         "n_hot": n_hot,
         "base_hot": base,
-        "score": attention.score(model.weights, stream, at[starts], np.add.reduceat(each, starts)),
+        "score": attention.score(model.weights, stream, starts, sizes),
         "rare": rare,
     }
 
@@ -263,7 +312,8 @@ def score(docs: DataFrame, learn: Column, ranks_path: str = RANKS) -> DataFrame:
     # Row numbers are written with the rows, so that they stay the same for the join below.
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.n").alias("times"))
-    met = rare.join(counts, "word", "left")
+    # The counts of a partition fit a table, so the words of the texts need no sort.
+    met = rare.join(counts.hint("shuffle_hash"), "word", "left")
     divisor = float(model.tokens + model.distinct + 1)
     sums = met.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"),
