@@ -29,8 +29,9 @@ CHUNK = 64
 OUTPUT_CHUNKS = 48
 # Rows of logits worked on at once, for the same reason.
 ROWS = 2048
-# Rows, and weights, worked on at once where the work is for each alone.
+# Rows of one matrix product: BLAS multiplies matrices of this size without copies of them.
 BLOCK = 256
+# Weights changed at once.
 SOME = 32768
 # Sums of exponentials beyond these bounds are made again with the row's largest logit taken off.
 LEAST, MOST = 1e-15, 1e15
@@ -391,7 +392,7 @@ def train(w: Weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray, rate: floa
     values = flat(w)
     w = unflat(values)
     one, two = np.zeros_like(values), np.zeros_like(values)
-    # Some of the weights at a time, as above.
+    # So many weights at a time that what a step reads of them stays in the cache.
     parts = [(values[a : a + SOME], room("g", SIZE)[a : a + SOME], one[a : a + SOME], two[a : a + SOME]) for a in range(0, SIZE, SOME)]
     for t, a in enumerate(range(0, len(x), batch), 1):
         gradients(w, x[a : a + batch], y[a : a + batch], mask[a : a + batch], room)
